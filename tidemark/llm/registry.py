@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing
+from . import exact_dedup, line_dedup, mixing, packing, simhash
 
 
 def queries() -> dict:
     return {
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, line_dedup, mixing, order_minhash, packing, simhash
+from . import exact_dedup, licenses, line_dedup, mixing, order_minhash, packing, quality, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_quality_classifier": quality.op1_quality_classifier,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,

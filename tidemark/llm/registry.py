@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, line_dedup, mixing, order_minhash, packing, quality, simhash
+from . import exact_dedup, licenses, line_dedup, mixing, order_minhash, packing, quality, simhash, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op1_quality_classifier": quality.op1_quality_classifier,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, line_dedup, mixing, order_minhash, packing, quality, simhash, suffix_dedup
+from . import exact_dedup, licenses, line_dedup, lm_scoring, mixing, order_minhash, packing, quality, simhash, suffix_dedup
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op6_lm_scoring": lm_scoring.op6_lm_scoring,
         "op7_order_minhash": order_minhash.op7_order_minhash,
         "op8_license_scan": licenses.op8_license_scan,
         "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,

@@ -46,10 +46,13 @@ def simhash(text: bytes, words_each: int = WORDS, seed: int = SEED) -> bytes:
     return np.packbits(counts * 2 > n).tobytes()
 
 
-def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = np.frombuffer(b"".join(map(simhash, batch.column(1).to_pylist())), ">i8").astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], names=["tm_id", "tm_print"])
+def fingerprints(words_each: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.frombuffer(b"".join([simhash(t, words_each) for t in batch.column(1).to_pylist()]), ">i8").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], names=["tm_id", "tm_print"])
+
+    return run
 
 
 def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +161,7 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_bits: int = 3) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_bits: int = 3, words_each: int = WORDS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id that
     links reach, its own included).
 
@@ -167,7 +170,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``max_bits`` is at most 3: with more, both segments may differ by two bits."""
     if not 0 <= max_bits <= 3:
         raise ValueError("max_bits must be from 0 to 3")
-    prints = written(prepared(docs, id_col, text_col, binary=True).mapInArrow(fingerprints, "tm_id long, tm_print long"), "simhashes")
+    prints = written(prepared(docs, id_col, text_col, binary=True).mapInArrow(fingerprints(words_each), "tm_id long, tm_print long"), "simhashes")
     classes = written(prints.groupBy("tm_print").agg(F.min("tm_id").alias("tm_least")), "simhash-classes")
     spread = classes.select("tm_print").mapInArrow(variants, "tm_variant long, tm_print long")
     links = spread.repartition("tm_variant").sortWithinPartitions("tm_variant").mapInArrow(verified(max_bits), "tm_u long, tm_v long")

@@ -26,34 +26,64 @@ from .common import documents, given_id, prepared, small_enough, written
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 300_000
+#: Parts and words remembered by a task.
+CACHED = 600_000
 #: White space to the tokenizer; Python's str.split() also parts at these four.
 PARTS_TOO = re.compile("[\x1c-\x1f]")
 WHITE = re.compile("[^\\S\x1c-\x1f]+")
+#: How the tokenizer parts a lower-case text without ODD characters.
+PART = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+")
+#: Anything but ASCII's white space and printable characters and the plain Latin letters, which have one form and one lower case each.
+ODD = re.compile(r"[^\x09-\x0d\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
 
 
-class Words(dict):
-    """Token ids, as little-endian bytes, of texts between white space. The tokenizer drops white space and never
-    joins across it, so a text's ids are those of its words in turn."""
+class Words:
+    """Token ids, as little-endian bytes. The tokenizer drops white space and never joins across its parts.
+
+    A text of plain characters splits here as the tokenizer splits it, into parts that are encoded once for all texts:
+    many parts as one text, cut where a token ends a part. Words of other texts go to the tokenizer whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def learn_parts(self, new: list[str]) -> None:
+        for k in range(0, len(new), 20_000):
+            some = new[k : k + 20_000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer does not split words as expected")
+            raw, start = ids.tobytes(), 0
+            for part, end in zip(some, ends.tolist(), strict=True):
+                self.parts[part] = raw[start:end]
+                start = end
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        split = [WHITE.split(t) if PARTS_TOO.search(t) else t.split() for t in texts]
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        new = list({w for words in split for w in words if w not in self})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-        end, get = np.array([END_ID], "<u4").tobytes(), self.__getitem__
-        for words in split:
-            yield b"".join(map(get, words)) + end
+        plain = [None if ODD.search(t) else PART.findall(t.lower()) for t in texts]
+        for cache in (self.parts, self.words):
+            if len(cache) > CACHED:
+                cache.clear()
+        known = self.parts
+        self.learn_parts(list(set().union(*filter(None, plain)) - known.keys()))
+        end, get = np.array([END_ID], "<u4").tobytes(), known.__getitem__
+        for text, parts in zip(texts, plain, strict=True):
+            if parts is not None:
+                yield b"".join(map(get, parts)) + end
+                continue
+            words = WHITE.split(text) if PARTS_TOO.search(text) else text.split()
+            for w in words:
+                if w not in self.words:
+                    self.words[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            yield b"".join(map(self.words.__getitem__, words)) + end
 
 
 LOADED: dict[str, Words] = {}

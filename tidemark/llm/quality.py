@@ -14,6 +14,7 @@ documents. Vote patterns are counted over, and the scorer is applied to, all doc
 from __future__ import annotations
 
 import operator
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,43 +37,68 @@ HASHED = 1 << 16
 SHARE_SCALE = 50.0
 #: Added to the number of words, so that few words weigh less.
 SMOOTH = 20
-STARTS = (5, 7)
 UPPER, NO_LETTER, INSULT, STEM = 1, 2, 4, 8
-CACHED = 400_000
+WITH_BIT = {bit: np.array([k for k in range(16) if k & bit]) for bit in (UPPER, NO_LETTER, INSULT, STEM)}
+#: Taken off at both ends of a word before it is looked up.
+EDGES = "\"'.,;:!?()[]{}<>*$%&#|"
+CACHED = 150_000
+#: Texts taken from a batch at once.
+ROWS = 512
 
 
-def bare(word: str) -> str:
-    return word.strip("\"'.,;:!?()[]{}<>*$%&#|").lower()
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
 
 
 def stems_of(word: str) -> list[str]:
-    w = bare(word)
-    return [w + "$", *(w[:k] for k in STARTS if len(w) >= k)] if w else []
+    """The bare word in lower case, marked as whole, and its starts."""
+    w = word.strip(EDGES).lower()
+    n = len(w)
+    return [w + "$", w[:5], w[:7]] if n >= 7 else [w + "$", w[:5]] if n >= 5 else [w + "$"] if n else []
 
 
 class Kinds(dict):
-    """Bit flags of a word, remembered."""
+    """Bit flags of a word, remembered; with weights its gain too, the sum of the weights of its features."""
 
-    def __init__(self, stems: frozenset[str]):
-        self.stems = stems
+    def __init__(self, stems: frozenset[str], weights: np.ndarray | None = None):
+        self.stems, self.gains = stems, {}
+        self.weights = None if weights is None else weights.tolist()
 
     def __missing__(self, word: str) -> int:
-        if len(self) > CACHED:
-            self.clear()
-        k = UPPER * word.isupper() | NO_LETTER * (not any(map(str.isalnum, word))) | INSULT * (bare(word) in INSULTS) | STEM * (not self.stems.isdisjoint(stems_of(word)))
+        found = stems_of(word)
+        if found:
+            k = UPPER * word.isupper() | INSULT * (found[0][:-1] in INSULTS) | STEM * (not self.stems.isdisjoint(found))
+        else:
+            k = NO_LETTER * (not any(map(str.isalnum, word)))
         self[word] = k
+        if self.weights is not None:
+            self.gains[word] = sum([self.weights[place(s)] for s in found])
         return k
 
+    def trim(self) -> None:
+        """Called between texts: memory stays bounded."""
+        if len(self) > CACHED:
+            self.clear()
+            self.gains.clear()
+
 
-def statistics(text: str, words: list[str], kinds: Kinds) -> tuple[float, ...]:
+def counted(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """Distinct words and how often each stands in the text."""
+    counts = Counter(words)
+    return list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+
+
+def statistics(text: str, words: list[str], distinct: list[str], times: np.ndarray, kinds: Kinds) -> tuple[float, ...]:
     """Shares: upper-case words, punctuation bytes, words that repeat the one before, words without letters or digits, distinct words, insults, stems."""
     n = len(words)
     if not n:
         return (0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0)
     raw = text.encode(errors="replace")
-    each = np.bincount(np.fromiter(map(kinds.__getitem__, words), np.uint8, n), minlength=16)
-    share = lambda bit: float(each[[k for k in range(16) if k & bit]].sum()) / n
-    return (share(UPPER), (len(raw) - len(raw.translate(None, PUNCTUATION))) / len(raw), sum(map(operator.eq, words, words[1:])) / n, share(NO_LETTER), len(set(words)) / n, share(INSULT), share(STEM))
+    each = np.bincount(np.fromiter(map(kinds.__getitem__, distinct), np.int64, len(distinct)), times, minlength=16)
+    share = lambda bit: float(each[WITH_BIT[bit]].sum()) / n
+    return (share(UPPER), (len(raw) - len(raw.translate(None, PUNCTUATION))) / len(raw), sum(map(operator.eq, words, words[1:])) / n, share(NO_LETTER), len(distinct) / n, share(INSULT), share(STEM))
 
 
 def votes(n: int, s: tuple[float, ...]) -> str:
@@ -109,7 +135,7 @@ def em(patterns: dict[str, int], rounds: int = 60, seldom: float = 0.05) -> tupl
 
 
 def place(feature: str) -> int:
-    return xxhash.xxh32_intdigest(feature.encode()) % HASHED
+    return zlib.crc32(feature.encode(errors="replace")) % HASHED
 
 
 def binned(n: int, s: tuple[float, ...]) -> list[int]:
@@ -117,33 +143,17 @@ def binned(n: int, s: tuple[float, ...]) -> list[int]:
     return [place(f"\x00{j}:{min(9, int(v * 20))}") for j, v in enumerate(s[:5])] if n >= 8 else []
 
 
-def shares(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """Distinct words and their scaled shares, each one at most: a word that fills the text says no more than a frequent one."""
-    counts = Counter(words)
-    return list(counts), np.minimum(np.fromiter(counts.values(), float, len(counts)) * (SHARE_SCALE / (len(words) + SMOOTH)), 1.0)
+def shares(n: int, times: np.ndarray) -> np.ndarray:
+    """Scaled shares of the distinct words, each one at most: a word that fills the text says no more than a frequent one."""
+    return np.minimum(times * (SHARE_SCALE / (n + SMOOTH)), 1.0)
 
 
 class Places(dict):
     def __missing__(self, word: str) -> list[int]:
-        if len(self) > CACHED:
-            self.clear()
         self[word] = out = list(map(place, stems_of(word)))
         return out
 
 
-class Gains(dict):
-    """The sum of the weights of a word's features, remembered."""
-
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
-
-    def __missing__(self, word: str) -> float:
-        if len(self) > CACHED:
-            self.clear()
-        self[word] = g = float(self.weights[list(map(place, stems_of(word)))].sum()) if stems_of(word) else 0.0
-        return g
-
-
 def mined(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_rows: int, ratio: float = 8.0) -> frozenset[str]:
     """Stems at least ``ratio`` times as frequent, word for word, in toxic texts, seen in one of 25 toxic texts and in 5."""
     ids = labels.select(F.col("doc_id").cast("long").alias("tm_id"), F.col("toxic").cast("int").alias("tm_toxic")).where("tm_id is not null and tm_toxic is not null")
@@ -216,14 +226,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame | None = None, id_col: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, seen = Kinds(lexicon.value), Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 words = text.split()
-                seen[votes(len(words), statistics(text, words, kinds))] += 1
+                kinds.trim()
+                seen[votes(len(words), statistics(text, words, *counted(words), kinds))] += 1
         yield pa.RecordBatch.from_pydict({"pattern": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    counted = texts.select("tm_text").mapInArrow(count, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-    patterns = {r.pattern: r.n for r in counted.collect()}  # at most 2 to the number of labellers
+    patterns_ = texts.select("tm_text").mapInArrow(count, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    patterns = {r.pattern: r.n for r in patterns_.collect()}  # at most 2 to the number of labellers
     posterior, _ = em(patterns)
     total = sum(patterns.values())
     one_in = max(1, total // train_docs)
@@ -232,14 +243,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame | None = None, id_col: str
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, places = Kinds(lexicon.value), Places()
-        for batch in batches:
+        for batch in sliced(batches):
             at, values, soft = [], [], []
             for text in batch.column(0).to_pylist():
+                kinds.trim()
+                if len(places) > CACHED:
+                    places.clear()
                 if not (words := text.split()):
                     continue
-                s = statistics(text, words, kinds)
+                distinct, times = counted(words)
+                s = statistics(text, words, distinct, times, kinds)
                 held: Counter = Counter()
-                for w, v in zip(*shares(words), strict=True):
+                for w, v in zip(distinct, shares(len(words), times).tolist(), strict=True):
                     for p in places[w]:
                         held[p] += v
                 fixed = binned(len(words), s)
@@ -257,17 +272,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame | None = None, id_col: str
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = model.value
-        kinds, gains = Kinds(lexicon.value), Gains(w)
-        for batch in batches:
+        kinds = Kinds(lexicon.value, w)
+        gain = kinds.gains.__getitem__
+        for batch in sliced(batches):
             said, post, scores = [], [], []
             for text in batch.column(index).to_pylist():
                 words = (text or "").split()
-                s = statistics(text, words, kinds) if words else None
+                kinds.trim()
+                distinct, times = counted(words)
+                s = statistics(text, words, distinct, times, kinds) if words else None
                 said.append(votes(len(words), s) if s else "-" * len(LABELLERS))
                 post.append(shared.value.get(said[-1]))
                 if s:
-                    distinct, share = shares(words)
-                    z = float(np.fromiter(map(gains.__getitem__, distinct), float, len(distinct)) @ share) + float(w[np.array(binned(len(words), s), np.int64)].sum()) + b
+                    z = float(np.fromiter(map(gain, distinct), float, len(distinct)) @ shares(len(words), times)) + float(w[np.array(binned(len(words), s), np.int64)].sum()) + b
                     scores.append(1 / (1 + np.exp(-np.clip(z, -40, 40))))
                 else:
                     scores.append(0.0)

@@ -50,6 +50,12 @@ def test_csv(spark, tmp_path):
     assert rows(readers.read(spark, put(tmp_path, "c.tsv", "a\tb\nx\t1\n"))) == [("x", 1)]
 
 
+def test_csv_latin1(spark, tmp_path):
+    rows_ = "".join(f"Müller{i},Zürich\n" for i in range(40))
+    out = readers.read_csv(spark, put(tmp_path, "a.csv", ("name,city\n" + rows_).encode("latin-1")), encoding="latin-1")
+    assert ("Müller3", "Zürich") in rows(out) and out.frame.count() == 40
+
+
 def test_csv_corrupt_rows(spark, tmp_path):
     good = "a,b,c\n" + "1,2,3\n" * 9
     out = readers.read(spark, put(tmp_path, "a.csv", good + "1,2,3,4\n"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import col, finite, numeric_columns
+from ..shipping import ship
 
 TREES, SAMPLE, NEIGHBOURS, REFERENCES = 100, 256, 20, 2000
 
@@ -74,6 +75,7 @@ def local_factor(x: np.ndarray, reference: np.ndarray, k_distance: np.ndarray, d
 def multivariate_outliers(df: DataFrame, columns: list[str] | None = None, *, contamination: float = 0.05, min_columns: int = 2, trees: int = TREES, sample: int = SAMPLE, neighbours: int = NEIGHBOURS, references: int = REFERENCES, seed: int = 42) -> DataFrame:
     """All rows, then tm_isolation, tm_lof and tm_outlier. Columns with less than half their values, and tables with fewer than
     ``min_columns`` others, take no part; missing values take the median; features are scaled to unit (population) deviation."""
+    ship(df.sparkSession)
     columns = columns or numeric_columns(df)
     stats = df.agg(F.count(F.lit(1)).alias("n"), *(f(finite(df, c)).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("n", F.count), ("m", F.median), ("a", F.avg), ("s", F.stddev_pop)))).first()
     used = [(i, c) for i, c in enumerate(columns) if stats["n"] and stats[f"n{i}"] >= int(0.5 * stats["n"]) and stats[f"n{i}"]]

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Stands for a null document id while rows are ordered: a null id counts as the largest.
 NULL_ID = 2**63 - 1
 #: A side of a join is broadcast only when its written size is proven to be below this.
@@ -21,6 +23,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, binary: bool = False) -> DataFrame:
     """Two columns with names of their own, ``tm_id`` and ``tm_text``; null texts are empty,
     null ids are NULL_ID. Other columns, whatever their names, are left behind here."""
+    ship(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     return docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("tm_id"),

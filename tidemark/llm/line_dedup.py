@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NULL_ID, documents, given_id, written
+from ..shipping import ship
+from .common import NULL_ID, documents, written
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 KEYS_PER_SHARD = 1 << 18
@@ -151,6 +152,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeat an id count as so many documents, and all of the largest id keep the line. Extra columns pass
     through untouched."""
     spark = docs.sparkSession
+    ship(spark)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
     keyed = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("tm_id"), text.alias("tm_text"))
     counted = keyed.mapInArrow(hashes(min_chars), "low long, high long, tm_id long").groupBy("low", "high").agg(F.count(F.lit(1)).alias("docs"), F.max("tm_id").alias("last"))

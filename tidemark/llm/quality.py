@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
 from .common import documents
 
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -220,6 +221,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame | None = None, id_col: str
     Null and empty texts, and those of white space alone, get no votes, the score 0 and are kept. Ids only link labels and draw
     the sample: null and repeated ones are scored like any row. Without labels the stems are empty. An empty table gives no rows."""
     spark = docs.sparkSession
+    ship(spark)
     stems = mined(docs, labels, id_col, text_col, label_rows) if labels is not None else frozenset()
     lexicon = spark.sparkContext.broadcast(stems)
     texts = docs.select(F.col(f"`{id_col}`").cast("string").alias("tm_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("tm_text"))

@@ -90,7 +90,7 @@ def multivariate_outliers(df: DataFrame, columns: list[str] | None = None, *, co
     forest = [grown(drawn[rng.choice(len(drawn), size, replace=False)], rng, math.ceil(math.log2(max(size, 2)))) for _ in range(trees)]
     reference = drawn[:references]
     k = min(neighbours, max(1, len(reference) - 1))
-    distance = np.sqrt(np.maximum(((reference[:, None, :] - reference[None]) ** 2).sum(axis=2), 0)) if len(reference) <= 2000 else None
+    distance = np.sqrt(np.maximum(((reference[:, None, :] - reference[None]) ** 2).sum(axis=2), 0))
     np.fill_diagonal(distance, np.inf)
     near = np.argpartition(distance, k - 1, axis=1)[:, :k]
     k_distance = np.take_along_axis(distance, near, 1).max(axis=1)

@@ -190,7 +190,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shards = {k: pickle.loads(b) for k, b in shared.value}
-            for batch in batches:
+            for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
                 texts = batch.column(at).to_pylist()
                 yield finish(batch, texts, dropped_lines(batch.column(id_at).to_pylist(), texts, shards, n_shards, min_chars, min_docs))
 

@@ -27,7 +27,7 @@ from .common import documents, given_id, prepared, small_enough, written
 CAPACITY = 4096
 END_ID = 1
 #: Parts and words remembered by a task.
-CACHED = 600_000
+CACHED = 200_000
 #: White space to the tokenizer; Python's str.split() also parts at these four.
 PARTS_TOO = re.compile("[\x1c-\x1f]")
 WHITE = re.compile("[^\\S\x1c-\x1f]+")

@@ -49,7 +49,7 @@ def simhash(text: bytes, words_each: int = WORDS, seed: int = SEED) -> bytes:
 def fingerprints(words_each: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.frombuffer(b"".join([simhash(t, words_each) for t in batch.column(1).to_pylist()]), ">i8").astype(np.int64)
+            made = np.frombuffer(b"".join([simhash(t.as_py(), words_each) for t in batch.column(1)]), ">i8").astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], names=["tm_id", "tm_print"])
 
     return run

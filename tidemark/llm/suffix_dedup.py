@@ -14,7 +14,7 @@ the most significant digit comes first and drops the rest:
 3. Spans are merged by document and cut out.
 
 A string found in every document is sent once a task for each distinct surrounding, as a task settles equal
-surroundings itself; the documents' side of both joins is broadcast-joined only below a measured size.
+surroundings itself. Texts are dealt by document once, and both joins read that exchange; nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -28,14 +28,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, given_id, prepared, small_enough, written
+from .common import documents, given_id, prepared
 
 WINDOW, KEY = 50, 20
 #: Starts of windows that hold a given string: from REACH bytes before it to the string itself.
 REACH = WINDOW - KEY
 STARTS = REACH + 1
 AROUND = REACH + WINDOW
-CHUNK_BYTES = 1 << 21
+#: Text hashed at once; longer texts go in parts, so memory does not grow with them.
+CHUNK_BYTES = 1 << 19
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 KEY_BITS = 40
@@ -69,10 +70,10 @@ def sliding(a: np.ndarray, width: int, of) -> np.ndarray:
 
 
 class Chunk:
-    """Whole texts end to end, and the hash of the string at each place that some window within a text chooses."""
+    """Texts, or parts of one, end to end, and the hash of the string at each place that some window within a text chooses."""
 
-    def __init__(self, rows: list[int], texts: list[bytes]):
-        self.rows, self.data = np.array(rows), np.frombuffer(b"".join(texts), np.uint8)
+    def __init__(self, rows: list[int], offsets: list[int], texts: list[bytes]):
+        self.rows, self.offsets, self.data = np.array(rows), np.array(offsets), np.frombuffer(b"".join(texts), np.uint8)
         self.ends = np.cumsum([len(t) for t in texts])
         n = len(self.data)
         inside = np.zeros(n - WINDOW + 1, bool)  # windows that lie within one text
@@ -113,18 +114,26 @@ class Chunk:
 
 
 def chunks(batch: pa.RecordBatch, column: int, wanted=None) -> Iterator[Chunk]:
-    rows, texts, size = [], [], 0
-    for r, text in enumerate(batch.column(column).to_pylist()):
-        if len(text) < WINDOW or wanted is not None and wanted[r] is None:
+    """Parts of a long text overlap by all but one byte of a window: each window lies in just one part."""
+    rows, offsets, texts, size = [], [], [], 0
+    column_ = batch.column(column)
+    for r in range(batch.num_rows):
+        if wanted is not None and wanted[r] is None:
             continue
-        rows.append(r)
-        texts.append(text)
-        size += len(text)
-        if size >= CHUNK_BYTES:
-            yield Chunk(rows, texts)
-            rows, texts, size = [], [], 0
+        text = column_[r].as_buffer()
+        for a in range(0, max(1, len(text) - WINDOW + 1), CHUNK_BYTES):
+            part = text[a : a + CHUNK_BYTES + WINDOW - 1].to_pybytes() if len(text) else b""
+            if len(part) < WINDOW:
+                continue
+            rows.append(r)
+            offsets.append(a)
+            texts.append(part)
+            size += len(part)
+            if size >= CHUNK_BYTES:
+                yield Chunk(rows, offsets, texts)
+                rows, offsets, texts, size = [], [], [], 0
     if rows:
-        yield Chunk(rows, texts)
+        yield Chunk(rows, offsets, texts)
 
 
 def first_digits(shards: int):
@@ -171,6 +180,12 @@ def shared_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(doc[k : k + 100_000]), pa.array(key[k : k + 100_000].astype(np.uint32).view(np.int32))], names=["tm_id", "tm_key"])
 
 
+def extremes(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the highest and the lowest bit that is set; exact, as doubles hold 32 bits."""
+    bits = starts.astype(np.int64)
+    return np.log2(np.maximum(bits, 1)).astype(np.int64), np.log2(np.maximum(bits & -bits, 1)).astype(np.int64)
+
+
 def surroundings(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[list[np.ndarray]] = [[] for _ in range(6)]
@@ -183,13 +198,17 @@ def surroundings(shards: int):
                 for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                     hit[a:b] = np.isin(short[a:b], wanted[c.rows[r]])
                 at, r = c.at[hit], c.row_of[hit]
-                begin = np.concatenate([[0], c.ends[:-1]])[r]
+                begin = np.concatenate([[0], c.ends[:-1]])[r] - c.offsets[r]
                 for to, a in zip(got, (c.hash[at], ids[c.rows[r]], variants[c.rows[r]], at - begin, c.starts(at), c.around(at)), strict=True):
                     to.append(a)
         if not got[0]:
             return
         key, doc, variant, place, starts, around = (np.concatenate(x) for x in got)
         got = []
+        # only what the windows cover counts, and goes out
+        far, near = extremes(starts)
+        reached = np.arange(AROUND)
+        around *= (reached >= (REACH - far)[:, None]) & (reached < (REACH - near + WINDOW)[:, None])
         # equal surroundings: the smallest document speaks for all, and the later ones' windows are repeated for sure
         view = np.ascontiguousarray(np.c_[around, starts.astype(np.uint64).view(np.uint8).reshape(-1, 8)]).view(np.uint64)
         order = np.lexsort((doc, *view.T, key))
@@ -201,10 +220,9 @@ def surroundings(shards: int):
         shard = (key >> np.uint64(32)).astype(np.int64) % shards
         for k in range(shards):
             mine = np.flatnonzero(~sure & (shard == k))
-            mine = mine[np.argsort(key[mine], kind="stable")]
             settled = np.flatnonzero(sure & (doc % shards == k))
             if len(mine) + len(settled):
-                open_ = (narrow(key[mine]), doc[mine], variant[mine], place[mine], starts[mine], around[mine])
+                open_ = (doc[mine], variant[mine], place[mine], starts[mine], around[mine])
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "rows": [packed(*open_, doc[settled], variant[settled], place[settled], starts[settled])]})
 
     return run
@@ -245,19 +263,24 @@ def eights(text: np.ndarray) -> list[np.ndarray]:
     return list(padded.view(">u8").astype(np.uint64).T)
 
 
-def repeated(key: np.ndarray, doc: np.ndarray, starts: np.ndarray, around: np.ndarray) -> np.ndarray:
+def repeated(doc: np.ndarray, starts: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Of the windows in ``starts``, those whose bytes a smaller document has too."""
+    n = len(doc)
     right, left = around[:, REACH:], np.ascontiguousarray(around[:, :REACH][:, ::-1])
-    by_right, by_left = radix(key, eights(right)), radix(key, eights(left))
-    right_same, left_same = agreement(by_right, key, right), agreement(by_left, key, left)
-    out = np.zeros(len(key), np.uint32)
-    cls_r, cls_l = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+    by_right = radix(np.zeros(n, np.int64), eights(right))
+    right_same = agreement(by_right, np.zeros(n, np.int64), right)
+    string = np.empty(n, np.int64)
+    string[by_right] = np.cumsum(right_same < KEY)  # rows with the same KEY bytes
+    by_left = radix(string, eights(left))
+    left_same = agreement(by_left, string, left)
+    out = np.zeros(n, np.uint32)
+    cls_r, cls_l = np.empty(n, np.int64), np.empty(n, np.int64)
     for o in range(STARTS):
         at = np.flatnonzero(starts >> np.uint32(o) & np.uint32(1))
         if not len(at):
             continue
         cls_r[by_right], cls_l[by_left] = np.cumsum(right_same < WINDOW - o), np.cumsum(left_same < o)
-        both = cls_r[at] * (len(key) + 1) + cls_l[at]
+        both = cls_r[at] * (n + 1) + cls_l[at]
         order = np.argsort(both)
         first = np.flatnonzero(np.concatenate([[True], both[order[1:]] != both[order[:-1]]]))
         d = doc[at[order]]
@@ -269,23 +292,17 @@ def repeated(key: np.ndarray, doc: np.ndarray, starts: np.ndarray, around: np.nd
 def spans(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come dealt by shard. Windows that share a string overlap, so they cover one span."""
-        found = [unpacked(p, 10) for batch in batches for p in batch.column(1).to_pylist()]
+        found = [unpacked(p, 9) for batch in batches for p in batch.column(1).to_pylist()]
         if not found:
             return
-        key = np.concatenate([np.cumsum(x[0].astype(np.uint64), dtype=np.uint64) for x in found])
-        doc, variant, place, starts, around = (np.concatenate([x[k] for x in found]) for k in range(1, 6))
-        settled = [np.concatenate([x[k] for x in found]) for k in range(6, 10)]
+        doc, variant, place, starts, around = (np.concatenate([x[k] for x in found]) for k in range(5))
+        settled = [np.concatenate([x[k] for x in found]) for k in range(5, 9)]
         found = []
-        hit = repeated(key, doc, starts, around) if len(key) else starts
+        hit = repeated(doc, starts, around) if len(doc) else starts
         doc, variant, place, hit = (np.concatenate([a, b]) for a, b in zip((doc, variant, place, hit), settled, strict=True))
         doc, variant, place, hit = (a[hit > 0] for a in (doc, variant, place, hit))
-        farthest = np.zeros(len(hit), np.int64)
-        nearest = np.full(len(hit), STARTS, np.int64)
-        for o in range(STARTS):
-            on = hit >> np.uint32(o) & np.uint32(1) == 1
-            farthest[on] = o
-            nearest[on] = np.minimum(nearest[on], o)
-        begin, end = place - farthest, place - nearest + WINDOW
+        far, near = extremes(hit)
+        begin, end = place - far, place - near + WINDOW
         to = doc % shards
         for k in range(shards):
             if (mine := to == k).any():
@@ -308,29 +325,31 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reach = np.maximum.accumulate(nth * span + end)
     first = np.flatnonzero(np.concatenate([[True], nth[1:] * span + begin[1:] > reach[:-1]]))
     last = np.append(first[1:], len(doc)) - 1
-    b, e, of = begin[first], reach[last] - nth[last] * span, nth[first]
-    cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    b, e = begin[first], reach[last] - nth[last] * span
+    doc, variant = doc[first], variant[first]
+    cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     for k in range(0, len(cut), 10_000):
         c = cut[k : k + 10_000]
-        stop = cut[k + 10_000] if k + 10_000 < len(cut) else len(of)
+        stop = cut[k + 10_000] if k + 10_000 < len(cut) else len(doc)
         at = pa.array(np.append(c, stop) - c[0], pa.int32())
-        lists = [pa.ListArray.from_arrays(at, pa.array(x[c[0] : stop])) for x in (b, e)]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[first[c]]), pa.array(variant[first[c]]), *lists], names=["tm_id", "tm_variant", "tm_begin", "tm_end"])
+        lists = [pa.ListArray.from_arrays(at, pa.array(x[c[0] : stop])) for x in (variant, b, e)]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[c]), *lists], names=["tm_id", "tm_of", "tm_begin", "tm_end"])
 
 
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts, begins, ends = (c.to_pylist() for c in batch.columns)
-        left, removed = [], []
-        for text, b, e in zip(texts, begins, ends, strict=True):
-            if not b:
+    for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
+        _, variants, texts, of, begins, ends = (c.to_pylist() for c in batch.columns)
+        left, removed, n_spans = [], [], []
+        for v, text, o, b, e in zip(variants, texts, of, begins, ends, strict=True):
+            mine = [(x, y) for w, x, y in zip(o, b, e, strict=True) if w == v] if b else []
+            if mine:
+                left.append(b"".join(text[x:y] for x, y in zip([0, *(y for _, y in mine)], [*(x for x, _ in mine), len(text)], strict=True)))
+            else:
                 left.append(text)
-                removed.append(0)
-                continue
-            left.append(b"".join(text[x:y] for x, y in zip([0, *e], [*b, len(text)], strict=True)))
-            removed.append(sum(e) - sum(b))
+            removed.append(sum(y - x for x, y in mine))
+            n_spans.append(len(mine))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(left, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array([len(b or ()) for b in begins], pa.int64())],
+            [batch.column(0), pa.array(left, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64())],
             names=["tm_id", "kept", "n_bytes", "n_removed", "n_spans"],
         )
 
@@ -354,15 +373,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     pairs = table.select("tm_id", "tm_text").mapInArrow(first_digits(shards), "shard int, pairs binary")
     shared = pairs.repartition(shards, "shard").mapInArrow(shared_digits, "tm_id long, tm_key int")
-    wanted = written(shared.groupBy("tm_id").agg(F.collect_list("tm_key").alias("tm_keys")), "suffix-keys")
-    narrow_side = small_enough(wanted, 4 * F.size("tm_keys") + 48)
-    asked = table.join(F.broadcast(wanted) if narrow_side else wanted, "tm_id").select("tm_id", "tm_variant", "tm_text", "tm_keys")
+    wanted = shared.groupBy("tm_id").agg(F.collect_list("tm_key").alias("tm_keys"))
 
+    dealt = table.repartition("tm_id")  # texts travel once: both joins read this exchange
+    asked = dealt.join(wanted, "tm_id").select("tm_id", "tm_variant", "tm_text", "tm_keys")
     rows = asked.mapInArrow(surroundings(shards), "shard int, rows binary")
     found = rows.repartition(shards, "shard").mapInArrow(spans(shards), "shard int, rows binary")
-    gone = written(found.repartition(shards, "shard").mapInArrow(merged, "tm_id long, tm_variant int, tm_begin array<long>, tm_end array<long>"), "suffix-spans")
-    narrow_side = small_enough(gone, 16 * F.size("tm_begin") + 64)
-    out = table.join(F.broadcast(gone) if narrow_side else gone, ["tm_id", "tm_variant"], "left").select("tm_id", "tm_text", "tm_begin", "tm_end")
+    gone = found.repartition(shards, "shard").mapInArrow(merged, "tm_id long, tm_of array<int>, tm_begin array<long>, tm_end array<long>")
+    out = dealt.join(gone, "tm_id", "left").select("tm_id", "tm_variant", "tm_text", "tm_of", "tm_begin", "tm_end")
     out = out.mapInArrow(cut_out, "tm_id long, kept binary, n_bytes long, n_removed long, n_spans long")
     return out.select(given_id().alias("doc_id"), *out.columns[1:])
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, line_dedup, mixing, packing, quality, simhash
+from tidemark.llm import common, line_dedup, mixing, packing, quality, shingle_dedup
 
 #: Word shingles of the near-duplicate stage.
 SHINGLE_WORDS = 5
@@ -34,8 +34,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies. Rows that repeat an id stay or go together."""
-    groups = simhash.simhash_groups(docs, words_each=SHINGLE_WORDS)
+    """The document with the smallest id of each group of near copies: fingerprints at most three bits apart, or a Jaccard
+    similarity of 0.8 or more over the shingles. Rows that repeat an id stay or go together."""
+    groups = shingle_dedup.near_groups(docs, words_each=SHINGLE_WORDS)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("tm_kept_id")).distinct()
     kept = common.written(kept, "near-copies-kept")
     side = F.broadcast(kept) if common.small_enough(kept) else kept

@@ -5,7 +5,7 @@ import re
 import numpy as np
 
 import corpus_pipeline
-from tidemark.llm import shingle_dedup, simhash
+from tidemark.llm import quality, shingle_dedup, simhash
 
 
 def brute_near(table, n=5):
@@ -63,3 +63,14 @@ def test_near_copies_at_jaccard_of_four_fifths(spark, monkeypatch):
     for chunk in (256, 8):  # whole buckets, and buckets dealt in blocks
         monkeypatch.setattr(shingle_dedup, "CHUNK", chunk)
         assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()} == want
+
+
+def test_stems_do_not_depend_on_tasks(spark):
+    """An ordinary word that stands once in each text is no stem, however the labelled rows are dealt; copies count once, in whichever task they are."""
+    toxic = [(k, f"vilest ordinary t{k}", 1) for k in range(12)]
+    clean = [(100 + k, f"plain ordinary c{k}", 0) for k in range(100)]
+    copies = [(300 + k, "copied text of one author", 1) for k in range(12)]
+    rows = toxic + clean + copies
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = [quality.mined(df.select("doc_id", "text").repartition(n), df.select("doc_id", "toxic"), "doc_id", "text", 8000) for n in (1, len(rows))]
+    assert found[0] == found[1] == {"vilest$", "viles"}

@@ -20,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,15 +159,13 @@ def mined(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     ids = labels.select(F.col("doc_id").cast("long").alias("tm_id"), F.col("toxic").cast("int").alias("tm_toxic")).where("tm_id is not null and tm_toxic is not null")
     ids = ids.orderBy(F.xxhash64("tm_id"), "tm_id", "tm_toxic").limit(label_rows)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("tm_id"), F.col(f"`{text_col}`").cast("string").alias("tm_text")).join(F.broadcast(ids), "tm_id").where("tm_text is not null")
+    # copies would make any of their words look toxic; the least id tells the label of a text
+    texts = texts.groupBy("tm_text").agg(F.min(F.struct("tm_id", "tm_toxic")).alias("tm_first")).select("tm_text", F.col("tm_first.tm_toxic").alias("tm_toxic"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         words, held = (Counter(), Counter()), (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (h := xxhash.xxh64_intdigest(text.encode(errors="replace"))) in seen:
-                    continue  # copies would make any of their words look toxic
-                seen.add(h)
                 mine: Counter = Counter()
                 for w, n in Counter(text.split()).items():
                     for s in stems_of(w):
@@ -177,10 +174,10 @@ def mined(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
                 held[toxic > 0].update(mine.keys())
                 for c in (words, held):
                     c[toxic > 0][""] += 1 if c is held else len(text.split())
-        keys = [s for s in words[1] if s] + [""]
-        yield pa.RecordBatch.from_pydict({"stem": pa.array(keys, pa.string()), "toxic": pa.array([words[1][s] for s in keys], pa.int64()), "docs": pa.array([held[1][s] for s in keys], pa.int64()), "clean": pa.array([words[0][s] for s in keys], pa.int64())})
-        rest = [s for s in words[0] if s and s not in words[1] and words[0][s] > 1]
-        yield pa.RecordBatch.from_pydict({"stem": pa.array(rest, pa.string()), "toxic": pa.array([0] * len(rest), pa.int64()), "docs": pa.array([0] * len(rest), pa.int64()), "clean": pa.array([words[0][s] for s in rest], pa.int64())})
+        keys = [*(words[0].keys() | words[1].keys() | {""})]
+        for k in range(0, len(keys), 100_000):
+            some = keys[k : k + 100_000]
+            yield pa.RecordBatch.from_pydict({"stem": pa.array(some, pa.string()), "toxic": pa.array([words[1][s] for s in some], pa.int64()), "docs": pa.array([held[1][s] for s in some], pa.int64()), "clean": pa.array([words[0][s] for s in some], pa.int64())})
 
     sums = texts.select("tm_text", "tm_toxic").mapInArrow(count, "stem string, toxic long, docs long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"), F.sum("clean").alias("clean"))
     found = sums.where((F.col("docs") >= 5) | (F.col("stem") == "")).orderBy(F.desc("docs"), "stem").limit(20_000).collect()

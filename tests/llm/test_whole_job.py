@@ -5,7 +5,7 @@ import re
 import numpy as np
 
 import corpus_pipeline
-from tidemark.llm import quality, shingle_dedup, simhash
+from tidemark.llm import licenses, quality, shingle_dedup, simhash
 
 
 def brute_near(table, n=5):
@@ -74,3 +74,15 @@ def test_stems_do_not_depend_on_tasks(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     found = [quality.mined(df.select("doc_id", "text").repartition(n), df.select("doc_id", "toxic"), "doc_id", "text", 8000) for n in (1, len(rows))]
     assert found[0] == found[1] == {"vilest$", "viles"}
+
+
+def test_short_notice_and_real_header_of_apache(spark):
+    """Among documents that hold no other licence words, and with words between those of the template."""
+    header = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.'
+    texts = ["Some page. Licensed under the Apache License, Version 2.0.", header, "the apache license of the tribe", "Apache helicopters are under the bridge"]
+    df = spark.createDataFrame([*enumerate(texts), *((10 + k, "the page of a plain text under the sun") for k in range(200))], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.license_scan(df).collect()}
+    assert [got[k] for k in range(4)] == ["apache", "apache", "", ""] and not any(got[10 + k] for k in range(200))
+    full = spark.createDataFrame([(1, header)], "doc_id long, text string")
+    longer = {"apache": licenses.TEMPLATES["apache"]}
+    assert licenses.license_scan(full, longer=longer, notices={}).first().score > 0.99

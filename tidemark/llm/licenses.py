@@ -1,10 +1,10 @@
 """License scans over a positional rare-token index.
 
 The index holds short templates: a label, the words in order, and the place of a mandatory key phrase. Every word of
-the templates has an inverse document frequency counted over all documents. A text is searched for each template's
-rarest words alone: their positions in the text, less their positions in the template, give the places where the
-template can start. For an exact phrase every word is then checked at its place. For a longer template places
-are clustered by start, and a match needs the key phrase at its own place and enough of the words around it.
+the templates has an inverse document frequency counted over all documents. A text is searched for the rarest word of
+each template's key phrase, which every match holds (an exact phrase is its own): its positions in the text, less its position in the template, give
+the places where the template can start, and the whole phrase is checked there. A longer template then needs enough of its words around the key
+phrase, by weight, in their order; each may stand up to DRIFT words off its place, as words come in between.
 """
 
 from __future__ import annotations
@@ -37,11 +37,13 @@ TEMPLATES = {
     "cc": ("licensed under a creative commons attribution license", "creative commons"),
     "no-copy": ("no part of this publication may be reproduced", "may be reproduced"),
 }
+#: Short notices in place of a longer template, by its label.
+NOTICES = {"apache": ("licensed under the apache license version 2 0", "apache license")}
 
 WORD_BYTES = bytes(b if chr(b).isdigit() and b < 0x80 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-#: Rarest words of a template that are looked up, and the share of its other words that must stand in their places.
-LOOKED_UP = 3
+#: The share of a template's weight that must be found, and how many words a word may stand off its place.
 SHARE = 0.6
+DRIFT = 4
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -57,9 +59,9 @@ class Template:
     exact: bool
 
 
-def templates(phrases: dict[str, str], longer: dict[str, tuple[str, str]]) -> list[Template]:
+def templates(phrases: dict[str, str], *longer: dict[str, tuple[str, str]]) -> list[Template]:
     out = [Template(label, tuple(words_of(p.encode())), (0, len(p.split())), True) for p, label in phrases.items()]
-    for label, (sentence, key) in longer.items():
+    for label, (sentence, key) in (item for some in longer for item in some.items()):
         w, k = tuple(words_of(sentence.encode())), tuple(words_of(key.encode()))
         at = next(i for i in range(len(w)) if w[i : i + len(k)] == k)
         out.append(Template(label, w, (at, at + len(k)), False))
@@ -82,8 +84,26 @@ def frequencies(vocabulary: frozenset[bytes]):
 class Index:
     def __init__(self, found: list[Template], idf: dict[bytes, float]):
         self.templates, self.idf = found, idf
-        self.rare = [sorted(range(len(t.words)), key=lambda i, t=t: (-idf[t.words[i]], i))[: 1 if t.exact else LOOKED_UP] for t in found]
-        self.looked_up = frozenset(t.words[i] for t, rare in zip(found, self.rare, strict=True) for i in rare)
+        self.rare = [max(range(*t.key), key=lambda i, t=t: (idf[t.words[i]], -i)) for t in found]
+        self.looked_up = frozenset(t.words[i] for t, i in zip(found, self.rare, strict=True))
+
+    def found(self, t: Template, words: list[bytes], start: int) -> float:
+        """The largest weight of words of ``t`` that stand in order within DRIFT of their places; the key phrase is at its own."""
+
+        def side(places: range, low: int, high: int) -> float:
+            best = [0.0] * (high - low + 1)  # by how many words of the text are taken
+            for i in places:
+                new = best[:]
+                for j in range(low, high):
+                    if words[j] == t.words[i] and abs(j - start - i) <= DRIFT:
+                        new[j - low + 1] = max(new[j - low + 1], best[j - low] + self.idf[t.words[i]])
+                    new[j - low + 1] = max(new[j - low + 1], new[j - low])
+                best = new
+            return best[-1]
+
+        a, b = start + t.key[0], start + t.key[1]
+        low, high = max(0, start - DRIFT), min(len(words), start + len(t.words) + DRIFT)
+        return sum(self.idf[w] for w in t.words[t.key[0] : t.key[1]]) + side(range(t.key[0]), low, a) + side(range(t.key[1], len(t.words)), b, high)
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[int, str, float]]]:
         """Exact phrases as (place, label), longer templates as (place, label, share of their weight found)."""
@@ -94,24 +114,23 @@ class Index:
         for i, w in enumerate(words):
             if w in postings:
                 postings[w].append(i)
-        exact, longer = [], []
-        for t, rare in zip(self.templates, self.rare, strict=True):
-            starts = {p - i for i in rare for p in postings.get(t.words[i], ())}
-            for s in sorted(starts):
+        exact, longer = [], {}
+        for t, i in zip(self.templates, self.rare, strict=True):
+            for s in [p - i for p in postings.get(t.words[i], ())]:
                 a, b = s + t.key[0], s + t.key[1]
                 if a < 0 or tuple(words[a:b]) != t.words[t.key[0] : t.key[1]]:
                     continue
                 if t.exact:
                     exact.append((s, t.label))
                 else:
-                    weight = sum(self.idf[w] for i, w in enumerate(t.words) if 0 <= s + i < len(words) and words[s + i] == w)
-                    share = weight / sum(self.idf[w] for w in t.words)
-                    if share >= SHARE:
-                        longer.append((max(s, 0), t.label, share))
-        return exact, longer
+                    share = self.found(t, words, s) / sum(self.idf[w] for w in t.words)
+                    at = (max(s, 0), t.label)
+                    if share >= SHARE and share > longer.get(at, 0.0):
+                        longer[at] = share
+        return exact, [(p, label, share) for (p, label), share in longer.items()]
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, phrases: dict[str, str] = PHRASES, longer: dict[str, tuple[str, str]] = TEMPLATES) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, phrases: dict[str, str] = PHRASES, longer: dict[str, tuple[str, str]] = TEMPLATES, notices: dict[str, tuple[str, str]] = NOTICES) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches
     (label, first word, share of weight).
 
@@ -120,7 +139,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     no words; null and repeated ids give a row each, as given. An empty table gives no rows."""
     spark = docs.sparkSession
     table = prepared(docs, id_col, text_col, binary=True)
-    found = templates(phrases, longer)
+    found = templates(phrases, longer, notices)
     vocabulary = frozenset(w for t in found for w in t.words)
     df = table.select("tm_text").mapInArrow(frequencies(vocabulary), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     n = {bytes(r.word): r.n for r in df.collect()}  # one row for each word of the templates

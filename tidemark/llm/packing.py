@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -26,22 +27,23 @@ from .common import documents, given_id, prepared, small_enough, written
 
 CAPACITY = 4096
 END_ID = 1
-#: Parts and words remembered by a task.
-CACHED = 200_000
+#: Words and parts of words remembered by a task.
+CACHED = 400_000
 #: White space to the tokenizer; Python's str.split() also parts at these four.
 PARTS_TOO = re.compile("[\x1c-\x1f]")
 WHITE = re.compile("[^\\S\x1c-\x1f]+")
-#: How the tokenizer parts a lower-case text without ODD characters.
+#: How the tokenizer parts a lower-case word without ODD characters.
 PART = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+")
 #: Anything but ASCII's white space and printable characters and the plain Latin letters, which have one form and one lower case each.
 ODD = re.compile(r"[^\x09-\x0d\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
 
 
 class Words:
-    """Token ids, as little-endian bytes. The tokenizer drops white space and never joins across its parts.
+    """Token ids, as little-endian bytes. The tokenizer drops white space and never joins across it, so each word between white
+    space is looked up, and learned once for all texts.
 
-    A text of plain characters splits here as the tokenizer splits it, into parts that are encoded once for all texts:
-    many parts as one text, cut where a token ends a part. Words of other texts go to the tokenizer whole."""
+    New words of a text of plain characters split here as the tokenizer splits them, into parts that many words share.
+    Words of other texts go to the tokenizer whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,10 +56,17 @@ class Words:
         self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.parts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-
-    def learn_parts(self, new: list[str]) -> None:
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
+        self.odd_words: dict[str, bytes] = {}
+
+    def learn_parts(self, new: set[str]) -> None:
+        """ASCII parts are their own bytes, so the tokenizer's model takes them as they are; the others go through its normalizer."""
+        tokenize = self.tokenizer.model.tokenize
+        plain = list(filter(str.isascii, new))
+        made = [[t.id for t in tokenize(part)] for part in plain]
+        self.parts.update(zip(plain, [struct.pack(f"<{len(ids)}I", *ids) for ids in made], strict=True))
+        others = [part for part in new if not part.isascii()]
+        for k in range(0, len(others), 2_000):
+            some = others[k : k + 2_000]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(ends) != len(some):
@@ -67,23 +76,35 @@ class Words:
                 self.parts[part] = raw[start:end]
                 start = end
 
+    def learn_words(self, new: set[str]) -> None:
+        """Words in lower case, of plain characters."""
+        if len(self.parts) > CACHED:
+            self.parts.clear()
+        whole = set(filter(str.isalpha, new))  # these are one part
+        mixed = list(new - whole)
+        split = list(map(PART.findall, mixed))
+        self.learn_parts(whole.union(*split).difference(self.parts))
+        get = self.parts.__getitem__
+        self.words.update(zip(whole, map(get, whole), strict=True))
+        self.words.update(zip(mixed, [b"".join(map(get, parts)) for parts in split], strict=True))
+
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        plain = [None if ODD.search(t) else PART.findall(t.lower()) for t in texts]
-        for cache in (self.parts, self.words):
-            if len(cache) > CACHED:
-                cache.clear()
-        known = self.parts
-        self.learn_parts(list(set().union(*filter(None, plain)) - known.keys()))
-        end, get = np.array([END_ID], "<u4").tobytes(), known.__getitem__
-        for text, parts in zip(texts, plain, strict=True):
-            if parts is not None:
-                yield b"".join(map(get, parts)) + end
-                continue
-            words = WHITE.split(text) if PARTS_TOO.search(text) else text.split()
-            for w in words:
-                if w not in self.words:
-                    self.words[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-            yield b"".join(map(self.words.__getitem__, words)) + end
+        odd = [ODD.search(t) is not None for t in texts]
+        split = [(WHITE.split(t) if PARTS_TOO.search(t) else t.split()) if o else t.lower().split() for t, o in zip(texts, odd, strict=True)]
+        here = set().union(*(words for words, o in zip(split, odd, strict=True) if not o))
+        if len(self.words) > CACHED:  # words of these texts stay: the frequent ones among them
+            self.words = {w: self.words[w] for w in here if w in self.words}
+        self.learn_words(here.difference(self.words))
+        end, get = np.array([END_ID], "<u4").tobytes(), self.words.__getitem__
+        for words, o in zip(split, odd, strict=True):
+            yield b"".join(map(self.odd_word if o else get, words)) + end
+
+    def odd_word(self, word: str) -> bytes:
+        if (ids := self.odd_words.get(word)) is None:
+            if len(self.odd_words) > CACHED:
+                self.odd_words.clear()
+            ids = self.odd_words[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return ids
 
 
 LOADED: dict[str, Words] = {}

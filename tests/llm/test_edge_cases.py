@@ -267,6 +267,19 @@ def test_suffix_dedup_of_long_texts_and_repeated_ids(spark):
     assert got == [(1, len(long), 0, 0), (2, 600, 600, 1), (3, 76, 75, 1), (3, 76, 75, 1), (3, 91, 90, 1)]
 
 
+@pytest.mark.parametrize("hot", [1, 1 << 13])
+def test_suffix_dedup_of_one_passage_in_all_documents(spark, monkeypatch, hot):
+    """A passage with other text around it in each document, and several ranges, runs and passes of the first digit."""
+    monkeypatch.setattr(suffix_dedup, "RANGE_PAIRS", 40)
+    monkeypatch.setattr(suffix_dedup, "RANGE_ROWS", 40)
+    rng = np.random.default_rng(6)
+    own = lambda n: bytes(rng.integers(97, 100, n, dtype=np.uint8)).decode()
+    table = [(k - 20, own(int(rng.integers(0, 90))) + (PASSAGE[: int(rng.integers(45, len(PASSAGE)))] if k % 3 else PASSAGE) + own(int(rng.integers(0, 300)))) for k in range(80)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    got = suffix_dedup.suffix_dedup(df, fan_out=4096 if hot > 1 else 1, hot=hot)
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for i, r in rows(got).items()} == brute_spans(table)
+
+
 def test_order_minhash(docs):
     table = sorted(TEXTS, key=lambda r: 2**63 if r[0] is None else r[0])
     got = rows(order_minhash.order_minhash(docs, buckets=3))

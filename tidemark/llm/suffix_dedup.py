@@ -5,16 +5,20 @@ suffixes need ordering through WINDOW bytes only, and those that can share a win
 the most significant digit comes first and drops the rest:
 
 1. First digit: of every window the KEY-byte string with the least hash (any two equal windows choose the same).
-   Each task ships its distinct (hash, document) pairs, packed by range of the hash; a range keeps the hashes of
-   two documents or more and tells each document which of its strings those are.
+   Each task ships its distinct (hash, document) pairs in sorted runs, dealt by range of the hash; a range keeps the
+   hashes of two documents or more and tells each document which of its strings those are.
 2. Next digits: at these strings documents cut out the bytes that their windows reach. Suffixes to the right and
    reversed prefixes to the left are radix sorted, eight bytes a digit, most significant first, and only groups that
    are not yet single go on to the next digit. Adjacent lengths of agreement then give, for each start of a window, groups that
    are equal through all its bytes: exactly the repeated windows. No hash decides equality.
 3. Spans are merged by document and cut out.
 
-A string found in every document is sent once a task for each distinct surrounding, as a task settles equal
-surroundings itself. Texts are dealt by document once, and both joins read that exchange; nothing is broadcast.
+Ordering all suffixes outright would ship 12 bytes or more for each byte of text; the first digit ships about six for each
+16. A range holds about RANGE_PAIRS pairs at any corpus size, as their number follows the text's measured bytes, and
+a task works on one range after another. Beyond ``fan_out`` ranges the digit itself is dealt in two passes. Strings of
+more than ``hot`` documents are dealt by the bytes of each of their windows instead, and equal windows are settled
+before they are sent, so no string gathers in one range. Texts are dealt by document once, and both joins read that
+exchange; nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, given_id, prepared
+from .common import documents, given_id, prepared, written
 
 WINDOW, KEY = 50, 20
 #: Starts of windows that hold a given string: from REACH bytes before it to the string itself.
@@ -40,6 +44,11 @@ CHUNK_BYTES = 1 << 19
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 KEY_BITS = 40
+#: Marks a key, of which 32 bits are kept, as hot.
+HOT = 1 << 32
+#: Pairs that a task holds before it ships a sorted run, and about as many as a range gets; surroundings weigh ten times as much.
+RUN_PAIRS, RANGE_PAIRS = 1 << 20, 1 << 19
+RUN_ROWS, RANGE_ROWS = 1 << 16, 1 << 16
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -136,48 +145,94 @@ def chunks(batch: pa.RecordBatch, column: int, wanted=None) -> Iterator[Chunk]:
         yield Chunk(rows, offsets, texts)
 
 
-def first_digits(shards: int):
+def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """The packed rows of each shard; rows come sorted by shard, and a shard may go on in the next batch."""
+    held, rows = None, []
+    for batch in batches:
+        for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if k != held and rows:
+                yield held, rows
+                rows = []
+            held = k
+            rows.append(raw.as_py())
+    if rows:
+        yield held, rows
+
+
+def in_order(packed_rows: DataFrame, shards: int) -> DataFrame:
+    return packed_rows.repartition(shards, "shard").sortWithinPartitions("shard")
+
+
+def run_of(key: np.ndarray, doc: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs, sorted and packed by range of the key, of which there are ``ranges``."""
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+    key, doc = key[new], doc[new]
+    of = (key * np.uint64(ranges)) >> np.uint64(KEY_BITS)
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), len(key))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        d = doc[a:b]
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([int(of[a])], pa.int32()), "pairs": [packed(narrow(key[a:b]), d if d.max() >> 31 or d.min() < 0 else d.astype(np.int32))]})
+
+
+def first_digits(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs = [], []
+        keys, docs, held = [], [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for c in chunks(batch, 1):
                 keys.append(c.hash[c.at] >> np.uint64(64 - KEY_BITS))
                 docs.append(ids[c.rows[c.row_of]])
-        if not keys:
-            return
-        key, doc = np.concatenate(keys), np.concatenate(docs)
-        keys, docs = [], []
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
-        key, doc = key[new], doc[new]
-        cuts = np.searchsorted(key, np.arange(shards + 1, dtype=np.uint64) * np.uint64(1 << KEY_BITS) // np.uint64(shards))
-        for k in range(shards):
-            a, b = cuts[k], cuts[k + 1]
-            if b > a:
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "pairs": [packed(narrow(key[a:b]), doc[a:b] if doc[a:b].max() >> 31 else doc[a:b].astype(np.int32))]})
+                held += len(c.at)
+                if held > RUN_PAIRS:
+                    yield from run_of(np.concatenate(keys), np.concatenate(docs), ranges)
+                    keys, docs, held = [], [], 0
+        if held:
+            yield from run_of(np.concatenate(keys), np.concatenate(docs), ranges)
 
     return run
 
 
-def shared_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(document, hash) of the hashes that two documents have; rows come dealt by shard."""
-    found = [unpacked(p, 2) for batch in batches for p in batch.column(1).to_pylist()]
-    if not found:
-        return
-    key = np.concatenate([np.cumsum(k.astype(np.uint64), dtype=np.uint64) for k, _ in found])
-    doc = np.concatenate([d.astype(np.int64) for _, d in found])
-    found = []
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    sizes = np.diff(np.append(starts, len(key)))
-    several = doc[starts] != doc[starts + sizes - 1]  # sorted by document: the first differs from the last
-    mine = np.repeat(several, sizes)
-    key, doc = key[mine], doc[mine]
-    for k in range(0, len(key), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(doc[k : k + 100_000]), pa.array(key[k : k + 100_000].astype(np.uint32).view(np.int32))], names=["tm_id", "tm_key"])
+def pairs_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    k, d = unpacked(raw, 2)
+    return np.cumsum(k.astype(np.uint64), dtype=np.uint64), d.astype(np.int64)
+
+
+def dealt_again(ranges: int):
+    """The second pass of the first digit: the runs of a wide range are merged and cut into their narrow ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in one_by_one(batches):
+            found, held = [], 0
+            for raw in rows:
+                found.append(pairs_of(raw))
+                held += len(found[-1][0])
+                if held > RUN_PAIRS:
+                    yield from run_of(*(np.concatenate(x) for x in zip(*found, strict=True)), ranges)
+                    found, held = [], 0
+            if found:
+                yield from run_of(*(np.concatenate(x) for x in zip(*found, strict=True)), ranges)
+
+    return run
+
+
+def shared_digits(hot: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(document, key) of the keys that two documents have, keys of many documents marked."""
+        for _, rows in one_by_one(batches):
+            key, doc = (np.concatenate(x) for x in zip(*map(pairs_of, rows), strict=True))
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(starts, len(key)))
+            several = doc[starts] != doc[starts + sizes - 1]  # sorted by document: the first differs from the last
+            mine, many = np.repeat(several, sizes), np.repeat(sizes > hot, sizes)
+            doc, key = doc[mine], (key[mine] & np.uint64(HOT - 1)).astype(np.int64) + HOT * many[mine]
+            for k in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(doc[k : k + 100_000]), pa.array(key[k : k + 100_000])], names=["tm_id", "tm_key"])
+
+    return run
 
 
 def extremes(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,44 +241,80 @@ def extremes(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.log2(np.maximum(bits, 1)).astype(np.int64), np.log2(np.maximum(bits & -bits, 1)).astype(np.int64)
 
 
+def settled(key: np.ndarray, doc: np.ndarray, starts: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether a smaller document of the run has the same surroundings, so that the row's windows are repeated for sure;
+    the surroundings that the windows cover; a hash of these."""
+    far, near = extremes(starts)
+    reached = np.arange(AROUND)
+    around = around * ((reached >= (REACH - far)[:, None]) & (reached < (REACH - near + WINDOW)[:, None]))
+    view = np.ascontiguousarray(np.c_[around, starts.astype(np.uint64).view(np.uint8).reshape(-1, 8)]).view(np.uint64)
+    order = np.lexsort((doc, *view.T, key))
+    same = np.concatenate([[False], (key[order[1:]] == key[order[:-1]]) & (view[order[1:]] == view[order[:-1]]).all(axis=1)])
+    first = np.flatnonzero(~same)
+    sure = np.zeros(len(key), bool)
+    sure[order] = doc[order] > np.repeat(doc[order[first]], np.diff(np.append(first, len(order))))
+    mixed = np.zeros(len(view), np.uint64)
+    for column in view.T:
+        mixed = (mixed ^ column) * ODD
+        mixed ^= mixed >> np.uint64(29)
+    return sure, around, mixed
+
+
+def dealt_rows(to: np.ndarray, *columns: np.ndarray, sure: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Columns packed by shard; of ``sure`` rows (document, variant, place, starts) alone, after those of the open ones."""
+    by = np.argsort(to, kind="stable")
+    cuts = np.flatnonzero(np.concatenate([[True], np.diff(to[by]) > 0, [True]])) if len(by) else []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        at = by[a:b]
+        rows = [c[at] for c in columns] if sure is None else [*(c[at[~sure[at]]] for c in columns), *(c[at[sure[at]]] for c in columns[:4])]
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([int(to[at[0]])], pa.int32()), "rows": [packed(*rows)]})
+
+
 def surroundings(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[list[np.ndarray]] = [[] for _ in range(6)]
+        got: list[list[np.ndarray]] = [[] for _ in range(7)]
+        held = 0
+
+        def ship() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            key, doc, variant, place, starts, around, hot = (np.concatenate(x) for x in got)
+            for x in got:
+                x.clear()
+            held = 0
+            sure, around, _ = settled(key, doc, starts, around)
+            now = sure | ~hot
+            to = np.where(sure, doc % shards, (key >> np.uint64(32)).astype(np.int64) % shards)
+            yield from dealt_rows(to[now], *(c[now] for c in (doc, variant, place, starts, around)), sure=sure[now])
+            left = np.flatnonzero(~now)
+            for k in range(0, len(left), RUN_ROWS // 8):  # each window of a hot string by itself
+                at = left[k : k + RUN_ROWS // 8]
+                row, o = np.nonzero(starts[at, None] >> np.arange(STARTS, dtype=np.uint32) & np.uint32(1))
+                row, one = at[row], np.uint32(1) << o.astype(np.uint32)
+                sure, whole, mixed = settled(key[row], doc[row], one, around[row])
+                to = np.where(sure, doc[row] % shards, (mixed >> np.uint64(32)).astype(np.int64) % shards)
+                yield from dealt_rows(to, doc[row], variant[row], place[row], one, whole, sure=sure)
+
         for batch in batches:
-            ids, variants, wanted = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [x.values.to_numpy().view(np.uint32) if x.is_valid else None for x in batch.column(3)]
+            ids, variants, wanted = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [x.values.to_numpy() if x.is_valid else None for x in batch.column(3)]
             for c in chunks(batch, 2, wanted):
-                short = (c.hash[c.at] >> np.uint64(64 - KEY_BITS)).astype(np.uint32)
-                hit = np.zeros(len(c.at), bool)
+                short = (c.hash[c.at] >> np.uint64(64 - KEY_BITS)).astype(np.int64) & (HOT - 1)
+                hit, hot = np.zeros(len(c.at), bool), np.zeros(len(c.at), bool)
                 edges = np.searchsorted(c.row_of, np.arange(len(c.rows) + 1))
                 for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                    hit[a:b] = np.isin(short[a:b], wanted[c.rows[r]])
+                    asked = wanted[c.rows[r]]
+                    many = asked >= HOT
+                    hit[a:b] = np.isin(short[a:b], asked & (HOT - 1))
+                    if many.any():
+                        hot[a:b] = np.isin(short[a:b], asked[many] - HOT)
                 at, r = c.at[hit], c.row_of[hit]
                 begin = np.concatenate([[0], c.ends[:-1]])[r] - c.offsets[r]
-                for to, a in zip(got, (c.hash[at], ids[c.rows[r]], variants[c.rows[r]], at - begin, c.starts(at), c.around(at)), strict=True):
+                for to, a in zip(got, (c.hash[at], ids[c.rows[r]], variants[c.rows[r]], at - begin, c.starts(at), c.around(at), hot[hit]), strict=True):
                     to.append(a)
-        if not got[0]:
-            return
-        key, doc, variant, place, starts, around = (np.concatenate(x) for x in got)
-        got = []
-        # only what the windows cover counts, and goes out
-        far, near = extremes(starts)
-        reached = np.arange(AROUND)
-        around *= (reached >= (REACH - far)[:, None]) & (reached < (REACH - near + WINDOW)[:, None])
-        # equal surroundings: the smallest document speaks for all, and the later ones' windows are repeated for sure
-        view = np.ascontiguousarray(np.c_[around, starts.astype(np.uint64).view(np.uint8).reshape(-1, 8)]).view(np.uint64)
-        order = np.lexsort((doc, *view.T, key))
-        same = np.concatenate([[False], (key[order[1:]] == key[order[:-1]]) & (view[order[1:]] == view[order[:-1]]).all(axis=1)])
-        first = np.flatnonzero(~same)
-        least = np.repeat(doc[order[first]], np.diff(np.append(first, len(order))))
-        sure = np.zeros(len(key), bool)
-        sure[order] = doc[order] > least
-        shard = (key >> np.uint64(32)).astype(np.int64) % shards
-        for k in range(shards):
-            mine = np.flatnonzero(~sure & (shard == k))
-            settled = np.flatnonzero(sure & (doc % shards == k))
-            if len(mine) + len(settled):
-                open_ = (doc[mine], variant[mine], place[mine], starts[mine], around[mine])
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "rows": [packed(*open_, doc[settled], variant[settled], place[settled], starts[settled])]})
+                held += len(at)
+                if held > RUN_ROWS:
+                    yield from ship()
+        if held:
+            yield from ship()
 
     return run
 
@@ -291,49 +382,39 @@ def repeated(doc: np.ndarray, starts: np.ndarray, around: np.ndarray) -> np.ndar
 
 def spans(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come dealt by shard. Windows that share a string overlap, so they cover one span."""
-        found = [unpacked(p, 9) for batch in batches for p in batch.column(1).to_pylist()]
-        if not found:
-            return
-        doc, variant, place, starts, around = (np.concatenate([x[k] for x in found]) for k in range(5))
-        settled = [np.concatenate([x[k] for x in found]) for k in range(5, 9)]
-        found = []
-        hit = repeated(doc, starts, around) if len(doc) else starts
-        doc, variant, place, hit = (np.concatenate([a, b]) for a, b in zip((doc, variant, place, hit), settled, strict=True))
-        doc, variant, place, hit = (a[hit > 0] for a in (doc, variant, place, hit))
-        far, near = extremes(hit)
-        begin, end = place - far, place - near + WINDOW
-        to = doc % shards
-        for k in range(shards):
-            if (mine := to == k).any():
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "rows": [packed(doc[mine], variant[mine], begin[mine].astype(np.int64), end[mine].astype(np.int64))]})
+        """Windows that share a string overlap, so they cover one span."""
+        for _, rows in one_by_one(batches):
+            doc, variant, place, starts, around, *settled = (np.concatenate(x) for x in zip(*(unpacked(p, 9) for p in rows), strict=True))
+            hit = repeated(doc, starts, around) if len(doc) else starts
+            doc, variant, place, hit = (np.concatenate([a, b]) for a, b in zip((doc, variant, place, hit), settled, strict=True))
+            doc, variant, place, hit = (a[hit > 0] for a in (doc, variant, place, hit))
+            far, near = extremes(hit)
+            begin, end = place - far, place - near + WINDOW
+            yield from dealt_rows(doc % shards, doc, variant, begin.astype(np.int64), end.astype(np.int64))
 
     return run
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Maximal spans of each document; rows come dealt by document."""
-    found = [unpacked(p, 4) for batch in batches for p in batch.column(1).to_pylist()]
-    if not found:
-        return
-    doc, variant, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
-    found = []
-    order = np.lexsort((begin, variant, doc))
-    doc, variant, begin, end = doc[order], variant[order], begin[order], end[order]
-    nth = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (variant[1:] != variant[:-1])])).astype(np.int64)
-    span = int(end.max()) + 2
-    reach = np.maximum.accumulate(nth * span + end)
-    first = np.flatnonzero(np.concatenate([[True], nth[1:] * span + begin[1:] > reach[:-1]]))
-    last = np.append(first[1:], len(doc)) - 1
-    b, e = begin[first], reach[last] - nth[last] * span
-    doc, variant = doc[first], variant[first]
-    cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    for k in range(0, len(cut), 10_000):
-        c = cut[k : k + 10_000]
-        stop = cut[k + 10_000] if k + 10_000 < len(cut) else len(doc)
-        at = pa.array(np.append(c, stop) - c[0], pa.int32())
-        lists = [pa.ListArray.from_arrays(at, pa.array(x[c[0] : stop])) for x in (variant, b, e)]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[c]), *lists], names=["tm_id", "tm_of", "tm_begin", "tm_end"])
+    """Maximal spans of each document."""
+    for _, rows in one_by_one(batches):
+        doc, variant, begin, end = (np.concatenate(x) for x in zip(*(unpacked(p, 4) for p in rows), strict=True))
+        order = np.lexsort((begin, variant, doc))
+        doc, variant, begin, end = doc[order], variant[order], begin[order], end[order]
+        nth = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (variant[1:] != variant[:-1])])).astype(np.int64)
+        span = int(end.max()) + 2
+        reach = np.maximum.accumulate(nth * span + end)
+        first = np.flatnonzero(np.concatenate([[True], nth[1:] * span + begin[1:] > reach[:-1]]))
+        last = np.append(first[1:], len(doc)) - 1
+        b, e = begin[first], reach[last] - nth[last] * span
+        doc, variant = doc[first], variant[first]
+        cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        for k in range(0, len(cut), 10_000):
+            c = cut[k : k + 10_000]
+            stop = cut[k + 10_000] if k + 10_000 < len(cut) else len(doc)
+            at = pa.array(np.append(c, stop) - c[0], pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(x[c[0] : stop])) for x in (variant, b, e)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[c]), *lists], names=["tm_id", "tm_of", "tm_begin", "tm_end"])
 
 
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,15 +435,12 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shards: int | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, fan_out: int = 4096, hot: int = 1 << 13) -> DataFrame:
     """One row per document: doc_id, kept (the bytes that are left; a cut may part a character), n_bytes, n_removed, n_spans.
 
     Null and empty texts, and those shorter than a window, lose nothing. A null id counts as the largest; rows that repeat an
     id are not smaller than each other, so none takes from the other. An empty table gives no rows."""
-    spark = docs.sparkSession
     table = prepared(docs, id_col, text_col, binary=True)
-    if shards is None:
-        shards = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     again = table.groupBy("tm_id").count().where("count > 1")
     if again.limit(1).count():  # texts of one id are told apart
         variants = table.join(again.select("tm_id"), "tm_id", "left_semi").select("tm_id", F.xxhash64("tm_text").alias("tm_hash")).distinct()
@@ -371,15 +449,23 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else:
         table = table.select("tm_id", F.lit(0).alias("tm_variant"), "tm_text")
 
-    pairs = table.select("tm_id", "tm_text").mapInArrow(first_digits(shards), "shard int, pairs binary")
-    shared = pairs.repartition(shards, "shard").mapInArrow(shared_digits, "tm_id long, tm_key int")
+    n_bytes = table.agg(F.sum(F.octet_length("tm_text").cast("long"))).first()[0] or 0
+    ranges = n_bytes // 16 // RANGE_PAIRS + 1  # a window chooses a string of its own at about every 16th byte
+    texts = table.select("tm_id", "tm_text")
+    if ranges <= fan_out:
+        pairs = texts.mapInArrow(first_digits(ranges), "shard int, pairs binary")
+    else:
+        wide = int(ranges**0.5) + 1
+        pairs = in_order(texts.mapInArrow(first_digits(wide), "shard int, pairs binary"), wide).mapInArrow(dealt_again(ranges), "shard int, pairs binary")
+    shared = written(in_order(pairs, ranges).mapInArrow(shared_digits(hot), "tm_id long, tm_key long"), "suffix-keys")
     wanted = shared.groupBy("tm_id").agg(F.collect_list("tm_key").alias("tm_keys"))
 
+    shards = shared.count() // RANGE_ROWS + 1
     dealt = table.repartition("tm_id")  # texts travel once: both joins read this exchange
     asked = dealt.join(wanted, "tm_id").select("tm_id", "tm_variant", "tm_text", "tm_keys")
     rows = asked.mapInArrow(surroundings(shards), "shard int, rows binary")
-    found = rows.repartition(shards, "shard").mapInArrow(spans(shards), "shard int, rows binary")
-    gone = found.repartition(shards, "shard").mapInArrow(merged, "tm_id long, tm_of array<int>, tm_begin array<long>, tm_end array<long>")
+    found = in_order(rows, shards).mapInArrow(spans(shards), "shard int, rows binary")
+    gone = in_order(found, shards).mapInArrow(merged, "tm_id long, tm_of array<int>, tm_begin array<long>, tm_end array<long>")
     out = dealt.join(gone, "tm_id", "left").select("tm_id", "tm_variant", "tm_text", "tm_of", "tm_begin", "tm_end")
     out = out.mapInArrow(cut_out, "tm_id long, kept binary, n_bytes long, n_removed long, n_spans long")
     return out.select(given_id().alias("doc_id"), *out.columns[1:])

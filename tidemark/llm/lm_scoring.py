@@ -1,300 +1,442 @@
 """LM scoring by a probabilistic suffix tree over words.
 
-States are contexts of none, one or two words. A context can be a state when it makes up at least ``share`` of all
-training tokens, so no level of the tree has more than 1 / share states or stored successors, at any corpus size. A
-context is retained when its successors diverge from those of its suffix: their gain in likelihood must
-exceed both the cost of the numbers it stores (half a logarithm each) and ``divergence`` nats an occurrence. Successors
-that are frequent with a context are stored with an absolute discount; what is left goes to all others in
-proportion to the suffix's distribution, so every state sums to one. A token is scored in the longest retained state.
+States are contexts of none, one or more words. A context of k words is examined when it stands at least ``least`` times in the
+training text and its longest suffix is a state; it is retained when its successors diverge from those of that
+suffix: their gain in likelihood must exceed both the cost of the numbers it stores (half a logarithm each) and
+``divergence`` nats an occurrence. Successors seen ``least`` times with it are stored with an absolute discount; what is left goes to all
+others in proportion to the suffix's distribution, so every state sums to one. A token is scored in the longest
+retained state. ``least`` is a constant, so the tree grows with the corpus; levels are added until no
+context of a level is retained, or ``depth`` is reached.
 
 As a state's distribution is its suffix's times a factor, a text's score is its base score plus one term for each
-state passed. The factors fit the bound above and are broadcast. Word counts do not: the most frequent ``head`` words are
-broadcast, and occurrences of all others are joined with the counts by Spark, one row per document and word.
+state passed. Texts are split once, into written chunks of about ``chunk_tokens`` tokens: the words' hashes and a code for
+each token. All else is asked and answered: for each level a chunk asks once for each of its distinct word sequences, how
+often it occurs in all training text, and then for each of its contexts, whether it is a state. Questions are dealt by range of their hash;
+as each chunk asks once, a sequence or context that fills the corpus is no more than one question a chunk. Only sequences
+whose shorter ones occur ``least`` times are asked for. Chunks are bucketed, so they stay where they are while
+answers come to them; nothing is broadcast, and the driver sees four numbers a level.
+
+Words count by 64-bit hashes. Longer sequences are told apart by hashes of at least 44 bits and 2 to the 18 times as many values as
+there are tokens.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, given_id, prepared, written
+from .common import documents, given_id, prepared, shared_dir, written
 
-#: The end token's key: no word is empty.
-END = xxhash.xxh64_intdigest(b"") - 2**63
-CACHED = 500_000
+ODD = np.uint64(0x9E3779B97F4A7C15)
+MIX = np.uint64(0xBF58476D1CE4E5B9)
+#: Questions of a level for each shard that answers them, and chunks for each bucket.
+SHARD_TOKENS = 1 << 20
+BUCKET_BYTES = 24 << 20
+PACK, UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()  # a worker's own; tasks are single threads
 
 
 def tokens(text: bytes) -> list[bytes]:
-    """Words in lower case (A-Z alone); bytes.lower() and bytes.split() know ASCII only. The end token is left to the caller."""
-    return text.lower().split()
-
-
-def keys(words: list[bytes]) -> np.ndarray:
-    return (np.frombuffer(b"".join([xxhash.xxh64_digest(w) for w in words]), ">u8").astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+    """Words in lower case (A-Z alone) and the end, which is the empty word; bytes.lower() and bytes.split() know ASCII only."""
+    return [*text.lower().split(), b""]
 
 
 def trains(doc_id: int, folds: int, held_out: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % folds != held_out
 
 
-def count_words(folds: int, held_out: int):
+def thin(*arrays: np.ndarray) -> bytes:
+    """Arrays byte plane by byte plane, compressed."""
+    head = ",".join(f"{a.dtype.str}:{len(a)}" for a in arrays).encode()
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return PACK.compress(len(head).to_bytes(4, "little") + head + b"".join(planes))
+
+
+def thick(raw: bytes) -> list[np.ndarray]:
+    data = UNPACK.decompress(raw)
+    at = 4 + int.from_bytes(data[:4], "little")
+    out = []
+    for one in data[4:at].decode().split(","):
+        kind, n = np.dtype(one.rpartition(":")[0]), int(one.rpartition(":")[2])
+        planes = np.frombuffer(data, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += n * kind.itemsize
+    return out
+
+
+def steps(keys: np.ndarray) -> np.ndarray:
+    """First differences of sorted keys; np.cumsum gives them back."""
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, a place of each, and which of them stands at each place."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.concatenate([np.ones(min(1, len(keys)), bool), ranked[1:] != ranked[:-1]])
+    of = np.empty(len(keys), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ranked[new], order[new], of
+
+
+class Codes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def chunked(chunk_tokens: int, folds: int, held_out: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        """Documents end to end: ids, sizes, which train, the hashes of the distinct words by falling frequency, and the words' places there."""
+        chunk = TaskContext.get().partitionId() << 32
+        seen, codes, ids, held = Codes(), [], [], 0
 
         def flush() -> pa.RecordBatch:
-            n = np.fromiter(seen.values(), np.int64, len(seen))
-            k = keys(list(seen))
-            k[[i for i, w in enumerate(seen) if not w]] = END
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["key", "n"])
+            nonlocal seen, codes, ids, held, chunk
+            code, sizes = np.concatenate(codes), np.array([len(c) for c in codes], np.int64)
+            order = np.argsort(-np.bincount(code), kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(w) for w in seen]), ">u8").astype(np.uint64)[order]
+            train = np.array([trains(i, folds, held_out) for i in ids])
+            blob = thin(np.array(ids, np.int64), sizes, train, hashes, rank[code])
+            row = {"chunk": chunk, "tokens": len(code), "trained": int(sizes[train].sum()), "blob": blob}
+            chunk += 1
+            seen, codes, ids, held = Codes(), [], [], 0
+            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("chunk", pa.int64()), ("tokens", pa.int64()), ("trained", pa.int64()), ("blob", pa.binary())]))
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if trains(i, folds, held_out):
-                    seen.update(tokens(text))
-                    seen[b""] += 1
-            if len(seen) > 2_000_000:
-                yield flush()
-        if seen:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = tokens(text.as_py())
+                codes.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
+                ids.append(i)
+                held += len(words)
+                if held >= chunk_tokens:
+                    yield flush()
+        if ids:
             yield flush()
 
     return run
 
 
-class Codes:
-    """Places of words among the head's sorted keys, -1 for others; remembered by word."""
-
-    def __init__(self, head: np.ndarray):
-        self.head, self.known = head, {}
-        self.end = int(self.find(np.array([END], np.int64))[0])
-
-    def find(self, k: np.ndarray) -> np.ndarray:
-        if not len(self.head):
-            return np.full(len(k), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.head, k), len(self.head) - 1)
-        return np.where(self.head[at] == k, at, -1)
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        if len(self.known) > CACHED:
-            self.known.clear()
-        new = list(set().union(*texts) - self.known.keys())
-        self.known.update(zip(new, self.find(keys(new)).tolist(), strict=True))
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        out = np.empty(len(words) + 1, np.int64)
-        out[:-1] = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        out[-1] = self.end
-        return out
-
-
-class Tally:
-    """Counts of codes, merged whenever many have come."""
-
-    def __init__(self):
-        self.codes, self.counts, self.new, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-
-    def add(self, codes: np.ndarray) -> None:
-        self.new.append(codes)
-        self.held += len(codes)
-        if self.held > 2_000_000:
-            self.merge()
-
-    def merge(self) -> None:
-        codes, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *self.new]), return_counts=True)
-        both, n = np.concatenate([self.codes, codes]), np.concatenate([self.counts, counts])
-        order = np.argsort(both, kind="stable")
-        both, n = both[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
-        self.codes, self.counts = both[first], np.add.reduceat(n, first) if len(first) else n
-        self.new, self.held = [], 0
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        self.merge()
-        for k in range(0, len(self.codes), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(self.codes[k : k + 100_000]), pa.array(self.counts[k : k + 100_000])], names=["code", "n"])
-
-
-class Tree:
-    """Frequent words are numbered 0 to n-1; pairs are coded first * n + second, triples place of the pair * n + third."""
-
-    def __init__(self, head: np.ndarray, counts: np.ndarray, n_tokens: int, n_words: int, least: int):
-        self.head, self.log_count = head, np.log10(counts + 0.5)
-        self.norm = math.log10(n_tokens + 0.5 * (n_words + 1))
-        frequent = counts >= least
-        self.number = np.append(np.where(frequent, np.cumsum(frequent) - 1, -1), -1)  # the last: not in the head
-        self.n = int(frequent.sum())
-        self.count = counts[frequent]
-        self.p0 = (self.count + 0.5) / (n_tokens + 0.5 * (n_words + 1))
-        none = np.zeros(0, np.int64)
-        self.pairs, self.triples = none, none
-
-    def retained(self, owner: np.ndarray, n_owners: int, total: np.ndarray, stored: np.ndarray, parent: np.ndarray, allowed: np.ndarray, divergence: float, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which contexts are states; log10 of the factor of stored successors, and of a context's other successors."""
-        sums = lambda v: np.bincount(owner, v, minlength=n_owners)
-        p = (stored - discount) / total[owner]
-        rest = 1 - sums(p)
-        beyond = np.maximum(1 - sums(parent), 1e-12)
-        other = np.maximum(rest, 1e-12) / beyond
-        gain = sums(stored * np.log(p / parent)) + (total - sums(stored)) * np.log(other)
-        size = sums(np.ones(len(stored)))
-        keep = allowed & (size > 0) & (gain > 0.5 * (size + 1) * np.log(total + 1)) & (gain > divergence * total)
-        return keep, np.log10(p / parent), np.log10(other)
-
-    def grow_pairs(self, codes: np.ndarray, counts: np.ndarray, divergence: float, discount: float) -> None:
-        first, second = codes // max(self.n, 1), codes % max(self.n, 1)
-        self.pairs, self.pair_count, self.p1 = codes, counts, (counts - discount) / self.count[first]
-        self.state1, self.pair_factor, self.other1 = self.retained(first, self.n, self.count.astype(float), counts.astype(float), self.p0[second], np.ones(self.n, bool), divergence, discount)
-
-    def grow_triples(self, codes: np.ndarray, counts: np.ndarray, divergence: float, discount: float) -> None:
-        pair, third = codes // max(self.n, 1), codes % max(self.n, 1)
-        second = self.pairs[pair] % max(self.n, 1)
-        self.triples = codes
-        parent = self.p1[np.searchsorted(self.pairs, second * self.n + third)] if len(codes) else np.zeros(0)
-        allowed = self.state1[self.pairs % max(self.n, 1)] if len(self.pairs) else np.zeros(0, bool)
-        self.state2, self.triple_factor, self.other2 = self.retained(pair, len(self.pairs), self.pair_count.astype(float), counts.astype(float), parent, allowed, divergence, discount)
+class Chunk:
+    def __init__(self, raw: bytes):
+        self.ids, self.sizes, self.train, self.vocabulary, self.code = thick(raw)
+        self.word = self.vocabulary[self.code]
+
+    @cached_property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
+
+    @cached_property
+    def before(self) -> np.ndarray:
+        """Words before each in its document."""
+        return np.arange(len(self.code), dtype=np.int32) - np.repeat((np.cumsum(self.sizes) - self.sizes).astype(np.int32), self.sizes)
+
+    @cached_property
+    def trained(self) -> np.ndarray:
+        return np.repeat(self.train, self.sizes)
+
+    def grams(self, ends: np.ndarray, k: int, bits: int) -> np.ndarray:
+        """Hashes of the k words that end at each place."""
+        h = self.word[ends]
+        for j in range(1, k):
+            h = h * ODD + self.word[ends - j]
+        h = (h ^ (h >> np.uint64(29))) * MIX
+        h = (h ^ (h >> np.uint64(32))) * ODD
+        return (h ^ (h >> np.uint64(31))) >> np.uint64(64 - bits)
+
+    def per_doc(self, places: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(self.doc[places], values, minlength=len(self.ids))
+
+
+class Model:
+    """The numbers that all share."""
+
+    def __init__(self, least: int, divergence: float, discount: float):
+        self.least, self.divergence, self.discount = least, divergence, discount
+        self.bits, self.norm = 64, 1.0
+
+
+class Level:
+    """The tokens of a chunk whose context of ``level`` words is examined: ``place``, and how often these occur: ``total`` the context,
+    ``below`` the token after the context's suffix (0 below ``least``), ``wider`` that suffix."""
+
+    def __init__(self, chunk: Chunk, level: int, model: Model, state: bytes):
+        self.chunk, self.level, self.model = chunk, level, model
+        self.base, self.known, self.gain, place, self.total, self.below, self.wider = thick(state)
+        if level == 1:  # every token but a document's first, by the counts of words
+            n = self.total[chunk.code]
+            self.place = np.flatnonzero((chunk.before > 0) & (np.concatenate([[0], n[:-1]]) >= model.least))
+            self.total, self.below = n[self.place - 1], n[self.place]
+            self.below = np.where(self.below >= model.least, self.below, 0)
+        else:
+            self.place = np.cumsum(place)
 
     @staticmethod
-    def places(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        if not len(table):
-            return np.full(len(codes), -1, np.int64)
-        at = np.minimum(np.searchsorted(table, codes), len(table) - 1)
-        return np.where(table[at] == codes, at, -1)
-
-    def pair_places(self, f: np.ndarray) -> np.ndarray:
-        """For each word but the first, the place of the pair that it ends, or -1."""
-        out = np.full(max(len(f) - 1, 0), -1, np.int64)
-        both = np.flatnonzero((f[:-1] >= 0) & (f[1:] >= 0))
-        out[both] = self.places(self.pairs, f[both] * self.n + f[both + 1])
-        return out
-
-    def triple_codes(self, f: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Codes of the triples whose two pairs are both stored and whose first pair may be a state."""
-        at = np.flatnonzero((pair[:-1] >= 0) & (pair[1:] >= 0))
-        at = at[self.state1[f[at + 1]]]
-        return pair[at] * self.n + f[at + 2]
-
-    def gain(self, code: np.ndarray) -> float:
-        """Sum of the factors of the states that a text passes, beyond its base score."""
-        f = self.number[code]
-        before = f[:-1]
-        on = np.flatnonzero(before >= 0)
-        on = on[self.state1[before[on]]]
-        if not len(on):
-            return 0.0
-        pair = self.pair_places(f)
-        total = float(np.where(pair[on] >= 0, self.pair_factor[pair[on]], self.other1[before[on]]).sum()) if len(self.pairs) else float(self.other1[before[on]].sum())
-        if len(self.triples):
-            at = np.flatnonzero(pair[:-1] >= 0)
-            at = at[self.state2[pair[at]]]
-            third = f[at + 2]
-            place = np.where(third >= 0, self.places(self.triples, pair[at] * self.n + np.maximum(third, 0)), -1)
-            total += float(np.where(place >= 0, self.triple_factor[place], self.other2[pair[at]]).sum())
-        return total
-
-
-def over_texts(shared, visit):
-    """Runs visit(tree, tally, codes of a training text)."""
-
-    def outer(folds: int, held_out: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tree, tally = shared.value, Tally()
-            codes = Codes(tree.head)
-            for batch in batches:
-                for k in range(0, batch.num_rows, 256):
-                    some = batch.slice(k, 256)
-                    texts = [tokens(t) for i, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True) if trains(i, folds, held_out)]
-                    codes.learn(texts)
-                    for words in texts:
-                        tally.add(visit(tree, tree.number[codes.of(words)]))
-            yield from tally.rows()
-
-        return run
-
-    return outer
-
-
-def pair_codes(tree: Tree, f: np.ndarray) -> np.ndarray:
-    both = (f[:-1] >= 0) & (f[1:] >= 0)
-    return f[:-1][both] * tree.n + f[1:][both]
-
-
-def triple_codes(tree: Tree, f: np.ndarray) -> np.ndarray:
-    return tree.triple_codes(f, tree.pair_places(f))
+    def blob(base: np.ndarray, known: np.ndarray, gain: np.ndarray, place: np.ndarray, total: np.ndarray, below: np.ndarray, wider: np.ndarray) -> bytes:
+        return thin(base, known, gain, np.diff(place, prepend=0), total, below, wider)
+
+    def sequences(self) -> np.ndarray:
+        """Those whose count may reach ``least``."""
+        self.asked = np.flatnonzero(self.below >= self.model.least)
+        keys, self.one, self.of = distinct(self.chunk.grams(self.place[self.asked], self.level + 1, self.model.bits))
+        return keys
+
+    def count_questions(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences, and how often each occurs in the chunk's training documents."""
+        keys = self.sequences()
+        return keys, np.bincount(self.of[self.chunk.trained[self.place[self.asked]]], minlength=len(keys))
+
+    def take_counts(self, answers: list[bytes]) -> None:
+        self.sequences()
+        answer = np.concatenate([np.zeros(0, np.int64), *(thick(a)[0] for a in answers)])
+        self.n = answer >> 1
+        self.own = np.flatnonzero(answer & 1)  # the sequences that this chunk speaks for
+        self.stored = np.zeros(len(self.place), np.int64)
+        self.stored[self.asked] = self.n[self.of]
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, one, self.context = distinct(self.chunk.grams(self.place - 1, self.level, self.model.bits))
+        return keys, one
+
+    def shares(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of the tokens after their context, and after its suffix."""
+        m = self.model
+        lower = (self.below[at] + 0.5) / m.norm if self.level == 1 else (self.below[at] - m.discount) / self.wider[at]
+        return (n - m.discount) / self.total[at], lower
+
+    def state_questions(self) -> tuple[np.ndarray, ...]:
+        """The contexts, how often each occurs, and of the stored successors that this chunk speaks for, by context: their
+        number and the sums of their occurrences, probabilities here and after the suffix, and logarithms of their ratio."""
+        keys, one = self.contexts()
+        at, n = self.asked[self.one[self.own]], self.n[self.own]
+        p, lower = self.shares(at, n)
+        sums = [np.bincount(self.context[at], w, minlength=len(keys)) for w in (None, n, p, lower, n * np.log(p / lower))]
+        some = sums[0] > 0
+        return keys, self.total[one], some, *(s[some].astype(kind) for s, kind in zip(sums, (np.int64, np.int64, np.float32, np.float32, np.float32), strict=True))
+
+    def next_state(self, answers: list[bytes]) -> tuple[bytes, int]:
+        """What retained states add to the scores, and the tokens whose longer context is to be examined."""
+        self.contexts()
+        other = np.concatenate([np.zeros(0, np.float32), *(thick(a)[0] for a in answers)])[self.context].astype(float)
+        kept = np.flatnonzero(~np.isnan(other))
+        stored = self.stored[kept] > 0
+        p, lower = self.shares(kept, np.maximum(self.stored[kept], 1))
+        factor = np.where(stored, np.log10(p / np.where(stored, lower, 1.0)), other[kept])
+        gain = self.gain + self.chunk.per_doc(self.place[kept], factor)
+        counts = np.zeros(len(self.chunk.code), np.int64)
+        counts[self.place] = self.stored
+        kept = kept[(self.chunk.before[self.place[kept]] > self.level) & (counts[self.place[kept] - 1] >= self.model.least)]
+        place = self.place[kept]
+        return self.blob(self.base, self.known, gain, place, counts[place - 1], counts[place], self.total[kept]), len(place)
+
+
+def dealt(chunk: int, shards: int, bits: int, keys: np.ndarray, *columns: np.ndarray, some: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Sorted questions packed by range of the key; after ``columns`` come those that only ``some`` have."""
+    of = ((keys >> np.uint64(bits - 32)) * np.uint64(shards)) >> np.uint64(32)
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), len(keys)) if len(keys) else np.zeros(1, np.int64)
+    place = None if some is None else np.concatenate([[0], np.cumsum(some)])
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        n = 1 if some is None else 2
+        cut = [c[a:b] for c in columns[:n]] + [c[place[a] : place[b]] for c in columns[n:]]
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([int(of[a])], pa.int32()), "chunk": pa.array([chunk], pa.int64()), "blob": [thin(steps(keys[a:b]), *cut)]})
+
+
+def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[list[np.ndarray]]]]:
+    """All questions of a shard, by chunk; rows come sorted, and a shard may go on in the next batch."""
+    held, chunks, parts = None, [], []
+    for batch in batches:
+        for shard, chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if shard != held and parts:
+                yield held, chunks, parts
+                chunks, parts = [], []
+            held = shard
+            chunks.append(chunk)
+            parts.append(thick(raw.as_py()))
+    if parts:
+        yield held, chunks, parts
+
+
+def grouped(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order of all questions by key, earlier chunks first; the first of each key and each one's key there; where the parts end."""
+    key = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    return order, np.flatnonzero(new), np.cumsum(new) - 1, np.cumsum([len(p[0]) for p in parts])
+
+
+def counts_of(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each question twice the count over all chunks, 0 below ``least``, and 1 more for the chunk that is to speak for the sequence."""
+        for shard, chunks, parts in by_shard(batches):
+            order, first, of, ends = grouped(parts)
+            n = np.concatenate([p[1] for p in parts]).astype(np.int64)[order]
+            total = np.add.reduceat(n, first)
+            total[total < least] = 0
+            speaker = np.minimum.reduceat(np.where(n > 0, np.arange(len(n)), len(n)), first)[total > 0]
+            said = 2 * total[of]
+            said[speaker] += 1
+            out = np.empty(len(n), np.int64)
+            out[order] = said
+            for chunk, mine in zip(chunks, np.split(out, ends[:-1]), strict=True):
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "shard": pa.array([shard], pa.int32()), "spoken": pa.array([int((mine & 1).sum())], pa.int64()), "blob": [thin(mine)]})
+
+    return run
+
+
+def states_of(divergence: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each context that is a state log10 of the factor of successors that are not stored, else NaN."""
+        for shard, chunks, parts in by_shard(batches):
+            order, first, of, ends = grouped(parts)
+            total = np.concatenate([p[1] for p in parts])[order][first].astype(float)
+            some = np.concatenate([p[2] for p in parts])
+            group = np.empty(len(of), np.int64)
+            group[order] = of
+            size, n, p, lower, logs = (np.bincount(group[some], np.concatenate([q[k] for q in parts]), minlength=len(first)) for k in range(3, 8))
+            other = np.maximum(1 - p, 1e-12) / np.maximum(1 - lower, 1e-12)
+            gain = logs + (total - n) * np.log(other)
+            kept = (size > 0) & (gain > 0.5 * (size + 1) * np.log(total + 1)) & (gain > divergence * total)
+            out = np.where(kept, np.log10(other), np.nan).astype(np.float32)[group]
+            for chunk, mine in zip(chunks, np.split(out, ends[:-1]), strict=True):
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "shard": pa.array([shard], pa.int32()), "spoken": pa.array([0], pa.int64()), "blob": [thin(mine)]})
+
+    return run
+
+
+def bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    """Written to the shared folder by bucket of the chunk, so that joins leave it where it is. The catalogue forgets it at once."""
+    spark, table = df.sparkSession, f"tm_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidemark/{name}-{table}"
+    df.write.bucketBy(buckets, "chunk").format("parquet").option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
 
 
 def lm_scores(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 5, held_out: int = 1, share: float = 1e-6, least: int = 4, head: int = 1 << 20, divergence: float = 0.01, discount: float = 0.75
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    *,
+    folds: int = 5,
+    held_out: int = 1,
+    least: int = 2,
+    depth: int = 3,
+    divergence: float = 0.01,
+    discount: float = 0.75,
+    chunk_tokens: int = 1 << 19,
 ) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
     Documents with crc32(id as text) mod ``folds`` = ``held_out`` are scored but not learned from. Null and empty texts are one
     end token. A null id counts as 2^63 - 1; rows that repeat an id are documents of their own. Without training
-    documents all counts are zero. An empty table gives no rows. ``least`` is the fewest occurrences a share may mean."""
+    documents all counts are zero. An empty table gives no rows."""
     spark = docs.sparkSession
     table = prepared(docs, id_col, text_col, binary=True)
-    counted = table.mapInArrow(count_words(folds, held_out), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    counts = written(counted, "lm-words")
-    sizes = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens")).collect()  # 64 rows at most
-    n_tokens, n_words = sum(r.tokens for r in sizes), sum(r.words for r in sizes)
-    floor_, words = 64, 0
-    for r in sorted(sizes, key=lambda r: -r.b):
-        words += r.words
-        if words > head:
+    n_bytes = table.agg(F.sum(F.octet_length("tm_text").cast("long"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // BUCKET_BYTES + 1)
+    chunks = bucketed(table.mapInArrow(chunked(chunk_tokens, folds, held_out), "chunk long, tokens long, trained long, blob binary"), "lm-chunks", buckets)
+    sizes = chunks.agg(F.sum("tokens").alias("tokens"), F.sum("trained").alias("trained")).first()
+    n_all, n_tokens = sizes.tokens or 0, sizes.trained or 0
+    model = Model(least, divergence, discount)
+    answered = "chunk long, shard int, spoken long, blob binary"
+
+    def asked(rows: DataFrame, questions, shards: int) -> DataFrame:
+        made = rows.mapInArrow(questions, "shard int, chunk long, blob binary")
+        return made.repartition(shards, "shard").sortWithinPartitions("shard", "chunk")
+
+    def with_answers(left: DataFrame, answers: DataFrame, name: str) -> DataFrame:
+        """Answers by chunk, in order of their shards."""
+        mine = answers.repartition(buckets, "chunk").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("shard", "blob"))).alias(name))
+        return left.join(mine.hint("shuffle_hash"), "chunk", "left")  # a bucket's answers are few beside its texts
+
+    def lists(column: pa.Array) -> list[list[bytes]]:
+        return [[x["blob"] for x in row or []] for row in column.to_pylist()]
+
+    def one_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (b.slice(k, 1) for b in batches for k in range(b.num_rows))
+
+    # level 0: words
+    shards = n_all // SHARD_TOKENS + 1
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in one_each(batches):
+            c = Chunk(b.column(1)[0].as_py())
+            order = np.argsort(c.vocabulary)
+            n = np.bincount(c.code[c.trained], minlength=len(order))
+            yield from dealt(b.column(0)[0].as_py(), shards, 64, c.vocabulary[order], n[order])
+
+    counts = written(asked(chunks.select("chunk", "blob"), words, shards).mapInArrow(counts_of(1), answered), "lm-words")
+    n_words = counts.agg(F.sum("spoken")).first()[0] or 0
+    model.norm = n_tokens + 0.5 * (n_words + 1)
+    model.bits = min(64, max(44, 18 + int(n_all).bit_length()))
+
+    def first_state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in one_each(batches):
+            c = Chunk(b.column(1)[0].as_py())
+            n = np.empty(len(c.vocabulary), np.int64)
+            n[np.argsort(c.vocabulary)] = np.concatenate([thick(a)[0] for a in lists(b.column(2))[0]]) >> 1
+            base = c.per_doc(np.arange(len(c.code)), np.log10((n + 0.5) / model.norm)[c.code])
+            none = np.zeros(0, np.int64)
+            blob = Level.blob(base, c.per_doc(np.flatnonzero(n[c.code])), np.zeros(len(c.ids)), none, n, none, none)
+            yield pa.RecordBatch.from_pydict({"chunk": b.column(0), "active": pa.array([len(c.code) if (n >= model.least).any() else 0], pa.int64()), "state": [blob]})
+
+    kinds = "chunk long, active long, state binary"
+    state = bucketed(with_answers(chunks.select("chunk", "blob"), counts, "counts").mapInArrow(first_state, kinds), "lm-state", buckets)
+
+    for level in range(1, depth + 1):
+        active = state.agg(F.sum("active")).first()[0] or 0
+        if not active:
             break
-        floor_ = r.b
-    least = max(least, math.ceil(share * n_tokens))
-    cut = min(2**floor_, least)  # at most max(head, 1 / share) words
-    top = counts.where(F.col("n") >= cut).toArrow().sort_by("key")
-    tree = Tree(top.column("key").to_numpy(), top.column("n").to_numpy(), n_tokens, n_words, least)
-
-    def frequent(visit) -> tuple[np.ndarray, np.ndarray]:
-        shared = spark.sparkContext.broadcast(tree)
-        sums = table.mapInArrow(over_texts(shared, visit)(folds, held_out), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        found = sums.toArrow().sort_by("code")  # at most 1 / share rows
-        return found.column("code").to_numpy(), found.column("n").to_numpy()
-
-    tree.grow_pairs(*frequent(pair_codes), divergence, discount)
-    tree.grow_triples(*frequent(triple_codes), divergence, discount)
-    shared = spark.sparkContext.broadcast(tree)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
-        codes, row = Codes(tree.head), TaskContext.get().partitionId() << 33
-        names = ["tm_row", "tm_id", "held_out", "n_tokens", "known", "logs", "gain", "rest", "rest_n"]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
-                texts = [tokens(t) for t in some.column(1).to_pylist()]
-                codes.learn(texts)
-                rows = []
-                for i, words in zip(some.column(0).to_pylist(), texts, strict=True):
-                    code = codes.of(words)
-                    found = code[code >= 0]
-                    rest = Counter(words[j] for j in np.flatnonzero(code[:-1] < 0))
-                    rows.append((row, i, not trains(i, folds, held_out), len(code), len(found), float(tree.log_count[found].sum()), tree.gain(code), keys(list(rest)), np.fromiter(rest.values(), np.int64, len(rest))))
-                    row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    schema = "tm_row long, tm_id long, held_out boolean, n_tokens long, known long, logs double, gain double, rest array<long>, rest_n array<long>"
-    scored = written(table.mapInArrow(score, schema), "lm-scores")
-    rest = scored.select("tm_row", F.explode(F.arrays_zip("rest", "rest_n")).alias("w")).select("tm_row", F.col("w.rest").alias("key"), F.col("w.rest_n").alias("tf"))
-    less = counts.where(F.col("n") < cut)
-    more = rest.join(less, "key").groupBy("tm_row").agg(F.sum("tf").alias("more_known"), F.sum(F.col("tf") * F.log10(F.col("n") + 0.5)).alias("more_logs"))
-    known = F.col("known") + F.coalesce("more_known", F.lit(0))
-    base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + (F.col("n_tokens") - known) * math.log10(0.5) - F.col("n_tokens") * tree.norm
-    return scored.drop("rest", "rest_n").join(more, "tm_row", "left").select(
-        given_id().alias("doc_id"), "held_out", "n_tokens", known.alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score")
-    )
+        shards = active // SHARD_TOKENS + 1
+        placed = chunks.select("chunk", "blob").join(state.select("chunk", "state").hint("shuffle_hash"), "chunk")
+
+        def levels(batches: Iterator[pa.RecordBatch], level=level) -> Iterator[tuple[int, Level, list[list[bytes]]]]:
+            for b in one_each(batches):
+                yield b.column(0)[0].as_py(), Level(Chunk(b.column(1)[0].as_py()), level, model, b.column(2)[0].as_py()), [lists(c)[0] for c in b.columns[3:]]
+
+        def ask_counts(batches: Iterator[pa.RecordBatch], levels=levels, shards=shards) -> Iterator[pa.RecordBatch]:
+            for chunk, at, _ in levels(batches):
+                yield from dealt(chunk, shards, model.bits, *at.count_questions())
+
+        def ask_states(batches: Iterator[pa.RecordBatch], levels=levels, shards=shards) -> Iterator[pa.RecordBatch]:
+            for chunk, at, (n,) in levels(batches):
+                at.take_counts(n)
+                keys, total, some, *sums = at.state_questions()
+                yield from dealt(chunk, shards, model.bits, keys, total, some, *sums, some=some)
+
+        def go_on(batches: Iterator[pa.RecordBatch], levels=levels) -> Iterator[pa.RecordBatch]:
+            for chunk, at, (n, other) in levels(batches):
+                at.take_counts(n)
+                blob, left = at.next_state(other)
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "active": pa.array([left], pa.int64()), "state": [blob]})
+
+        counts = written(asked(placed, ask_counts, shards).mapInArrow(counts_of(least), answered), "lm-counts")
+        counted = with_answers(placed, counts, "counts")
+        states = written(asked(counted, ask_states, shards).mapInArrow(states_of(divergence), answered), "lm-states")
+        state = bucketed(with_answers(counted, states, "states").mapInArrow(go_on, kinds), "lm-state", buckets)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in one_each(batches):
+            ids, sizes, train, _, _ = thick(b.column(0)[0].as_py())
+            base, known, gain, *_ = thick(b.column(1)[0].as_py())
+            names = ["tm_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, ~train, sizes, known, np.full(len(ids), n_tokens), base, base + gain)], names=names)
+
+    out = chunks.select("chunk", "blob").join(state.hint("shuffle_hash"), "chunk").select("blob", "state").mapInArrow(scored, "tm_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out.select(given_id().alias("doc_id"), *out.columns[1:])
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,14 @@ def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     )
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it as long as a column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def given_id(column: str = "tm_id") -> Column:
     """The id as it was given: null where it was null."""
     return F.nullif(F.col(column), F.lit(NULL_ID))

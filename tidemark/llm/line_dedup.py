@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .common import NULL_ID, documents, written
+from .common import NULL_ID, documents, unused, written
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 KEYS_PER_SHARD = 1 << 18
@@ -150,9 +150,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``min_chars`` code points found in at least ``min_docs`` documents loses its lines except in the largest
     doc_id holding it. Null and empty texts are one empty line; a null id counts as the largest; rows that
     repeat an id count as so many documents, and all of the largest id keep the line. Extra columns pass
-    through untouched."""
+    through untouched, whatever their names; only columns already called tm_n_lines or tm_n_dropped make way for these."""
     spark = docs.sparkSession
     ship(spark)
+    docs = docs.drop("tm_n_lines", "tm_n_dropped")
+    id_, hash_, gone_ = (unused(docs, n) for n in ("tm_id", "tm_hash", "tm_gone"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
     keyed = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("tm_id"), text.alias("tm_text"))
     counted = keyed.mapInArrow(hashes(min_chars), "low long, high long, tm_id long").groupBy("low", "high").agg(F.count(F.lit(1)).alias("docs"), F.max("tm_id").alias("last"))
@@ -173,7 +175,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def loaded(shards: list[int]):
         return spark.sparkContext.broadcast([(r.shard, bytes(r.arrays)) for r in index.where(F.col("shard").isin(shards)).collect()] if shards else [])
 
-    wide = docs.withColumn("tm_id", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))).withColumn(text_col, text)
+    wide = docs.withColumn(id_, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))).withColumn(text_col, text)
     raw = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text_col else f.dataType) for f in wide.schema])
     at = raw.names.index(text_col)
     counts = [T.StructField("tm_n_lines", T.LongType()), T.StructField("tm_n_dropped", T.LongType())]
@@ -186,7 +188,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     if len(rounds) == 1:
         shared = loaded(rounds[0])
-        id_at = raw.names.index("tm_id")
+        id_at = raw.names.index(id_)
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shards = {k: pickle.loads(b) for k, b in shared.value}
@@ -196,7 +198,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         out = wide.mapInArrow(probe, T.StructType([*raw.fields, *counts]))
     else:
-        wide = wide.withColumn("tm_hash", F.xxhash64(text_col))
+        wide = wide.withColumn(hash_, F.xxhash64(f"`{text_col}`"))
         hits = None
         for shards in rounds:
             shared = loaded(shards)
@@ -208,18 +210,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     gone = dropped_lines(ids, texts, mine, n_shards, min_chars, min_docs)
                     yield pa.RecordBatch.from_pydict({"tm_id": pa.array([ids[r] for r in gone], pa.int64()), "tm_hash": pa.array([h[r] for r in gone], pa.int64()), "tm_gone": pa.array(list(gone.values()), pa.list_(pa.int32()))})
 
-            part = written(wide.select("tm_id", text_col, "tm_hash").mapInArrow(hit, "tm_id long, tm_hash long, tm_gone array<int>").dropDuplicates(["tm_id", "tm_hash"]), "line-hits")
+            part = written(wide.select(id_, f"`{text_col}`", hash_).mapInArrow(hit, "tm_id long, tm_hash long, tm_gone array<int>").dropDuplicates(["tm_id", "tm_hash"]), "line-hits")
             hits = part if hits is None else hits.unionByName(part)
-        hits = hits.groupBy("tm_id", "tm_hash").agg(F.flatten(F.collect_list("tm_gone")).alias("tm_gone"))  # one array for each round
+        hits = hits.groupBy("tm_id", "tm_hash").agg(F.flatten(F.collect_list("tm_gone")).alias(gone_))  # one array for each round
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 gone = {r: g for r, g in enumerate(batch.column(batch.num_columns - 1).to_pylist()) if g}
                 yield finish(pa.RecordBatch.from_arrays(batch.columns[: len(raw.names)], names=raw.names), batch.column(at).to_pylist(), gone)
 
-        with_gone = wide.join(hits, ["tm_id", "tm_hash"], "left").select(*(F.col(f"`{n}`") for n in raw.names), "tm_gone")
+        hits = hits.withColumnsRenamed({"tm_id": id_, "tm_hash": hash_})
+        with_gone = wide.join(hits, [id_, hash_], "left").select(*(F.col(f"`{n}`") for n in raw.names), gone_)
         out = with_gone.mapInArrow(cut, T.StructType([*raw.fields, *counts]))
-    return out.withColumn(text_col, F.col(f"`{text_col}`").cast("string")).drop("tm_id")
+    return out.withColumn(text_col, F.col(f"`{text_col}`").cast("string")).drop(id_)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

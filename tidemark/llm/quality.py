@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .common import documents
+from .common import documents, written
 
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 INSULTS = frozenset("idiot idiots idiotic moron morons stupid dumb loser losers scum trash garbage pathetic worthless disgusting clown bastard bitch whore slut fool jerk crap shit fuck fucking asshole retard filthy vermin".split())
@@ -180,12 +180,13 @@ def mined(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
             yield pa.RecordBatch.from_pydict({"stem": pa.array(some, pa.string()), "toxic": pa.array([words[1][s] for s in some], pa.int64()), "docs": pa.array([held[1][s] for s in some], pa.int64()), "clean": pa.array([words[0][s] for s in some], pa.int64())})
 
     sums = texts.select("tm_text", "tm_toxic").mapInArrow(count, "stem string, toxic long, docs long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"), F.sum("clean").alias("clean"))
-    found = sums.where((F.col("docs") >= 5) | (F.col("stem") == "")).orderBy(F.desc("docs"), "stem").limit(20_000).collect()
-    total = next((r for r in found if r.stem == ""), None)
+    sums = written(sums, "quality-stems")
+    total = sums.where("stem = ''").first()
     if total is None or not total.toxic:
         return frozenset()
     rate = (total.clean + 1) / total.toxic
-    return frozenset(r.stem for r in found if r.stem and r.docs >= max(5, total.docs / 25) and r.toxic * rate >= ratio * (r.clean + 4))
+    often = (F.col("stem") != "") & (F.col("docs") >= max(5.0, total.docs / 25)) & (F.col("toxic") * rate >= ratio * (F.col("clean") + 4))
+    return frozenset(r.stem for r in sums.where(often).select("stem").collect())  # at most 25 times the stems of a toxic text
 
 
 def fitted(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 150, decay: float = 3e-5) -> tuple[np.ndarray, float]:
@@ -215,13 +216,15 @@ def fitted(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 150,
 def quality_scores(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", *, train_docs: int = 4000, label_rows: int = 8000) -> DataFrame:
     """All columns of ``docs``, then tm_votes, tm_posterior, tm_score (probability of "reject") and tm_kept (score below a half).
 
-    Null and empty texts, and those of white space alone, get no votes, the score 0 and are kept. Ids only link labels and draw
-    the sample: null and repeated ones are scored like any row. Without labels the stems are empty. An empty table gives no rows."""
+    Null and empty texts, and those of white space alone, get no votes, the score 0 and are kept. Ids only link labels:
+    null and repeated ones are scored like any row. Equal texts count once in the sample. Without labels the stems are
+    empty. An empty table gives no rows. Extra columns pass through, but those already called as the new ones make way."""
     spark = docs.sparkSession
     ship(spark)
+    docs = docs.drop("tm_votes", "tm_posterior", "tm_score", "tm_kept")
     stems = mined(docs, labels, id_col, text_col, label_rows) if labels is not None else frozenset()
     lexicon = spark.sparkContext.broadcast(stems)
-    texts = docs.select(F.col(f"`{id_col}`").cast("string").alias("tm_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("tm_text"))
+    texts = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("tm_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, seen = Kinds(lexicon.value), Counter()
@@ -238,7 +241,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame | None = None, id_col: str
     total = sum(patterns.values())
     one_in = max(1, total // train_docs)
     shared = spark.sparkContext.broadcast(posterior)
-    sample = texts.where(F.pmod(F.xxhash64(F.coalesce("tm_id", F.lit("")), F.lit(11)), F.lit(one_in)) == 0)
+    drawn = F.xxhash64("tm_text", F.lit(11))  # one in so many of the distinct texts, so their number is about train_docs at most
+    sample = texts.where(F.pmod(drawn, F.lit(one_in)) == 0).groupBy(drawn.alias("tm_drawn")).agg(F.min("tm_text").alias("tm_text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, places = Kinds(lexicon.value), Places()

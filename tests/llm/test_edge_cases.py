@@ -1,5 +1,6 @@
 """Every operator against brute force on a small table with nulls, empty and long texts, ties, repeated rows and extra columns."""
 
+import functools
 import hashlib
 import math
 import re
@@ -11,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, licenses, line_dedup, lm_scoring, mixing, order_minhash, packing, quality, simhash, suffix_dedup
+from tidemark.llm import common, exact_dedup, licenses, line_dedup, lm_scoring, mixing, order_minhash, packing, quality, simhash, suffix_dedup
 
 LINE = "This shared line is certainly longer than forty characters, yes."
 LONG = "Lorem ipsum dolor sit amet " * 30_000
@@ -293,6 +294,59 @@ def test_order_minhash(docs):
         assert r.fingerprint == a.astype("<u4").tobytes().hex()
 
 
+def brute_sketch(t):
+    """Every selection by itself, with plain integers."""
+    m = lambda v: v % 2**64
+
+    def mix(v):
+        v = m((v ^ (v >> 30)) * int(order_minhash.B))
+        v = m((v ^ (v >> 27)) * int(order_minhash.C))
+        return v ^ (v >> 31)
+
+    a = int(order_minhash.A)
+    w = [int.from_bytes(xxhash.xxh64_digest(x.encode()), "little") for x in re.findall(r"[^\x20\x09-\x0D]{1,24}", t)]
+    grams = [m(x * a + y) for x, y in zip(w, w[1:])] if len(w) > 1 else w
+    seen, ranked = Counter(), []
+    for g in grams:
+        ranked.append(mix(m(g + seen[g] * a)) >> 32)
+        seen[g] += 1
+    out = []
+    for f, b in zip(order_minhash.FACTORS[:, 0].tolist(), order_minhash.ADDED[:, 0].tolist(), strict=True):
+        picked = sorted(sorted(range(len(grams)), key=lambda i: ((ranked[i] * f + b) % 2**32, i))[:2])
+        h = 0
+        for i in picked:
+            h = mix(m(h * a + grams[i]))
+        out.append(max(h >> 32, 1) if picked else 0)
+    return out
+
+
+def test_order_minhash_against_brute_force(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [t or "" for _, t in TEXTS if t != LONG] + [" ".join(f"w{x}" for x in rng.integers(0, 40, n)) for n in (2, 3, 20, 300)]
+    for block in (4096, 7):
+        monkeypatch.setattr(order_minhash, "BLOCK", block)
+        for t in texts:
+            assert order_minhash.fingerprint(t).tolist() == brute_sketch(t)
+
+
+@pytest.mark.parametrize("n", [20, 40, 60, 100, 200, 1000])
+def test_swapped_halves_are_told(n):
+    w = [f"w{k}" for k in range(n)]
+    like = order_minhash.likeness(order_minhash.fingerprint(" ".join(w)), order_minhash.fingerprint(" ".join(w[n // 2 :] + w[: n // 2])))
+    assert 0.5 < like < 0.8
+
+
+def test_order_minhash_splits_a_repeated_id(spark):
+    """An id of most rows fills several buckets; each row is still followed by the next one."""
+    df = spark.createDataFrame([(5, f"text number {k}") for k in range(60)] + [(k, f"own {k}") for k in (1, 9)], "doc_id long, text string").repartition(3)
+    dealt = order_minhash.with_next(common.prepared(df), 8)
+    assert dealt.where("tm_id = 5").select("tm_bucket").distinct().count() > 3
+    got = order_minhash.order_minhash(df, buckets=8)
+    assert got.count() == 62 and got.where("doc_id = 9").count() == 1
+    prints = {order_minhash.fingerprint(r.text).astype("<u4").tobytes().hex() for r in df.collect()}
+    assert {r.fingerprint for r in got.collect()} == prints
+
+
 def test_order_minhash_knows_order():
     a = [f"w{k}" for k in range(400)]
     moved = a[200:] + a[:200]
@@ -319,6 +373,67 @@ def test_license_templates_need_the_key_phrase(spark):
     assert got[1].labels == "mit" and got[2].labels == ""
 
 
+def brute_labels(texts):
+    """By trying every start of every template: (label, best share) of each text."""
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(t)) for t in texts]
+    held = Counter(w for x in words for w in set(x))
+    idf = lambda w: math.log((len(texts) + 1) / (held[w] + 1)) + 1e-9
+    out = []
+    for x in words:
+        mine = {}
+        for label, sentence, key in [*((k, *v) for k, v in licenses.TEMPLATES.items()), *licenses.NOTICES]:
+            t, k = sentence.split(), key.split()
+            at = next(i for i in range(len(t)) if t[i : i + len(k)] == k)
+            for s in range(-at, len(x)):
+                if x[s + at : s + at + len(k)] != k or s + at < 0:
+                    continue
+
+                @functools.cache
+                def best(i, j, stop, s=s, t=t, x=x):
+                    """Of the template's words from i on and the text's from j on, both before a stop."""
+                    if i >= stop[0] or j >= stop[1]:
+                        return 0.0
+                    pick = idf(t[i]) + best(i + 1, j + 1, stop) if t[i] == x[j] and abs(j - s - i) <= licenses.DRIFT else 0.0
+                    return max(pick, best(i + 1, j, stop), best(i, j + 1, stop))
+
+                found = sum(map(idf, k)) + best(0, max(0, s - 4), (at, s + at)) + best(at + len(k), s + at + len(k), (len(t), min(len(x), s + len(t) + 4)))
+                share = found / sum(map(idf, t))
+                if share >= licenses.SHARE:
+                    mine[label] = max(mine.get(label, 0), share)
+        out.append(mine)
+    return out
+
+
+def test_license_labels_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    sentences = [v[0].split() for v in licenses.TEMPLATES.values()] + [n[1].split() for n in licenses.NOTICES]
+    texts = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "# SPDX-License-Identifier: MIT", "the MIT license office", "", "the of to"]
+    for _ in range(150):
+        words = []
+        for k in rng.integers(0, len(sentences), int(rng.integers(0, 4))):
+            w = [x for x in sentences[k] if rng.random() > 0.15]
+            for p in sorted(rng.integers(0, len(w) + 1, int(rng.integers(0, 4)))):
+                w.insert(p, "filler")
+            words += ["plain", "text", *w]
+        texts.append(" ".join(words))
+    want = brute_labels(texts)
+    base = [{v for p, v in licenses.PHRASES.items() if f" {p} " in " " + re.sub(r"[^a-z0-9]+", " ", t.lower()).strip() + " "} for t in texts]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert sum(map(bool, want)) > 40
+    for i, (mine, b) in enumerate(zip(want, base, strict=True)):
+        assert got[i].labels == ",".join(sorted({*mine, *b})) and math.isclose(got[i].score, max([*mine.values(), *(1.0 for _ in b)], default=0), rel_tol=1e-6)
+    assert [got[k].labels for k in range(8)] == ["mit", "apache", "cc-by,cc-by-nc", "gpl", "mit", "", "", ""]
+
+
+def test_every_license_line_of_the_documents_is_labelled(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lines = {"Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "GNU General Public License, version 3.": "gpl"}
+    got = licenses.license_scan(docs).join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").rlike("(?i)licen")).collect()
+    assert len(got) > 10
+    for r in got:
+        assert {v for k, v in lines.items() if k in r.text} <= set(r.labels.split(","))
+
+
 def test_lm_scores(docs):
     got = rows(lm_scoring.lm_scores(docs))
     toks = {i: [*re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(t or "")), None] for i, t in TEXTS}
@@ -333,14 +448,68 @@ def test_lm_scores(docs):
     assert got[12].score > got[12].base_score
 
 
-def test_tree_states_sum_to_one():
-    counts = np.array([50, 40, 30, 20, 10])
-    tree = lm_scoring.Tree(np.arange(5), counts, 150, 5, 4)
-    codes = np.array([0 * 5 + 1, 0 * 5 + 2, 1 * 5 + 0])
-    tree.grow_pairs(codes, np.array([30, 10, 20]), 0.0, 0.75)
-    stored = tree.p0[[1, 2]] * 10 ** tree.pair_factor[:2]
-    rest = (1 - tree.p0[[1, 2]].sum()) * 10 ** tree.other1[0]
-    assert math.isclose(stored.sum() + rest, 1)
+def brute_tree(table, least=2, depth=3, divergence=0.01, discount=0.75):
+    """Scores by id, whether each trains, and the distribution after every state (None: any unknown word)."""
+    toks = {i: [*re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(t or "")), ""] for i, t in table}
+    train = [x for i, x in toks.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    count = [None, *(Counter(tuple(x[j : j + k]) for x in train for j in range(len(x) - k + 1)) for k in range(1, depth + 2))]
+    norm = sum(count[1].values()) + 0.5 * (len(count[1]) + 1)
+    p0 = lambda w: (count[1][w,] + 0.5) / norm
+    stored, other = {}, {}
+    examined = {c for c, n in count[1].items() if n >= least and c != ("",)}
+    for k in range(1, depth + 1):
+        after = defaultdict(dict)
+        for g, n in count[k + 1].items():
+            if n >= least and g[:-1] in examined:
+                after[g[:-1]][g[-1]] = n
+        for c, n in after.items():
+            total = count[k][c]
+            p = {w: (n[w] - discount) / total for w in n}
+            q = {w: p0(w) if k == 1 else stored[c[1:]][w] for w in n}
+            rest = max(1 - sum(p.values()), 1e-12) / max(1 - sum(q.values()), 1e-12)
+            gain = sum(n[w] * math.log(p[w] / q[w]) for w in n) + (total - sum(n.values())) * math.log(rest)
+            stored[c] = p
+            if gain > 0.5 * (len(n) + 1) * math.log(total + 1) and gain > divergence * total:
+                other[c] = rest
+        examined = {g for g, n in count[k + 1].items() if n >= least and g[:-1] in examined and g[1:] in other and g[-1]}
+
+    def p_after(context, w):
+        """In the longest state; states are followed from the shortest on."""
+        p = p0(w)
+        for k in range(1, depth + 1):
+            c = tuple(context[-k:])
+            if len(c) < k or c not in other:
+                break
+            p = stored[c].get(w, p * other[c])
+        return p
+
+    scores = {i: sum(math.log10(p_after(x[:j], w)) for j, w in enumerate(x)) for i, x in toks.items()}
+    return scores, other, {c: sum(p_after(c, w) for w in [*(g[0] for g in count[1]), None]) for c in other}
+
+
+@pytest.mark.parametrize("chunk_tokens", [60, 1 << 19])
+def test_suffix_tree_against_brute_force(spark, monkeypatch, chunk_tokens):
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 200)
+    rng = np.random.default_rng(8)
+    phrases = [[f"w{x}" for x in rng.integers(0, 60, int(rng.integers(2, 9)))] for _ in range(40)]
+    table = [(i, " ".join(w for k in rng.integers(0, 40, int(rng.integers(0, 30))) for w in [*phrases[k], f"w{rng.integers(0, 60)}"])) for i in range(120)]
+    table += [(200, None), (201, ""), (202, table[5][1]), (203, table[5][1].upper()), (204, "unheard of")]
+    want, states, sums = brute_tree(table)
+    assert max(map(len, states)) > 2 and all(math.isclose(v, 1, abs_tol=1e-9) for v in sums.values())
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(5)
+    got = {i: r.score for i, r in rows(lm_scoring.lm_scores(df, chunk_tokens=chunk_tokens)).items()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in want)
+
+
+def test_held_out_gain_grows_with_the_corpus(spark):
+    """More text retains more contexts, so texts that are not learned from are told better."""
+
+    def gain(docs):
+        r = lm_scoring.lm_scores(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+        return (r[0] - r[1]) / r[2]
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert gain(docs) > gain(docs.where("doc_id % 4 = 1")) > 0
 
 
 def test_quality(docs, spark):
@@ -373,3 +542,20 @@ def test_quality_held_out_accuracy(spark):
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     r = out.agg(F.avg(F.when(bad, (~F.col("tm_kept")).cast("int"))).alias("caught"), F.avg(F.when(~bad, F.col("tm_kept").cast("int"))).alias("left")).first()
     assert r.caught > 0.75 and r.left > 0.97
+
+
+def test_columns_that_are_called_like_ours(docs):
+    """They pass through, or make way where the result itself has the name."""
+    clash = docs.withColumnsRenamed({"n": "tm_id", "kept": "tm_hash", "sequence_id": "tm_gone"}).withColumn("tm_n_lines", F.lit("old")).withColumn("tm_score", F.lit("old"))
+    for round_bytes in (1 << 25, 1):
+        got = rows(line_dedup.line_dedup(clash, min_docs=3, round_bytes=round_bytes))
+        assert {i: (r.tm_n_lines, r.tm_n_dropped, r.text) for i, r in got.items()} == brute_lines(TEXTS, 3)
+        assert got[8].tm_id == 7 and got[8].tm_hash == "x7" and got[8].tm_score == "old"
+    assert all(isinstance(r.tm_score, float) and r.tm_hash for r in quality.quality_scores(clash).collect())
+
+
+def test_one_repeated_id_does_not_fill_the_sample(spark):
+    """The sample is drawn by text, so rows that share an id are not drawn together, and copies count once."""
+    df = spark.createDataFrame([(3, f"plain words number {k} of a text" if k % 2 else "the same text again and again") for k in range(400)], "doc_id long, text string")
+    got = quality.quality_scores(df, train_docs=20).collect()
+    assert len(got) == 400 and all(r.tm_kept for r in got)

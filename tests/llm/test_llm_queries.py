@@ -1,9 +1,10 @@
 import pytest
 from oracle import same
+from test_whole_job import brute_near
 
 import corpus_pipeline
 from tidemark import llm
-from tidemark.llm import common, simhash
+from tidemark.llm import common
 
 
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
@@ -27,16 +28,7 @@ def test_pipeline_stages(spark, sf):
     lines = common.written(corpus_pipeline.drop_lines(spark, kept, sf), "t")
     assert lines.columns == names and lines.count() == kept.count() and lines.where("n_chars <> length(text)").count() == 0
     near = common.written(corpus_pipeline.drop_near_copies(spark, lines, sf), "t")
-    prints = {r["doc_id"]: simhash.simhash((r["text"] or "").encode(), 5) for r in lines.collect()}
-    value = {i: int.from_bytes(p, "big") for i, p in prints.items()}
-    left = set(value)
-    for i in sorted(value):  # the smallest id that links reach stays
-        group, new = {i}, {i}
-        while new:
-            new = {j for j in value if j not in group and any(bin(value[j] ^ value[k]).count("1") <= 3 for k in new)}
-            group |= new
-        if min(group) != i:
-            left.discard(i)
+    left, _ = brute_near([(r["doc_id"], r["text"] or "") for r in lines.collect()])  # three bits, or a Jaccard similarity of 0.8
     assert {r["doc_id"] for r in near.select("doc_id").collect()} == left
     mixed = common.written(corpus_pipeline.mix(spark, near, sf), "t")
     assert mixed.columns == names

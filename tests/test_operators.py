@@ -207,3 +207,21 @@ def test_diff_pages(spark):
 def test_sql_functions(spark):
     X.register_sql(spark)
     assert spark.sql("SELECT tm_fix_email(' A@B.C '), tm_fix_zipcode('101')").first()[:] == ("a@b.c", "00101")
+
+
+@pytest.mark.parametrize("n", [1, 6, 12])
+def test_repairs_in_a_row_read_the_table_once(spark, tmp_path, n):
+    """Statistics are taken once, so plans grow with the number of repairs and do not double."""
+    spark.range(50).select("id", *(F.when(F.col("id") % (k + 2) > 0, F.col("id").cast("double")).alias(f"x{k}") for k in range(n))).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    for k in range(n):
+        df = heal.impute(df, ["mean", "median", "mode"][k % 3], [f"x{k}"])
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    assert df.where(" or ".join(f"x{k} is null" for k in range(n))).count() == 0
+
+
+def test_mode_of_times_is_kept(spark):
+    df = spark.sql("select cast(t as timestamp_ntz) t, cast(t as timestamp) z, cast(t as date) d from values ('2024-03-10 02:30:00.123456'), ('2024-03-10 02:30:00.123456'), (null), ('2020-01-01 00:00:00') as v(t)")
+    got = heal.impute(df, "mode", ["t", "z", "d"])
+    assert got.dtypes == df.dtypes and got.where("t is null or z is null or d is null").count() == 0
+    assert got.where("t = timestamp_ntz '2024-03-10 02:30:00.123456' and d = date '2024-03-10' and z = timestamp '2024-03-10 02:30:00.123456'").count() == 3

@@ -1,5 +1,5 @@
-"""Healing: DataFrame to DataFrame repairs. Statistics of several columns come from one aggregate and join as one
-broadcast row, so a repair stays lazy."""
+"""Healing: DataFrame to DataFrame repairs. Statistics of several columns come from one aggregate, which is run once; the
+repair holds them as constants, so any number of repairs in a row reads the table once."""
 
 from __future__ import annotations
 
@@ -11,7 +11,13 @@ from ..functions.formats import FIXERS, normalise_category, to_boolean, to_integ
 
 
 def _with_stats(df: DataFrame, stats: dict[str, Column]) -> DataFrame:
-    return df.crossJoin(F.broadcast(df.agg(*(c.alias(k) for k, c in stats.items()))))
+    if not stats:
+        return df
+    row = df.agg(*(c.alias(k) for k, c in stats.items()))
+    kinds = {f.name: f.dataType for f in row.schema}
+    # points in time go by way of text: constants from Python would be read in Python's time zone
+    got = row.select(*(F.col(k).cast("string").alias(k) if is_temporal(kinds[k]) else F.col(k) for k in stats)).first()
+    return df.withColumns({k: F.lit(got[k]).cast(kinds[k]) for k in stats})
 
 
 def _replaced(df: DataFrame, source: DataFrame, new: dict[str, Column]) -> DataFrame:
@@ -150,8 +156,7 @@ def auto_normalise(df: DataFrame, most: int = 50) -> DataFrame:
     columns = string_columns(df)
     if not columns:
         return df
-    few = df.agg(*(F.count_distinct(col(c)).alias(f"k{i}") for i, c in enumerate(columns)))
-    both = df.crossJoin(F.broadcast(few))
+    both = _with_stats(df, {f"k{i}": F.count_distinct(col(c)) for i, c in enumerate(columns)})
     return _replaced(df, both, {c: F.when(F.col(f"k{i}") <= most, normalise_category(col(c))).otherwise(col(c)) for i, c in enumerate(columns)})
 
 
@@ -184,6 +189,3 @@ def validate_transformation(before: DataFrame, after: DataFrame) -> DataFrame:
     records += [{"warning": F.lit("column removed"), "column": F.lit(c), "hit": F.lit(True)} for c in before.columns if c not in after.columns]
     records += [{"warning": F.lit("column added"), "column": F.lit(c), "hit": F.lit(True)} for c in after.columns if c not in before.columns]
     return long_form(row, records).where("hit").drop("hit")
-
-
-

@@ -91,7 +91,8 @@ def deduplicate(df: DataFrame, key: str | None, subset: list[str] | None = None,
     if key is None and keep is not False:  # rows without an order: any of the equal ones
         return df.dropDuplicates(subset)
     if keep is False:
-        return df.withColumn("tm_n", F.count(F.lit(1)).over(Window.partitionBy(*by))).where("tm_n = 1").drop("tm_n")
+        alone = df.groupBy(*(b.alias(f"tm_g{i}") for i, b in enumerate(by))).agg(F.count(F.lit(1)).alias("tm_n"), F.any_value(F.struct(*(col(c) for c in df.columns))).alias("tm_row"))
+        return alone.where("tm_n = 1").select("tm_row.*")
     row = F.struct(*(col(c) for c in df.columns))
     best = (F.min_by if keep == "first" else F.max_by)(row, col(key))
     grouped = df.groupBy(*(b.alias(f"tm_g{i}") for i, b in enumerate(by))).agg(best.alias("tm_row"))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.engine import DataQuality
+from tidemark.functions import formats
 from tidemark.sources import encoding, errors, naming, readers
 from tidemark.sources.sinks import DatasetStore, write_csv
 from tidemark.streaming import quality
@@ -67,6 +68,34 @@ def test_csv_corrupt_rows(spark, tmp_path):
         readers.read(spark, put(tmp_path, "c.csv", ""))
 
 
+def test_csv_breaks_and_headers(spark, tmp_path):
+    out = readers.read(spark, put(tmp_path, "a.csv", 'id,note\n1,"x\ny, ""z"""\n2,w\nid,note\n3,"a,"""\n'))
+    assert rows(out) == [("1", 'x\ny, "z"'), ("2", "w"), ("id", "note"), ("3", 'a,"')] and out.corrupt_rows == 0
+    stray = readers.read(spark, put(tmp_path, "b.csv", 'id,note\n0,v\n1,"x\n' + "".join(f"{i},w\n" for i in range(2, 30))))
+    assert stray.frame.count() == 30 and stray.corrupt_rows == 0
+    names = ["x" * 6000 + f"_{i}" for i in range(20)]
+    long = readers.read_csv(spark, put(tmp_path, "c.csv", ",".join(names) + "\n" + ",".join(["v"] * 20) + "\n"))
+    assert long.frame.columns == names
+
+
+def test_corrupt_records_are_kept(spark, tmp_path):
+    out = readers.read(spark, put(tmp_path, "a.csv", "a,b\n" + "1,2\n" * 9 + "7,8,9\n"))
+    assert [(r["file"].rsplit("/")[-1], r["record"]) for r in out.corrupt.collect()] == [("a.csv", "7,8,9")]
+    mixed = readers.read(spark, put(tmp_path, "b.json", '[{"a": 1}, "x", {"a": 3}, null]'), corrupt_share=0.5)
+    assert sorted(r["index"] for r in mixed.corrupt.collect()) == [1, 3] and mixed.corrupt_rows == 2
+    lines = readers.read(spark, put(tmp_path, "c.jsonl", '{"a": 1}\n' * 9 + "[2]\n"))
+    assert [r["record"] for r in lines.corrupt.collect()] == ["[2]"]
+
+
+def test_date_shapes_lose_nothing(spark):
+    values = ["2024-1-5", "05/06/2024", "Jan 5, 2024", "january 5, 2024", "5 mar 2024", "2024-01-05t01:02:03", "2024.1.5", "0005/6/2024", "x", "", "1 2", "2024-13-45", "31-12-2024", "5 March 2024", "+12024-1-5", " 2024-1-5"]
+    patterns = [*formats.DATETIME_PATTERNS, *formats.DATE_PATTERNS]
+    plain = F.coalesce(*(F.try_to_timestamp("v", F.lit(p)) for p in patterns))
+    df = spark.createDataFrame([(v,) for v in values], "v string").select(formats.first_parsed(F.col("v"), patterns).cast("string").alias("a"), plain.cast("string").alias("b"))
+    assert all(r["a"] == r["b"] for r in df.collect())
+    assert formats.shape("yyyy-MM-dd[ HH]") is None and formats.shape("EEE") is None
+
+
 def test_json(spark, tmp_path):
     assert sorted(rows(readers.read(spark, put(tmp_path, "a.json", json.dumps([{"id": 1, "n": {"x": 2}}, {"id": 3, "n": {"x": 4}}]))))) == [(1, 2), (3, 4)]
     assert sorted(rows(readers.read(spark, put(tmp_path, "b.json", json.dumps({"data": [{"id": 1}, {"id": 2}], "meta": {"k": 1}}))))) == [(1,), (2,)]
@@ -94,6 +123,10 @@ def test_excel(spark, tmp_path):
         z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData/></worksheet>")
         z.writestr("xl/worksheets/sheet2.xml", f'<worksheet {main}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>Age</t></is></c></row><row/><row><c r="A2" t="s"><v>1</v></c><c r="B2"><v>41</v></c></row></sheetData></worksheet>')
     assert rows(readers.read(spark, str(path))) == [("Ann", 41)]
+    (tmp_path / "books").mkdir()
+    for name in ("a.xlsx", "b.xlsx"):
+        (tmp_path / "books" / name).write_bytes(path.read_bytes())
+    assert rows(readers.read_excel(spark, str(tmp_path / "books"))) == [("Ann", 41)] * 2
     with pytest.raises(errors.UnsupportedFormatError):
         readers.read(spark, str(tmp_path / "b.xls"))
 

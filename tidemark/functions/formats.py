@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, SparkSession
@@ -31,8 +32,21 @@ def to_integer(c: Column) -> Column:
     return F.when(d == F.floor(d), d.try_cast("long"))
 
 
+def shape(pattern: str) -> str | None:
+    """What any text that the date pattern parses looks like; None where the pattern holds more than numbers, months and literals."""
+    out = []
+    for m in re.finditer(r"'([^']+)'|([A-Za-z])\2*|(.)", pattern):
+        quoted, letter, other = m.groups()
+        if (letter and letter not in "yMdHms") or (other and other in "[]{}#'"):
+            return None
+        out.append((r"\D+" if m[0].startswith("MMM") else r"[+-]?\d+") if letter else f"(?i:{re.escape(quoted or other)})")
+    return rf"\s*{''.join(out)}\s*"
+
+
 def first_parsed(c: Column, patterns: list[str]) -> Column:
-    return F.coalesce(*(F.try_to_timestamp(c, F.lit(p)) for p in patterns))
+    """Only texts of a pattern's shape are parsed by it: a failed parse costs an exception, a failed match next to nothing."""
+    tries = ((F.try_to_timestamp(c, F.lit(p)), shape(p)) for p in patterns)
+    return F.coalesce(*(F.when(matches(c, s), t) if s else t for t, s in tries))
 
 
 def to_timestamp(c: Column, pattern: str | None = None) -> Column:

@@ -1,4 +1,4 @@
-"""Workbooks (.xlsx, .xlsm) as a Spark data source: the archive is read with the standard library, a task a file."""
+"""Workbooks (.xlsx, .xlsm): the archive is read with the standard library, a task a file."""
 
 from __future__ import annotations
 
@@ -8,8 +8,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
 
 NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -54,39 +53,14 @@ def sheet_rows(raw: bytes) -> list[list[str | None]]:
     return []
 
 
-class Sheet(InputPartition):
-    def __init__(self, raw: bytes):
-        self.raw = raw
+ROWS = "path string, place long, cells array<string>"
 
 
-class ExcelReader(DataSourceReader):
-    def __init__(self, raw: bytes, width: int):
-        self.raw, self.width = raw, width
-
-    def partitions(self) -> list[InputPartition]:
-        return [Sheet(self.raw)]
-
-    def read(self, partition: Sheet) -> Iterator[tuple]:
-        for row in sheet_rows(partition.raw)[1:]:
-            yield tuple((row + [None] * self.width)[: self.width])
-
-
-class ExcelSource(DataSource):
-    """The header row gives the columns; all values are text."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "tidemark_excel"
-
-    def _raw(self) -> bytes:
-        path = self.options["path"]
-        with open(path.removeprefix("file://"), "rb") as f:
-            return f.read()
-
-    def schema(self) -> T.StructType:
-        rows = sheet_rows(self._raw())
-        header = rows[0] if rows else []
-        return T.StructType([T.StructField(f"{n if n else ''}​{i}" if header.count(n) > 1 or not n else str(n), T.StringType()) for i, n in enumerate(header)])
-
-    def reader(self, schema: T.StructType) -> ExcelReader:
-        return ExcelReader(self._raw(), len(schema))
+def sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each workbook (path, content), numbered from the header, 0."""
+    for batch in batches:
+        for path, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows = sheet_rows(raw)
+            for at in range(0, len(rows), 4096):
+                some = rows[at : at + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(some), pa.string()), pa.array(range(at, at + len(some)), pa.int64()), pa.array(some, pa.list_(pa.string()))], names=["path", "place", "cells"])

@@ -6,6 +6,8 @@ Rows that cannot be read are counted, never silently lost: the gate raises when
 from __future__ import annotations
 
 import csv
+import io
+import re
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
 from . import encoding as E
 from .errors import CorruptRowsError, EmptyDatasetError, ParseError, SchemaError, UnsupportedFormatError, ValidationError
 from .flatten import flatten
@@ -44,6 +47,7 @@ class Parsed:
     encoding: str | None = None
     separator: str | None = None
     corrupt_rows: int = 0
+    corrupt: DataFrame | None = None  # the records left out, with their file or their index in the array
 
 
 def detect_format(name: str) -> str:
@@ -95,28 +99,57 @@ def text_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     return out.select(F.regexp_replace("value", "^\ufeff|\r$", "").alias("value"))
 
 
+def first_record(spark: SparkSession, path: str, encoding: str, separator: str) -> list[str]:
+    """Fields of the first record, however long."""
+    n = E.SAMPLE_BYTES
+    while len(raw := head(spark, path, n)) == n and b"\n" not in raw:
+        n *= 4
+    try:
+        return next((r for r in csv.reader(io.StringIO(raw.decode(encoding, "replace").lstrip("\ufeff"), newline=""), delimiter=separator) if r), [])
+    except csv.Error as e:
+        raise ParseError(f"{path} has no header", path=path) from e
+
+
+def records(spark: SparkSession, path: str, width: int, separator: str, encoding: str, *, breaks: bool) -> DataFrame:
+    """Text columns c0, c1, ... and the record where it does not have ``width`` fields; each file's header is left out. With ``breaks``
+    a quoted field may hold line breaks, and a file is one task's work."""
+    fields = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)] + [T.StructField(CORRUPT, T.StringType())])
+    options = {"sep": separator, "header": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"', "encoding": E.spark_name(encoding), "columnPruning": False, "multiLine": breaks}
+    bad = F.coalesce(CORRUPT, F.when(F.length("c0") < 0, F.col("c0")))  # Spark refuses queries on the corrupt record alone
+    return spark.read.options(**options).schema(fields).csv(path).select("*", F.col("_metadata.file_path").alias("file")).withColumn(CORRUPT, bad).where(F.col(CORRUPT).isNull() | (F.trim(CORRUPT) != ""))
+
+
 def read_csv(spark: SparkSession, path: str, *, separator: str | None = None, encoding: str | None = None, corrupt_share: float = CORRUPT_SHARE) -> Parsed:
-    """Header row, inferred types. Lines whose number of fields is not the header's are left out and counted."""
+    """Header row, inferred types. Records whose number of fields is not the header's are left out and counted.
+
+    A record is a line, unless lines end within quotes: then records with line breaks are read too, if that keeps as many rows or
+    more. A stray quote would swallow all that follows it, and then lines stay records."""
     raw = head(spark, path)
     if not raw:
         raise ParseError(f"{path} is empty", path=path)
     encoding = encoding or E.detect(raw)
-    sample = raw[: SNIFFED_BYTES * 4].decode(encoding, "replace").lstrip("﻿")[:SNIFFED_BYTES]
+    sample = raw[: SNIFFED_BYTES * 4].decode(encoding, "replace").lstrip("\ufeff")[:SNIFFED_BYTES]
     separator = separator or ("\t" if path.endswith(".tsv") else sniff_separator(sample))
-    names = next(csv.reader([sample.splitlines()[0]], delimiter=separator), []) if sample.splitlines() else []
+    names = first_record(spark, path, encoding, separator)
     if not names:
         raise ParseError(f"{path} has no header", path=path)
-    header = sample.splitlines()[0]
-    fields = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField(CORRUPT, T.StringType())])
-    options = {"sep": separator, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"'}
-    # a line of its own each: a row that cannot be parsed costs no other; lines like the header's are headers, of further files too
-    lines = text_lines(spark, path, encoding).where((F.col("value") != header) & (F.trim("value") != ""))
-    parsed = lines.select(F.from_csv("value", fields.simpleString(), options).alias("r"))
-    counts = parsed.agg(F.count(F.lit(1)).alias("n"), F.count(F.col("r")[CORRUPT]).alias("bad")).first()
-    good = parsed.where(F.col("r")[CORRUPT].isNull()).select(*(F.col("r")[f"c{i}"].alias(f"c{i}") for i in range(len(names))))
+    measures = (F.count(F.lit(1)).alias("n"), F.count(CORRUPT).alias("bad"))
+    wide = encoding.startswith(("utf-16", "utf-32"))  # lines are told from bytes, so these are read as whole files
+    found = records(spark, path, len(names), separator, encoding, breaks=wide)
+    counts = found.agg(*measures).first()
+    if not wide:
+        unquoted = F.regexp_replace("value", '""', "")
+        cut = text_lines(spark, path, encoding).agg(F.count_if(unquoted.rlike(f'(^|{re.escape(separator)})"[^"]*$')).alias("k")).first()["k"]
+        if cut:
+            other = records(spark, path, len(names), separator, encoding, breaks=True)
+            seen = other.agg(*measures).first()
+            if seen["n"] - seen["bad"] >= counts["n"] - counts["bad"] - cut:
+                found, counts = other, seen
+    good = found.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "file")
+    bad = found.where(F.col(CORRUPT).isNotNull()).select("file", F.col(CORRUPT).alias("record"))
     typed = typed_text(good).toDF(*normalise_columns(names))
     gate(typed, counts["bad"], counts["n"], corrupt_share)
-    return Parsed(typed, "csv", encoding, separator, counts["bad"])
+    return Parsed(typed, "csv", encoding, separator, counts["bad"], bad)
 
 
 def typed_text(df: DataFrame) -> DataFrame:
@@ -159,7 +192,7 @@ def read_json(spark: SparkSession, path: str, *, corrupt_share: float = CORRUPT_
     if first not in "[{":
         raise SchemaError(f"{path} holds neither an array nor an object", path=path)
     if first == "[":
-        elements = text.select(F.explode(F.from_json(F.regexp_replace("value", "^﻿", ""), "array<string>")).alias("value"))
+        elements = text.select(F.posexplode(F.from_json(F.regexp_replace("value", "^﻿", ""), "array<string>")).alias("index", "value"))
         objects = elements.where(F.ltrim("value").startswith("{"))
         counts = elements.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.ltrim(F.col("value")).startswith("{")).alias("good")).first()
         if not counts["good"]:
@@ -167,13 +200,15 @@ def read_json(spark: SparkSession, path: str, *, corrupt_share: float = CORRUPT_
         found = objects.select(F.schema_of_variant_agg(F.try_parse_json("value")).alias("s")).first()["s"].replace("OBJECT<", "STRUCT<")
         frame = objects.select(F.from_json("value", found).alias("r")).select("r.*")
         bad, total = counts["n"] - counts["good"], counts["n"]
+        left = elements.where(~F.coalesce(F.ltrim("value").startswith("{"), F.lit(False))).select("index", F.col("value").alias("record"))
     else:
+        left = None
         frame, bad, total = _only_records(spark.read.option("multiLine", True).option("encoding", E.spark_name(encoding)).json(path), path), 0, 0
         if frame.columns == ["_corrupt_record"]:
             raise ParseError(f"{path} is no JSON", path=path)
     frame = with_normal_names(flatten(frame))
     gate(frame, bad, total, corrupt_share)
-    return Parsed(frame, "json", encoding, corrupt_rows=bad)
+    return Parsed(frame, "json", encoding, corrupt_rows=bad, corrupt=left)
 
 
 def read_jsonl(spark: SparkSession, path: str, *, corrupt_share: float = CORRUPT_SHARE) -> Parsed:
@@ -191,18 +226,24 @@ def read_jsonl(spark: SparkSession, path: str, *, corrupt_share: float = CORRUPT
     found = objects.select(F.schema_of_variant_agg(F.try_parse_json("value")).alias("s")).first()["s"].replace("OBJECT<", "STRUCT<")
     frame = with_normal_names(flatten(objects.select(F.from_json("value", found).alias("r")).select("r.*")))
     gate(frame, counts["n"] - counts["good"], counts["n"], corrupt_share)
-    return Parsed(frame, "jsonl", encoding, corrupt_rows=counts["n"] - counts["good"])
+    return Parsed(frame, "jsonl", encoding, corrupt_rows=counts["n"] - counts["good"], corrupt=lines.where(~good).select(F.col("value").alias("record")))
 
 
 def read_excel(spark: SparkSession, path: str) -> Parsed:
-    """The first sheet with rows. A workbook is a zipped archive that one task reads; each file of a folder is a task."""
-    from .excel import ExcelSource
+    """The first sheet with rows, from any store. A workbook is a zipped archive that one task reads; each file of a folder is a task, and the
+    first by path gives the columns."""
+    from .excel import ROWS, sheets
 
     if path.lower().endswith(".xls"):
         raise UnsupportedFormatError("old binary workbooks cannot be read; save them as .xlsx", path=path)
-    spark.dataSource.register(ExcelSource)
-    frame = spark.read.format("tidemark_excel").load(path)
-    return Parsed(with_normal_names(typed_text(frame.na.drop("all"))), "excel")
+    ship(spark)
+    cells = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(sheets, ROWS)
+    header = cells.where("place = 0").orderBy("path").select("cells").first()
+    if header is None:
+        raise EmptyDatasetError(f"{path} holds no rows", path=path)
+    names = [n or "" for n in header["cells"]]
+    frame = cells.where("place > 0").select(*(F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(len(names))))
+    return Parsed(typed_text(frame.na.drop("all")).toDF(*normalise_columns(names)), "excel")
 
 
 def read(spark: SparkSession, path: str, *, limits: Limits = Limits(), corrupt_share: float = CORRUPT_SHARE) -> Parsed:

@@ -33,6 +33,23 @@ def test_fills_match_pandas(spark, values):
         assert [None if v is None else round(v, 9) for v in column(made)] == [None if v != v else round(v, 9) for v in want]
 
 
+@SLOW
+@given(st.lists(st.tuples(st.sampled_from([None, "a", "b", "c"]), st.one_of(st.none(), st.integers(-50, 50).map(float))), min_size=1, max_size=25), st.sampled_from([1, 2, 7]))
+def test_fills_by_group_match_pandas(spark, rows, ranges):
+    """Groups that lie in one range or several, keys that are texts, null groups."""
+    df = spark.createDataFrame([(f"k{i:03}", g, v) for i, (g, v) in enumerate(rows)], "i string, g string, x double")
+    s = pd.DataFrame({"g": [g or "null" for g, _ in rows], "x": pd.Series([v for _, v in rows], dtype=float)})
+    by = s.groupby("g")["x"]
+    for fill, want in ((ordered.forward_fill, by.ffill()), (ordered.backward_fill, by.bfill()), (ordered.interpolate, by.transform(lambda x: x.interpolate()))):
+        made = column(fill(df, "x", "i", ["g"], ranges))
+        assert [None if v is None else round(v, 9) for v in made] == [None if v != v else round(v, 9) for v in want]
+
+
+def test_fill_keeps_one_exchange_for_windows_and_carries(spark):
+    plan = ordered.forward_fill(frame(spark, [1.0, None, 3.0]), "x", "i")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(tm_range") <= 2
+
+
 @SLOW
 @given(VALUES)
 def test_moments_match_pandas(spark, values):

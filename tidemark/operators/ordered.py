@@ -2,52 +2,54 @@
 
 A window over the whole table would put it into one task. Fills are therefore done in two phases: rows are dealt to
 ranges of the key, each range fills itself, and what a range carries over (its last and first present value) goes on through
-one row per range. A range whose start is missing takes the carry of the ranges before. With ``partition_by`` the window has
-a key of its own and no second phase is needed.
+one row per range. A range whose start is missing takes the carry of the ranges before. With ``partition_by`` the ranges are those of its
+values and the key, so a value of very many rows has ranges of its own; only values that lie in several ranges carry anything, at most two a range.
+The number of ranges follows the number of rows, and any type that Spark can sort serves as key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col, present
+from ..staging import staged
 
-RANGES = 200
+#: Rows of a range, about.
+RANGE_ROWS = 1_000_000
 
 
-def _ranges(df: DataFrame, key: str, ranges: int) -> Column:
-    """Number of the key's range; bounds are approximate quantiles, so the ranges are about even."""
-    steps = [k / ranges for k in range(1, ranges)]
-    number = col(key).cast("double") if df.schema[key].dataType.typeName() not in ("timestamp", "timestamp_ntz", "date") else F.unix_micros(col(key).cast("timestamp")).cast("double")
-    found = df.select(F.percentile_approx(number, steps, 10_000).alias("e")).first()["e"] if steps else []
-    edges = sorted(set(found or []))
-    return F.size(F.filter(F.array(*(F.lit(e) for e in edges)), lambda e: e < number)) if edges else F.lit(0)
+def ranged(df: DataFrame, by: list[str], ranges: int | None = None) -> DataFrame:
+    """Adds tm_range, which numbers ranges of ``by`` in order. Rows equal in ``by`` share one, nulls come first. The rows are written, as
+    another sample of the keys would deal them otherwise."""
+    n = ranges or df.count() // RANGE_ROWS + 1
+    dealt = df.repartitionByRange(n, *map(col, by)).withColumn("tm_range", F.spark_partition_id())
+    return staged(dealt, "ranges").repartition("tm_range")  # one exchange for the windows and the joins that follow
 
 
-def _carried(df: DataFrame, column: str, key: str, partition_by: list[str], ranges: int) -> tuple[DataFrame, WindowSpec]:
-    """Adds tm_v (the present value), tm_i (place within its range or partition), tm_base (places before the range), and the
+def _carried(df: DataFrame, column: str, key: str, partition_by: list[str], ranges: int | None) -> tuple[DataFrame, WindowSpec]:
+    """Adds tm_v (the present value), tm_i (place within its range and partition), tm_base (places before the range), and the
     carries tm_prev, tm_prev_at, tm_next, tm_next_at from the other ranges."""
-    df = df.withColumn("tm_v", present(df, column))
-    if partition_by:
-        w = Window.partitionBy(*map(col, partition_by)).orderBy(col(key))
-        none = F.lit(None)
-        out = df.withColumn("tm_i", F.row_number().over(w).cast("long")).withColumn("tm_base", F.lit(0).cast("long"))
-        kind = df.schema["tm_v"].dataType
-        return out.withColumns({"tm_prev": none.cast(kind), "tm_prev_at": none.cast("long"), "tm_next": none.cast(kind), "tm_next_at": none.cast("long")}), w
-    df = df.withColumn("tm_range", _ranges(df, key, ranges))
-    w = Window.partitionBy("tm_range").orderBy(col(key))
+    df = ranged(df.withColumn("tm_v", present(df, column)), [*partition_by, key], ranges)
+    w = Window.partitionBy("tm_range", *map(col, partition_by)).orderBy(col(key))
     placed = df.withColumn("tm_i", F.row_number().over(w).cast("long"))
     at = F.when(F.col("tm_v").isNotNull(), F.struct("tm_i", "tm_v"))
-    edges = placed.groupBy("tm_range").agg(F.count(F.lit(1)).alias("tm_n"), F.min(at).alias("tm_first"), F.max(at).alias("tm_last"))
-    before = Window.orderBy("tm_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    after = Window.orderBy("tm_range").rowsBetween(1, Window.unboundedFollowing)
+    groups = [f"tm_g{i}" for i in range(len(partition_by))]
+    edges = placed.groupBy(F.col("tm_range").alias("tm_r"), *(col(c).alias(g) for c, g in zip(partition_by, groups, strict=True)))
+    edges = edges.agg(F.count(F.lit(1)).alias("tm_n"), F.min(at).alias("tm_first"), F.max(at).alias("tm_last"))
+    all_ = Window.partitionBy(*groups)
+    before = all_.orderBy("tm_r").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    after = all_.orderBy("tm_r").rowsBetween(1, Window.unboundedFollowing)
     edges = edges.withColumn("tm_base", F.coalesce(F.sum("tm_n").over(before), F.lit(0)))
     whole = lambda s: F.when(F.col(s).isNotNull(), F.struct((F.col("tm_base") + F.col(f"{s}.tm_i")).alias("at"), F.col(f"{s}.tm_v").alias("v")))
     edges = edges.withColumns({"tm_p": whole("tm_last"), "tm_f": whole("tm_first")})
-    edges = edges.withColumns({"tm_p": F.last("tm_p", True).over(before), "tm_f": F.first("tm_f", True).over(after)})
-    edges = edges.select("tm_range", "tm_base", F.col("tm_p.v").alias("tm_prev"), F.col("tm_p.at").alias("tm_prev_at"), F.col("tm_f.v").alias("tm_next"), F.col("tm_f.at").alias("tm_next_at"))
-    return placed.join(F.broadcast(edges), "tm_range"), w
+    edges = edges.withColumns({"tm_p": F.last("tm_p", True).over(before), "tm_f": F.first("tm_f", True).over(after), "tm_many": F.count(F.lit(1)).over(all_)}).where("tm_many > 1")
+    edges = edges.select("tm_r", *groups, "tm_base", F.col("tm_p.v").alias("tm_prev"), F.col("tm_p.at").alias("tm_prev_at"), F.col("tm_f.v").alias("tm_next"), F.col("tm_f.at").alias("tm_next_at"))
+    same = F.col("tm_range") == F.col("tm_r")
+    for c, g in zip(partition_by, groups, strict=True):
+        same = same & col(c).eqNullSafe(F.col(g))
+    out = placed.join(edges, same, "left").drop("tm_r", *groups)
+    return out.withColumn("tm_base", F.coalesce("tm_base", F.lit(0).cast("long"))), w
 
 
 def _without(df: DataFrame) -> DataFrame:
@@ -58,21 +60,21 @@ def _spans(w: WindowSpec) -> tuple[WindowSpec, WindowSpec]:
     return w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
 
 
-def forward_fill(df: DataFrame, column: str, key: str, partition_by: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
+def forward_fill(df: DataFrame, column: str, key: str, partition_by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """The last present value; leading gaps stay."""
     out, w = _carried(df, column, key, partition_by or [], ranges)
     past, _ = _spans(w)
     return _without(out.withColumn(column, F.coalesce(F.last("tm_v", True).over(past), "tm_prev")))
 
 
-def backward_fill(df: DataFrame, column: str, key: str, partition_by: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
+def backward_fill(df: DataFrame, column: str, key: str, partition_by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """The next present value; trailing gaps stay."""
     out, w = _carried(df, column, key, partition_by or [], ranges)
     _, future = _spans(w)
     return _without(out.withColumn(column, F.coalesce(F.first("tm_v", True).over(future), "tm_next")))
 
 
-def interpolate(df: DataFrame, column: str, key: str, partition_by: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
+def interpolate(df: DataFrame, column: str, key: str, partition_by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """Linear by row position between present values; leading gaps stay, trailing ones take the last value."""
     out, w = _carried(df, column, key, partition_by or [], ranges)
     past, future = _spans(w)

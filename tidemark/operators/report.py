@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import changed, col, long_form
+from .ordered import ranged
 from .profile import profile_nulls
 
 
@@ -26,13 +27,11 @@ def diff_keyed(before: DataFrame, after: DataFrame, key: str, columns: list[str]
 
 def positions(df: DataFrame, key: str) -> DataFrame:
     """Adds tm_pos, the row's place by key from 0: sorted by ranges, whose sizes are then summed, so no task holds all rows."""
-    from .ordered import RANGES, _ranges
-
-    dealt = df.withColumn("tm_range", _ranges(df, key, RANGES))
+    dealt = ranged(df, [key])
     local = dealt.withColumn("tm_i", F.row_number().over(Window.partitionBy("tm_range").orderBy(col(key))))
     before = Window.orderBy("tm_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     base = dealt.groupBy("tm_range").agg(F.count(F.lit(1)).alias("tm_n")).select("tm_range", F.coalesce(F.sum("tm_n").over(before), F.lit(0)).alias("tm_base"))
-    return local.join(F.broadcast(base), "tm_range").withColumn("tm_pos", F.col("tm_base") + F.col("tm_i") - 1).drop("tm_range", "tm_i", "tm_base")
+    return local.join(base, "tm_range").withColumn("tm_pos", F.col("tm_base") + F.col("tm_i") - 1).drop("tm_range", "tm_i", "tm_base")
 
 
 def diff_positional(before: DataFrame, after: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, small_enough, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -83,7 +83,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     on = [F.col("tm_range") == F.col("tm_r"), F.col("tm_source").eqNullSafe(F.col("tm_s"))]
     side = marks.withColumnsRenamed({"tm_source": "tm_s", "tm_range": "tm_r"})
     held = (F.col("tm_below") < F.col("tm_more")) & (F.col("tm_more") < F.col("tm_below") + F.col("tm_words"))
-    per_range = F.broadcast(side) if marks.count() <= 400_000 else side
+    per_range = F.broadcast(side) if small_enough(side, F.coalesce(F.octet_length("tm_s"), F.lit(0)) + 128) else side
     placed = counted.join(per_range, on).drop("tm_s", "tm_r")
     order = [F.col("tm_draw"), F.col(f"`{id_col}`"), F.col("tm_size")]
     before = Window.partitionBy("tm_source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

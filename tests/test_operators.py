@@ -1,4 +1,5 @@
 import math
+import time
 from datetime import datetime
 
 import numpy as np
@@ -45,6 +46,32 @@ def test_fills_by_group_match_pandas(spark, rows, ranges):
         assert [None if v is None else round(v, 9) for v in made] == [None if v != v else round(v, 9) for v in want]
 
 
+def test_fills_of_several_columns_share_the_dealt_rows(spark):
+    """Columns named like the fill's own, a group of nulls, one deal for all ways."""
+    rows = [(i, None if i % 3 else "g", float(i) if i % 4 == 0 else None, None if i % 5 else i, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "tm_i long, tm_range string, x double, tm_v long, tm__n long")
+    made = ordered.fill(df, {"x": "interpolate", "tm_v": "backward"}, "tm_i", ["tm_range"], 3)
+    assert made.columns == df.columns
+    want = pd.DataFrame(rows, columns=df.columns).assign(g=lambda d: d["tm_range"].fillna("null"))
+    want["x"], want["tm_v"] = want.groupby("g")["x"].transform(lambda x: x.interpolate()), want.groupby("g")["tm_v"].bfill()
+    got = made.orderBy("tm_i").collect()
+    assert [None if v != v else round(v, 9) for v in want["x"]] == [None if r["x"] is None else round(r["x"], 9) for r in got]
+    assert [None if v != v else int(v) for v in want["tm_v"]] == [r["tm_v"] for r in got]
+    assert [r["tm__n"] for r in got] == list(range(40))
+
+
+def test_fills_are_linear_in_the_rows_of_a_range(spark):
+    """Twice the rows of one range must not take four times as long; a frame to the last row took minutes for these."""
+    took = []
+    for n in (100_000, 100_000, 400_000):
+        df = spark.range(n).select(F.col("id").alias("i"), F.when(F.col("id") % 7 == 0, F.col("id").cast("double")).alias("x"))
+        began = time.time()
+        row = ordered.interpolate(df, "x", "i", ranges=1).agg(F.sum(F.abs(F.col("x") - F.least(F.col("i"), F.lit((n - 1) // 7 * 7)))).alias("off"), F.count("x").alias("n")).first()
+        took.append(time.time() - began)
+        assert row["off"] < 1e-3 and row["n"] == n
+    assert took[2] < 8 * took[1] + 4
+
+
 def test_fill_keeps_one_exchange_for_windows_and_carries(spark):
     plan = ordered.forward_fill(frame(spark, [1.0, None, 3.0]), "x", "i")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(tm_range") <= 2

@@ -5,11 +5,16 @@ ranges of the key, each range fills itself, and what a range carries over (its l
 one row per range. A range whose start is missing takes the carry of the ranges before. With ``partition_by`` the ranges are those of its
 values and the key, so a value of very many rows has ranges of its own; only values that lie in several ranges carry anything, at most two a range.
 The number of ranges follows the number of rows, and any type that Spark can sort serves as key.
+
+Spark keeps a running value only for frames that start at the first row; one that ends at the last row it computes anew for
+each row. The next value is therefore the last one of the mirrored window, and a fill is linear in the rows of a range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col, present
@@ -19,70 +24,98 @@ from ..staging import staged
 RANGE_ROWS = 1_000_000
 
 
-def ranged(df: DataFrame, by: list[str], ranges: int | None = None) -> DataFrame:
-    """Adds tm_range, which numbers ranges of ``by`` in order. Rows equal in ``by`` share one, nulls come first. The rows are written, as
-    another sample of the keys would deal them otherwise."""
-    n = ranges or df.count() // RANGE_ROWS + 1
-    dealt = df.repartitionByRange(n, *map(col, by)).withColumn("tm_range", F.spark_partition_id())
-    return staged(dealt, "ranges").repartition("tm_range")  # one exchange for the windows and the joins that follow
-
-
-def _carried(df: DataFrame, column: str, key: str, partition_by: list[str], ranges: int | None) -> tuple[DataFrame, WindowSpec]:
-    """Adds tm_v (the present value), tm_i (place within its range and partition), tm_base (places before the range), and the
-    carries tm_prev, tm_prev_at, tm_next, tm_next_at from the other ranges."""
-    df = ranged(df.withColumn("tm_v", present(df, column)), [*partition_by, key], ranges)
-    w = Window.partitionBy("tm_range", *map(col, partition_by)).orderBy(col(key))
-    placed = df.withColumn("tm_i", F.row_number().over(w).cast("long"))
-    at = F.when(F.col("tm_v").isNotNull(), F.struct("tm_i", "tm_v"))
-    groups = [f"tm_g{i}" for i in range(len(partition_by))]
-    edges = placed.groupBy(F.col("tm_range").alias("tm_r"), *(col(c).alias(g) for c, g in zip(partition_by, groups, strict=True)))
-    edges = edges.agg(F.count(F.lit(1)).alias("tm_n"), F.min(at).alias("tm_first"), F.max(at).alias("tm_last"))
-    all_ = Window.partitionBy(*groups)
-    before = all_.orderBy("tm_r").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    after = all_.orderBy("tm_r").rowsBetween(1, Window.unboundedFollowing)
-    edges = edges.withColumn("tm_base", F.coalesce(F.sum("tm_n").over(before), F.lit(0)))
-    whole = lambda s: F.when(F.col(s).isNotNull(), F.struct((F.col("tm_base") + F.col(f"{s}.tm_i")).alias("at"), F.col(f"{s}.tm_v").alias("v")))
-    edges = edges.withColumns({"tm_p": whole("tm_last"), "tm_f": whole("tm_first")})
-    edges = edges.withColumns({"tm_p": F.last("tm_p", True).over(before), "tm_f": F.first("tm_f", True).over(after), "tm_many": F.count(F.lit(1)).over(all_)}).where("tm_many > 1")
-    edges = edges.select("tm_r", *groups, "tm_base", F.col("tm_p.v").alias("tm_prev"), F.col("tm_p.at").alias("tm_prev_at"), F.col("tm_f.v").alias("tm_next"), F.col("tm_f.at").alias("tm_next_at"))
-    same = F.col("tm_range") == F.col("tm_r")
-    for c, g in zip(partition_by, groups, strict=True):
-        same = same & col(c).eqNullSafe(F.col(g))
-    out = placed.join(edges, same, "left").drop("tm_r", *groups)
-    return out.withColumn("tm_base", F.coalesce("tm_base", F.lit(0).cast("long"))), w
+def own_names(*frames: DataFrame) -> Callable[[str], str]:
+    """Makes names that no column of the tables has, nor starts with."""
+    prefix = "tm_"
+    while any(c.lower().startswith(prefix) for df in frames for c in df.columns):
+        prefix += "_"
+    return lambda name: prefix + name
 
 
-def _without(df: DataFrame) -> DataFrame:
-    return df.drop("tm_v", "tm_i", "tm_base", "tm_prev", "tm_prev_at", "tm_next", "tm_next_at", "tm_range")
-
+def ranged(df: DataFrame, by: list[str], ranges: int | None = None, name: str = "tm_range") -> DataFrame:
+    """Adds the column ``name``, which numbers ranges of ``by`` in order. Rows equal in ``by`` share one, nulls come first. The rows are
+    written, as another sample of the keys would deal them otherwise."""
+    n = ranges or df.count() // RANGE_ROWS + 1
+    dealt = df.repartitionByRange(n, *map(col, by)).withColumn(name, F.spark_partition_id())
+    return staged(dealt, "ranges").repartition(name)  # one exchange for the windows and the joins that follow
+
+
+def _forward(v: Column, prev: Column, after: Column, here: Column) -> Column:
+    return prev["v"]
+
+
+def _backward(v: Column, prev: Column, after: Column, here: Column) -> Column:
+    return after["v"]
+
+
+def _between(v: Column, prev: Column, after: Column, here: Column) -> Column:
+    line = prev["v"] + (after["v"] - prev["v"]) * (here - prev["at"]) / F.nullif(after["at"] - prev["at"], F.lit(0))
+    return F.coalesce(v.cast("double"), line.cast("double"), prev["v"].cast("double"))
+
+
+#: How a gap is filled, from the present values around it.
+FILLS = {"forward": _forward, "backward": _backward, "interpolate": _between}
+
+
+def fill(df: DataFrame, how: dict[str, str], key: str, partition_by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
+    """Fills each column of ``how`` by its way in FILLS; rows are dealt once for all of them. Rows of one key keep any one order, the same
+    for all columns. Extra columns of any name stay; an empty table stays empty."""
+    groups, made = partition_by or [], own_names(df)
+    at_range, i, base, low = made("range"), made("i"), made("base"), made("low")
+    df_columns = df.columns
+    out = ranged(df.withColumns({made(f"v{k}"): present(df, c) for k, c in enumerate(how)}), [*groups, key], ranges, at_range)
+    w = Window.partitionBy(at_range, *map(col, groups))
+    out = out.withColumn(i, F.row_number().over(w.orderBy(col(key))).cast("long"))
+    point = lambda k, place: F.when(F.col(made(f"v{k}")).isNotNull(), F.struct(place.alias("at"), F.col(made(f"v{k}")).alias("v")))
+    running = lambda order: w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    past = [k for k, kind in enumerate(how.values()) if kind != "backward"]
+    future = [k for k, kind in enumerate(how.values()) if kind != "forward"]
+    out = out.withColumns({made(f"p{k}"): F.last(point(k, F.col(i)), True).over(running(F.col(i))) for k in past})
+    out = out.withColumns({made(f"f{k}"): F.last(point(k, F.col(i)), True).over(running(F.col(i).desc())) for k in future})
+
+    # what lies in other ranges: one row for each range, or for each of its groups
+    names = [made(f"g{k}") for k in range(len(groups))]
+    edges = out.groupBy(F.col(at_range).alias(low), *(col(c).alias(g) for c, g in zip(groups, names, strict=True)))
+    valid = lambda k: F.when(F.col(made(f"v{k}")).isNotNull(), F.col(i))
+    ends = {made(f"{side}{k}"): pick(point(k, F.col(i)), valid(k)) for k in range(len(how)) for side, pick in (("first", F.min_by), ("last", F.max_by))}
+    edges = edges.agg(F.count(F.lit(1)).alias(made("n")), *(c.alias(n) for n, c in ends.items()))
+    of = Window.partitionBy(*names)
+    over = lambda order: of.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumn(base, F.coalesce(F.sum(made("n")).over(over(F.col(low))), F.lit(0).cast("long")))
+    lifted = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(base) + F.col(c)["at"]).alias("at"), F.col(c)["v"].alias("v")))
+    edges = edges.withColumns({made(f"prev{k}"): F.last(lifted(made(f"last{k}")), True).over(over(F.col(low))) for k in range(len(how))})
+    edges = edges.withColumns({made(f"next{k}"): F.last(lifted(made(f"first{k}")), True).over(over(F.col(low).desc())) for k in range(len(how))})
+    edges = edges.withColumn(made("many"), F.count(F.lit(1)).over(of)).where(F.col(made("many")) > 1)
+    edges = edges.select(low, *names, base, *(made(f"{side}{k}") for k in range(len(how)) for side in ("prev", "next")))
+    same = F.col(at_range) == F.col(low)
+    for c, g in zip(groups, names, strict=True):
+        same = same & col(c).eqNullSafe(F.col(g))
+    out = out.join(edges, same, "left")
 
-def _spans(w: WindowSpec) -> tuple[WindowSpec, WindowSpec]:
-    return w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    here = F.coalesce(F.col(base), F.lit(0).cast("long"))
+    own = lambda c: F.when(F.col(c).isNotNull(), F.struct((here + F.col(c)["at"]).alias("at"), F.col(c)["v"].alias("v")))
+    none = F.lit(None)
+    filled = {}
+    for k, (c, kind) in enumerate(how.items()):
+        prev = F.coalesce(own(made(f"p{k}")), F.col(made(f"prev{k}"))) if k in past else none
+        after = F.coalesce(own(made(f"f{k}")), F.col(made(f"next{k}"))) if k in future else none
+        filled[c] = FILLS[kind](F.col(made(f"v{k}")), prev, after, here + F.col(i))
+    return out.select(*((filled[c] if c in filled else col(c)).alias(c) for c in df_columns))
 
 
 def forward_fill(df: DataFrame, column: str, key: str, partition_by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """The last present value; leading gaps stay."""
-    out, w = _carried(df, column, key, partition_by or [], ranges)
-    past, _ = _spans(w)
-    return _without(out.withColumn(column, F.coalesce(F.last("tm_v", True).over(past), "tm_prev")))
+    return fill(df, {column: "forward"}, key, partition_by, ranges)
 
 
 def backward_fill(df: DataFrame, column: str, key: str, partition_by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """The next present value; trailing gaps stay."""
-    out, w = _carried(df, column, key, partition_by or [], ranges)
-    _, future = _spans(w)
-    return _without(out.withColumn(column, F.coalesce(F.first("tm_v", True).over(future), "tm_next")))
+    return fill(df, {column: "backward"}, key, partition_by, ranges)
 
 
 def interpolate(df: DataFrame, column: str, key: str, partition_by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """Linear by row position between present values; leading gaps stay, trailing ones take the last value."""
-    out, w = _carried(df, column, key, partition_by or [], ranges)
-    past, future = _spans(w)
-    at = F.when(F.col("tm_v").isNotNull(), F.col("tm_base") + F.col("tm_i"))
-    out = out.withColumns({"tm_pv": F.coalesce(F.last("tm_v", True).over(past), "tm_prev"), "tm_pa": F.coalesce(F.last(at, True).over(past), "tm_prev_at"), "tm_nv": F.coalesce(F.first("tm_v", True).over(future), "tm_next"), "tm_na": F.coalesce(F.first(at, True).over(future), "tm_next_at")})
-    here = F.col("tm_base") + F.col("tm_i")
-    between = F.col("tm_pv") + (F.col("tm_nv") - F.col("tm_pv")) * (here - F.col("tm_pa")) / F.nullif(F.col("tm_na") - F.col("tm_pa"), F.lit(0))
-    return _without(out.withColumn(column, F.coalesce(F.col("tm_v").cast("double"), between.cast("double"), F.col("tm_pv").cast("double"))).drop("tm_pv", "tm_pa", "tm_nv", "tm_na"))
+    return fill(df, {column: "interpolate"}, key, partition_by, ranges)
 
 
 def deduplicate(df: DataFrame, key: str | None, subset: list[str] | None = None, keep: str | bool = "first", ignore_columns: list[str] | None = None) -> DataFrame:

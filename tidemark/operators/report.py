@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import changed, col, long_form
-from .ordered import ranged
+from .ordered import own_names, ranged
 from .profile import profile_nulls
 
 
@@ -25,20 +25,23 @@ def diff_keyed(before: DataFrame, after: DataFrame, key: str, columns: list[str]
     return both.select("row", _pairs(columns).alias("p")).select("row", "p.*").where(changed(F.col("before"), F.col("after")))
 
 
-def positions(df: DataFrame, key: str) -> DataFrame:
-    """Adds tm_pos, the row's place by key from 0: sorted by ranges, whose sizes are then summed, so no task holds all rows."""
-    dealt = ranged(df, [key])
-    local = dealt.withColumn("tm_i", F.row_number().over(Window.partitionBy("tm_range").orderBy(col(key))))
-    before = Window.orderBy("tm_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    base = dealt.groupBy("tm_range").agg(F.count(F.lit(1)).alias("tm_n")).select("tm_range", F.coalesce(F.sum("tm_n").over(before), F.lit(0)).alias("tm_base"))
-    return local.join(base, "tm_range").withColumn("tm_pos", F.col("tm_base") + F.col("tm_i") - 1).drop("tm_range", "tm_i", "tm_base")
+def positions(df: DataFrame, key: str, name: str = "tm_pos") -> DataFrame:
+    """Adds the row's place by key from 0 as ``name``: sorted by ranges, whose sizes are then summed, so no task holds all rows."""
+    made = own_names(df)
+    at_range, i, base = made("range"), made("i"), made("base")
+    dealt = ranged(df, [key], name=at_range)
+    local = dealt.withColumn(i, F.row_number().over(Window.partitionBy(at_range).orderBy(col(key))))
+    before = Window.orderBy(at_range).rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sizes = dealt.groupBy(at_range).agg(F.count(F.lit(1)).alias(made("n"))).select(at_range, F.coalesce(F.sum(made("n")).over(before), F.lit(0)).alias(base))
+    return local.join(sizes, at_range).select(*map(col, df.columns), (F.col(base) + F.col(i) - 1).alias(name))
 
 
 def diff_positional(before: DataFrame, after: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:
     """As diff_keyed, by place in the order of the key: rows beyond the shorter table are left out."""
     columns = columns or [c for c in before.columns if c in after.columns]
-    b, a = positions(before, key), positions(after, key)
-    both = b.select(F.col("tm_pos").alias("row"), *_texts(b, columns, "b")).join(a.select(F.col("tm_pos").alias("row"), *_texts(a, columns, "a")), "row")
+    at = own_names(before, after)("pos")
+    b, a = positions(before, key, at), positions(after, key, at)
+    both = b.select(F.col(at).alias("row"), *_texts(b, columns, "b")).join(a.select(F.col(at).alias("row"), *_texts(a, columns, "a")), "row")
     return both.select("row", _pairs(columns).alias("p")).select("row", "p.*").where(changed(F.col("before"), F.col("after")))
 
 

@@ -176,7 +176,7 @@ class Index:
                     lost += self.idf[t.words[i]] * (n == len(at) or at[n] > s + i + DRIFT)
                 if self.weight[k] - lost < SHARE * self.weight[k]:
                     continue
-                share = self.aligned(t, words, s) / self.weight[k]
+                share = min(1.0, self.aligned(t, words, s) / self.weight[k])
                 at = (max(s, 0), t.label)
                 if share >= SHARE and share > longer.get(at, 0.0):
                     longer[at] = share
@@ -194,7 +194,7 @@ def license_scan(
     no words; null and repeated ids give a row each, as given. An empty table gives no rows."""
     spark = docs.sparkSession
     table = prepared(docs, id_col, text_col, binary=True)
-    found = templates(phrases, [(label, *rest) for label, rest in longer.items()] + notices)
+    found = templates(phrases, [(label, *rest) for label, rest in longer.items()] + list(notices))
     vocabulary = frozenset(w for t in found for w in t.words)
     df = table.select("tm_text").mapInArrow(frequencies(vocabulary), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     n = {bytes(r.word): r.n for r in df.collect()}  # one row for each word of the templates

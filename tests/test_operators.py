@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import formats as X
-from tidemark.operators import anomaly, heal, multivariate, ordered, profile, report, score, semantic
+from tidemark.operators import anomaly, heal, multivariate, neighbours, ordered, profile, quantiles, report, score, semantic
 from tidemark.plans import engine as plans
 from tidemark.plans import model, planner
 
@@ -189,6 +189,58 @@ def test_multivariate_finds_planted_rows(spark):
     assert multivariate.anomaly_multivariate(df, columns=["a", "b"]).first()["severity"] == "medium"
 
 
+@pytest.mark.parametrize("visits", [0, 2, 6])  # border points ask many cells at once, or visit them one by one
+def test_outlier_factors_match_brute_force(spark, monkeypatch, visits):
+    """Over all rows: a dense small cluster, far rows, copies; one cell and many."""
+    monkeypatch.setattr(neighbours, "VISITS", visits)
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=(1500, 3)), rng.normal(size=(300, 3)) * 0.01 + 5, rng.normal(size=(60, 3)) * 20])
+    copies = np.concatenate([np.ones(1850, int), np.full(9, 3), [40]])
+    rows = np.repeat(x, copies, axis=0)
+    df = spark.createDataFrame([(list(map(float, r)),) for r in rows], "x array<double>").repartition(3)
+    want = dict(zip(map(tuple, rows), neighbours.brute_factors(rows, 20), strict=True))
+    points = neighbours.weighted_points(df, "x")
+    at = {r["id"]: tuple(r["x"]) for r in points.collect()}
+    for cell_points in (10_000, 400)[: 1 + (visits != 2)]:
+        got = {at[r["id"]]: r["factor"] for r in neighbours.outlier_factors(points, 3, 20, cell_points=cell_points).collect()}
+        assert len(got) == len(x) and max(abs(got[p] / want[p] - 1) for p in got) < 1e-9
+    dense = [want[tuple(r)] for r in x[1500:1800]]
+    assert np.median(dense) < 1.5  # with neighbours among a sample these had none near
+
+
+def test_factors_of_few_rows(spark):
+    for rows in ([[1.0, 2.0]], [[1.0, 2.0]] * 5, [[1.0, 2.0], [3.0, 4.0]]):
+        points = neighbours.weighted_points(spark.createDataFrame([(r,) for r in rows], "x array<double>"), "x")
+        assert all(abs(r["factor"] - 1) < 1e-9 for r in neighbours.outlier_factors(points, 2, 3).collect())
+
+
+def test_trees_are_drawn_from_all_rows(spark):
+    df = spark.createDataFrame([([float(i // 50), 0.0],) for i in range(2000)] + [([9e9, 0.0],)] * 1000, "x array<double>")
+    points = neighbours.weighted_points(df, "x")
+    got = multivariate.drawn(points, 3000, 600, 1)
+    assert 540 <= len(got) <= 660 and 190 <= (got[:, 0] == 9e9).sum() <= 210  # copies come as often as they should
+    assert len(multivariate.drawn(points, 3000, 5000, 1)) == 3000
+
+
+@pytest.mark.parametrize("together", [20_000, 5])
+def test_exact_quantiles_match_percentile(spark, monkeypatch, together):
+    """Ties, infinities away, few rows, no rows; ranges narrowed step by step; weights as repeated rows."""
+    monkeypatch.setattr(quantiles, "TOGETHER", together)
+    rng = np.random.default_rng(4)
+    rows = [(float(a) if i % 7 else None, int(b), float(10.0 ** c), 1 + i % 4) for i, (a, b, c) in enumerate(zip(rng.normal(size=3000), rng.integers(0, 4, 3000), rng.uniform(-200, 200, 3000), strict=True))]
+    df = spark.createDataFrame(rows, "a double, b int, c double, w int").repartition(3)
+    ps = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    values = {c: F.col(c) for c in "abc"} | {"none": F.lit(None).cast("double")}
+    want = df.agg(*(F.percentile(c, F.array(*map(F.lit, ps))).alias(c) for c in "abc")).first()
+    got = quantiles.exact_quantiles(df, values, dict.fromkeys(values, ps))
+    assert got["none"] == [None] * 7
+    for c in "abc":
+        assert got[c] == pytest.approx(want[c], rel=1e-12)
+    want = df.agg(F.percentile("a", F.array(*map(F.lit, ps)), F.col("w")).alias("a")).first()["a"]
+    assert quantiles.exact_quantiles(df, {"a": F.col("a")}, {"a": ps}, F.col("w"))["a"] == pytest.approx(want, rel=1e-12)
+    assert quantiles.exact_quantiles(df.limit(0), {"a": F.col("a")}, {"a": ps})["a"] == [None] * 7
+
+
 def test_engine_logs_and_goes_on(spark):
     df = spark.createDataFrame([(1, 1.0, " A ", "U@X.com"), (1, 1.0, " A ", "U@X.com"), (2, None, "b", "v@y.com"), (3, 900.0, "b", None)], "id long, v double, cat string, email string")
     plan = model.Plan((

@@ -1,8 +1,7 @@
 """Multivariate outliers: rows that both an isolation forest and a local outlier factor find odd.
 
-Trees are grown from bounded samples, as isolation forests are defined (``sample`` rows a tree), and the neighbours of a row
-are sought among a bounded reference sample; both are documented parameters. Every row is scored in one Arrow pass, and
-the cut-offs are quantiles over all rows.
+Trees are grown from samples of the whole table, as isolation forests are defined (``sample`` rows a tree, each tree its own).
+The neighbours of a row are sought among all rows (see neighbours.py). Every row is scored, and the cut-offs are quantiles over all rows.
 """
 
 from __future__ import annotations
@@ -18,8 +17,12 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import col, finite, numeric_columns
 from ..shipping import ship
+from ..staging import fits, staged
+from .neighbours import outlier_factors, weighted_points
+from .ordered import own_names
+from .quantiles import exact_quantiles
 
-TREES, SAMPLE, NEIGHBOURS, REFERENCES = 100, 256, 20, 2000
+TREES, SAMPLE, NEIGHBOURS = 100, 256, 20
 
 
 def _path(n: float) -> float:
@@ -58,57 +61,52 @@ def isolation(x: np.ndarray, trees: list[tuple[np.ndarray, ...]], sample: int) -
     return 2.0 ** (-total / len(trees) / max(_path(sample), 1e-9))
 
 
-def local_factor(x: np.ndarray, reference: np.ndarray, k_distance: np.ndarray, density: np.ndarray, k: int, own: bool = False) -> np.ndarray:
-    """How much denser a row's neighbours in the reference are than the row."""
-    out = np.empty(len(x))
-    for s in range(0, len(x), 1024):
-        d = np.sqrt(np.maximum(((x[s : s + 1024, None, :] - reference[None]) ** 2).sum(axis=2), 0))
-        if own:
-            d[np.arange(len(d)), s + np.arange(len(d))] = np.inf
-        near = np.argpartition(d, min(k, d.shape[1] - 1) - 1, axis=1)[:, :k]
-        reach = np.maximum(np.take_along_axis(d, near, 1), k_distance[near])
-        mine = 1 / (reach.mean(axis=1) + 1e-10)
-        out[s : s + 1024] = density[near].mean(axis=1) / mine
-    return out
+def drawn(points: DataFrame, rows: int, wanted: int, seed: int) -> np.ndarray:
+    """About ``wanted`` of the rows behind weighted points: a point gives its share of them, rounded up or down by a hash of it, so copies come
+    as often as they should and reruns draw the same."""
+    share = min(1.0, wanted / rows)
+    chance = F.pmod(F.xxhash64("x", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    some = points.withColumn("n", F.floor(F.col("w") * share + chance).cast("int")).where("n > 0")
+    got = some.orderBy("h", "x").select("x", "n").toPandas()
+    return np.repeat(np.array(got["x"].tolist(), float), got["n"].to_numpy(), axis=0)
 
 
-def multivariate_outliers(df: DataFrame, columns: list[str] | None = None, *, contamination: float = 0.05, min_columns: int = 2, trees: int = TREES, sample: int = SAMPLE, neighbours: int = NEIGHBOURS, references: int = REFERENCES, seed: int = 42) -> DataFrame:
+def multivariate_outliers(df: DataFrame, columns: list[str] | None = None, *, contamination: float = 0.05, min_columns: int = 2, trees: int = TREES, sample: int = SAMPLE, neighbours: int = NEIGHBOURS, seed: int = 42) -> DataFrame:
     """All rows, then tm_isolation, tm_lof and tm_outlier. Columns with less than half their values, and tables with fewer than
-    ``min_columns`` others, take no part; missing values take the median; features are scaled to unit (population) deviation."""
+    ``min_columns`` others, take no part; missing values take the median; features are scaled to unit (population) deviation.
+    Equal rows have equal scores; they are one point of the search and neighbours of each other."""
     ship(df.sparkSession)
     columns = columns or numeric_columns(df)
     stats = df.agg(F.count(F.lit(1)).alias("n"), *(f(finite(df, c)).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("n", F.count), ("m", F.median), ("a", F.avg), ("s", F.stddev_pop)))).first()
     used = [(i, c) for i, c in enumerate(columns) if stats["n"] and stats[f"n{i}"] >= int(0.5 * stats["n"]) and stats[f"n{i}"]]
-    extra = [T.StructField("tm_isolation", T.DoubleType()), T.StructField("tm_lof", T.DoubleType())]
     if len(used) < min_columns or stats["n"] < 3:
         return df.withColumns({"tm_isolation": F.lit(None).cast("double"), "tm_lof": F.lit(None).cast("double"), "tm_outlier": F.lit(False)})
-    scaled = [((F.coalesce(finite(df, c), F.lit(stats[f"m{i}"])) - stats[f"a{i}"]) / (stats[f"s{i}"] or 1.0)).alias(f"tm_x{j}") for j, (i, c) in enumerate(used)]
-    order = F.xxhash64(F.lit(seed), *map(col, df.columns))
-    drawn = df.select(*scaled, order.alias("h")).orderBy("h").limit(max(references, sample)).drop("h").toPandas().to_numpy()  # a bounded sample
+    made = own_names(df)
+    vector, d, n = made("x"), len(used), stats["n"]
+    scaled = F.array(*((F.coalesce(finite(df, c), F.lit(stats[f"m{i}"])) - stats[f"a{i}"]) / (stats[f"s{i}"] or 1.0) for i, c in used))
+    wide = df.withColumn(vector, scaled)
+    points = weighted_points(wide, vector)
+    rows = drawn(points, n, trees * sample, seed)
     rng = np.random.default_rng(seed)
-    size = min(sample, len(drawn))
-    forest = [grown(drawn[rng.choice(len(drawn), size, replace=False)], rng, math.ceil(math.log2(max(size, 2)))) for _ in range(trees)]
-    reference = drawn[:references]
-    k = min(neighbours, max(1, len(reference) - 1))
-    distance = np.sqrt(np.maximum(((reference[:, None, :] - reference[None]) ** 2).sum(axis=2), 0))
-    np.fill_diagonal(distance, np.inf)
-    near = np.argpartition(distance, k - 1, axis=1)[:, :k]
-    k_distance = np.take_along_axis(distance, near, 1).max(axis=1)
-    density = 1 / (np.maximum(np.take_along_axis(distance, near, 1), k_distance[near]).mean(axis=1) + 1e-10)
-    shared = df.sparkSession.sparkContext.broadcast((forest, reference, k_distance, density))
-    wide, names, n_features = df.select("*", *scaled), df.columns, len(used)
+    size = min(sample, len(rows))
+    order = rng.permutation(len(rows))
+    own = [order[t * size : (t + 1) * size] if (t + 1) * size <= len(rows) else rng.choice(len(rows), size, replace=False) for t in range(trees)]
+    forest = [grown(rows[at], rng, math.ceil(math.log2(max(size, 2)))) for at in own]
+    shared = df.sparkSession.sparkContext.broadcast(forest)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, reference, k_distance, density = shared.value
         for batch in batches:
-            x = np.stack([batch.column(len(names) + j).to_numpy(zero_copy_only=False) for j in range(n_features)], axis=1)
-            made = [pa.array(isolation(x, forest, size)), pa.array(local_factor(x, reference, k_distance, density, k))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], names=[*names, "tm_isolation", "tm_lof"])
-
-    scores = wide.mapInArrow(score, T.StructType([*df.schema.fields, *extra]))
-    cuts = scores.agg(F.percentile_approx("tm_isolation", 1 - contamination, 10_000).alias("tm_ci"), F.percentile_approx("tm_lof", 1 - contamination, 10_000).alias("tm_cl"))
-    both = scores.crossJoin(F.broadcast(cuts))
-    return both.withColumn("tm_outlier", (F.col("tm_isolation") > F.col("tm_ci")) & (F.col("tm_lof") > F.col("tm_cl"))).drop("tm_ci", "tm_cl")
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            made = [isolation(x[s : s + 8192], shared.value, size) for s in range(0, len(x), 8192)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(made) if made else np.zeros(0))], names=["id", "w", "x", "isolation"])
+
+    scored = points.select("id", "w", "x").mapInArrow(score, "id long, w long, x array<double>, isolation double")
+    scored = staged(scored.join(outlier_factors(points, d, min(neighbours, n - 1)), "id"), "scored")
+    cuts = exact_quantiles(scored, {c: F.col(c) for c in ("isolation", "factor")}, dict.fromkeys(("isolation", "factor"), [1 - contamination]), F.col("w"))
+    names = {k: made(k) for k in ("isolation", "factor", "key")}
+    side = scored.select(F.col("x").alias(names["key"]), F.col("isolation").alias(names["isolation"]), F.col("factor").alias(names["factor"]))
+    out = wide.join(F.broadcast(side) if fits(side, 40 + 8 * d) else side, F.col(vector) == F.col(names["key"]))
+    return out.select(*map(col, df.columns), F.col(names["isolation"]).alias("tm_isolation"), F.col(names["factor"]).alias("tm_lof"), ((F.col(names["isolation"]) > cuts["isolation"][0]) & (F.col(names["factor"]) > cuts["factor"][0])).alias("tm_outlier"))
 
 
 def anomaly_multivariate(df: DataFrame, **how) -> DataFrame:

@@ -241,6 +241,60 @@ def test_exact_quantiles_match_percentile(spark, monkeypatch, together):
     assert quantiles.exact_quantiles(df.limit(0), {"a": F.col("a")}, {"a": ps})["a"] == [None] * 7
 
 
+def jobs_of(spark, run):
+    """How many Spark jobs a call starts."""
+    group = f"g{time.time()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+@pytest.mark.parametrize("n", [1, 6, 12])
+def test_statistics_of_repairs_share_one_aggregate(spark, n):
+    df = spark.range(50).select(*(F.when(F.col("id") % (k + 2) > 0, F.col("id") * (k + 1.0)).alias(f"c{k}") for k in range(12)))
+    plan = model.Plan(tuple(model.Action(model.Strategy.MEAN_IMPUTATION, f"c{k}", priority=k + 1) for k in range(n)))
+    quiet = plans.Config(False, False, False, False, False, False)
+    _, one = jobs_of(spark, lambda: plans.Engine(config=quiet).run(df, model.Plan((model.Action(model.Strategy.MEAN_IMPUTATION, "c0"),))))
+    result, jobs = jobs_of(spark, lambda: plans.Engine(config=quiet).run(df, plan))
+    assert jobs == one and len(result.fitted) == 1 and result.fitted[0].passes == 1
+    assert result.frame.select(*(F.count_if(F.col(f"c{k}").isNull()).alias(f"c{k}") for k in range(n))).first() == tuple([0] * n)
+
+
+def test_dependent_repairs_wait_for_each_other(spark):
+    """Fused and one by one give the same: the second repair of a column sees the first one's values."""
+    rows = [(float(i % 9) if i % 4 else None, float(i) if i % 5 else 1e6, " A b " if i % 3 else None, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "x double, y double, s string, i long")
+    steps = [
+        heal.Repair("impute", ("x",), {"strategy": "mean"}), heal.Repair("normalise", ("s",), {"case": "upper"}), heal.Repair("clamp", ("y",), {"method": "iqr"}),
+        heal.Repair("impute", ("s",), {"strategy": "mode"}), heal.Repair("scale", ("x", "y"), {"method": "zscore"}), heal.Repair("clamp", ("x",), {"method": "percentile", "lower_pct": 10}),
+    ]
+    assert heal.levels(df, steps) == [[0, 1, 2, 3], [4], [5]]
+    alone = df
+    for step in steps:
+        alone = heal.repaired(alone, [step])
+    fused = heal.fit(df, steps).apply(df)
+    for a, b in zip(alone.orderBy("i").collect(), fused.orderBy("i").collect(), strict=True):
+        assert a["s"] == b["s"] and (a["x"], a["y"]) == pytest.approx((b["x"], b["y"]))
+
+
+def test_fitted_repairs_heal_a_stream(spark, tmp_path):
+    """Bounds taken once on a table, saved, applied to a stream of other rows: as to a table of them."""
+    df = spark.createDataFrame([(i, float(i % 20) if i % 6 else None, 5.0 * i, datetime(2024, 1, 1 + i % 9) if i % 7 else None) for i in range(1, 80)], "i long, x double, y double, t timestamp")
+    steps = [heal.Repair("impute", ("x",), {"strategy": "median"}), heal.Repair("clamp", ("y",), {"method": "iqr", "factor": 0.1}), heal.Repair("scale", ("x",)), heal.Repair("impute", ("t",), {"strategy": "mode"})]
+    saved = heal.fit(df, steps).to_json()
+    new = df.select(F.col("i") + 1000, *df.columns[1:]).toDF(*df.columns).withColumn("y", F.col("y") * 3)
+    source = str(tmp_path / "in")
+    new.repartition(3).write.parquet(source)
+    stream = heal.Fitted.from_json(saved).apply(spark.readStream.schema(new.schema).option("maxFilesPerTrigger", 1).parquet(source))
+    query = stream.writeStream.format("memory").queryName("healed_rows").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    want = heal.Fitted.from_json(saved).apply(new).orderBy("i").collect()
+    assert spark.table("healed_rows").orderBy("i").collect() == want and len(want) == 79
+
+
 def test_engine_logs_and_goes_on(spark):
     df = spark.createDataFrame([(1, 1.0, " A ", "U@X.com"), (1, 1.0, " A ", "U@X.com"), (2, None, "b", "v@y.com"), (3, 900.0, "b", None)], "id long, v double, cat string, email string")
     plan = model.Plan((

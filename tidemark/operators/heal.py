@@ -1,53 +1,29 @@
-"""Healing: DataFrame to DataFrame repairs. Statistics of several columns come from one aggregate, which is run once; the
-repair holds them as constants, so any number of repairs in a row reads the table once."""
+"""Healing: DataFrame to DataFrame repairs. A repair takes its statistics once and holds them as constants; several repairs that are made
+together (``repaired``, ``fit``) share one aggregate for each level of columns that depend on each other. See fitted.py."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import changed, col, finite, is_numeric, is_string, is_temporal, long_form, missing, numeric_columns, present, string_columns
-from ..functions.formats import FIXERS, normalise_category, to_boolean, to_integer, to_number, to_timestamp
+from ..functions.exprs import changed, col, is_numeric, is_string, is_temporal, long_form, missing, numeric_columns, string_columns
+from ..functions.formats import to_boolean, to_integer, to_number, to_timestamp
+from .fitted import Fitted, Repair, clip, fit, levels, repaired, replaced, shaped
 
-
-def _with_stats(df: DataFrame, stats: dict[str, Column]) -> DataFrame:
-    if not stats:
-        return df
-    row = df.agg(*(c.alias(k) for k, c in stats.items()))
-    kinds = {f.name: f.dataType for f in row.schema}
-    # points in time go by way of text: constants from Python would be read in Python's time zone
-    got = row.select(*(F.col(k).cast("string").alias(k) if is_temporal(kinds[k]) else F.col(k) for k in stats)).first()
-    return df.withColumns({k: F.lit(got[k]).cast(kinds[k]) for k in stats})
-
-
-def _replaced(df: DataFrame, source: DataFrame, new: dict[str, Column]) -> DataFrame:
-    """The columns of ``df``, the named ones replaced, in their order."""
-    return source.select(*((new[c] if c in new else col(c)).alias(c) for c in df.columns))
+__all__ = ["Fitted", "Repair", "clip", "fit", "levels", "repaired", "replaced", "shaped"]
 
 
 def impute(df: DataFrame, strategy: str, columns: list[str], value: object = 0) -> DataFrame:
     """mean, median, mode (the smallest of equals) or constant. Means and medians turn whole numbers into doubles; a column
     without values stays as it is."""
-    if strategy == "constant":
-        return _replaced(df, df, {c: F.coalesce(present(df, c), F.lit(value).cast(df.schema[c].dataType)) for c in columns})
-    made = {"mean": lambda c: F.avg(finite(df, c)), "median": lambda c: F.percentile(finite(df, c), 0.5), "mode": lambda c: F.mode(present(df, c), True)}[strategy]
-    both = _with_stats(df, {f"tm_s{i}": made(c) for i, c in enumerate(columns)})
-    kind = lambda c: df.schema[c].dataType if strategy == "mode" else "double"
-    return _replaced(df, both, {c: F.coalesce(present(df, c).cast(kind(c)), F.col(f"tm_s{i}").cast(kind(c))) for i, c in enumerate(columns)})
+    return repaired(df, [Repair("impute", tuple(columns), {"strategy": strategy, "value": value})])
 
 
 def auto_impute(df: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
     """Missing numbers take the median, others the mode, or the empty text where a text column has no values."""
     numbers = [c for c in numeric_columns(df) if c not in skip]
-    others = [c for c in df.columns if c not in numbers and c not in skip]
-    stats = {f"tm_n{i}": F.percentile(finite(df, c), 0.5) for i, c in enumerate(numbers)} | {f"tm_o{i}": F.mode(present(df, c), True) for i, c in enumerate(others)}
-    both = _with_stats(df, stats)
-    new: dict[str, Column] = {}
-    for i, c in enumerate(numbers):
-        new[c] = F.coalesce(present(df, c).cast("double"), F.col(f"tm_n{i}"))
-    for i, c in enumerate(others):
-        new[c] = F.coalesce(present(df, c), F.col(f"tm_o{i}"), *([F.lit("")] if is_string(df.schema[c].dataType) else []))
-    return _replaced(df, both, new)
+    columns = [c for c in df.columns if c not in skip]
+    return repaired(df, [Repair("auto_impute", tuple(columns), {"numbers": numbers})])
 
 
 def drop_rows(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
@@ -70,49 +46,15 @@ def drop_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.drop(*columns)
 
 
-def clip(c: Column, lo: Column, hi: Column) -> Column:
-    """Bounds that are NULL bind nothing, and NULL stays NULL; least() and greatest() would fill it."""
-    return F.when(c < lo, lo).when(c > hi, hi).otherwise(c)
-
-
-def clamp(df: DataFrame, method: str, columns: list[str] | None = None, *, factor: float = 1.5, threshold: float = 3.0, lower_pct: float = 1.0, upper_pct: float = 99.0) -> DataFrame:
-    """iqr, zscore or percentile bounds; clamped columns become doubles. Fewer than four finite values, or no spread,
-    leave a column as it is (percentiles bind whatever the spread)."""
-    columns = columns or numeric_columns(df)
-    stats: dict[str, Column] = {}
-    for i, c in enumerate(columns):
-        v = finite(df, c)
-        stats[f"tm_n{i}"] = F.count(v)
-        if method == "zscore":
-            stats |= {f"tm_a{i}": F.avg(v), f"tm_b{i}": F.stddev_samp(v)}
-        else:
-            lo, hi = (0.25, 0.75) if method == "iqr" else (lower_pct / 100, upper_pct / 100)
-            stats[f"tm_q{i}"] = F.percentile(v, F.array(F.lit(lo), F.lit(hi)))
-    both = _with_stats(df, stats)
-    new = {}
-    for i, c in enumerate(columns):
-        if method == "zscore":
-            mid, wide = F.col(f"tm_a{i}"), threshold * F.col(f"tm_b{i}")
-            lo, hi, ok = mid - wide, mid + wide, F.col(f"tm_b{i}") > 0
-        else:
-            a, b = F.get(F.col(f"tm_q{i}"), 0), F.get(F.col(f"tm_q{i}"), 1)
-            wide = factor * (b - a) if method == "iqr" else F.lit(0.0)
-            lo, hi, ok = a - wide, b + wide, (b > a) if method == "iqr" else F.lit(True)
-        ok = ok & (F.col(f"tm_n{i}") >= 4)
-        v = present(df, c).cast("double")
-        new[c] = clip(v, F.when(ok, lo), F.when(ok, hi))
-    return _replaced(df, both, new)
+def clamp(df: DataFrame, method: str, columns: list[str] | None = None, **how) -> DataFrame:
+    """iqr (``factor``), zscore (``threshold``) or percentile (``lower_pct``, ``upper_pct``) bounds; clamped columns become doubles. Fewer
+    than four finite values, or no spread, leave a column as it is (percentiles bind whatever the spread)."""
+    return repaired(df, [Repair("clamp", tuple(columns or numeric_columns(df)), {"method": method, **how})])
 
 
 def scale(df: DataFrame, columns: list[str], method: str = "minmax") -> DataFrame:
     """minmax to [0, 1], or zscore; a constant column becomes 0."""
-    stats: dict[str, Column] = {}
-    for i, c in enumerate(columns):
-        v = finite(df, c)
-        stats |= {f"tm_a{i}": F.min(v), f"tm_b{i}": F.max(v) - F.min(v)} if method == "minmax" else {f"tm_a{i}": F.avg(v), f"tm_b{i}": F.stddev_samp(v)}
-    both = _with_stats(df, stats)
-    made = lambda i, c: F.when(F.col(f"tm_b{i}") > 0, (present(df, c).cast("double") - F.col(f"tm_a{i}")) / F.col(f"tm_b{i}")).when(~missing(df, c), 0.0)
-    return _replaced(df, both, {c: made(i, c) for i, c in enumerate(columns)})
+    return repaired(df, [Repair("scale", tuple(columns), {"method": method})])
 
 
 def cast_to(df: DataFrame, c: str, target: str, pattern: str | None = None) -> Column:
@@ -136,7 +78,7 @@ def type_cast(df: DataFrame, targets: dict[str, str], pattern: str | None = None
     if whole:
         row = df.agg(*(F.coalesce(F.max((to_number(col(c)) != F.floor(to_number(col(c)))).cast("int")), F.lit(0)).alias(f"v{i}") for i, c in enumerate(whole))).first()
         vetoed = {c for i, c in enumerate(whole) if row[f"v{i}"]}
-    return _replaced(df, df, {c: cast_to(df, c, t, pattern) for c, t in targets.items() if c not in vetoed})
+    return replaced(df, {c: cast_to(df, c, t, pattern) for c, t in targets.items() if c not in vetoed})
 
 
 #: Semantic type to the type it is cast to without being asked.
@@ -148,21 +90,18 @@ def auto_cast(df: DataFrame, semantic: dict[str, str]) -> DataFrame:
 
 
 def normalise(df: DataFrame, columns: list[str], **how) -> DataFrame:
-    return _replaced(df, df, {c: normalise_category(col(c), **how) for c in columns})
+    return repaired(df, [Repair("normalise", tuple(columns), how)])
 
 
 def auto_normalise(df: DataFrame, most: int = 50) -> DataFrame:
     """Strips and lower-cases text columns with at most ``most`` distinct values; one aggregate of their names decides."""
     columns = string_columns(df)
-    if not columns:
-        return df
-    both = _with_stats(df, {f"k{i}": F.count_distinct(col(c)) for i, c in enumerate(columns)})
-    return _replaced(df, both, {c: F.when(F.col(f"k{i}") <= most, normalise_category(col(c))).otherwise(col(c)) for i, c in enumerate(columns)})
+    return repaired(df, [Repair("auto_normalise", tuple(columns), {"most": most})]) if columns else df
 
 
 def standardise(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """Format fixers of semantic types, on text columns alone."""
-    return _replaced(df, df, {c: FIXERS[t](col(c)) for c, t in kinds.items() if c in df.columns and t in FIXERS and is_string(df.schema[c].dataType)})
+    return repaired(df, [Repair("standardise", tuple(c for c in kinds if c in df.columns), {"kinds": kinds})])
 
 
 def corrections(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import blank, col, finite, infinite, is_floating, is_numeric, is_string, is_temporal, long_form, missing, numeric_columns, percent, present, string_columns
+from .quantiles import exact_quantiles
 
 TOP_VALUES = 5
 BINS = 20
@@ -78,11 +79,16 @@ def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 
 def profile_quartiles(df: DataFrame, columns: list[str] | None = None, *, approximate: bool = False) -> DataFrame:
-    """column, q1, median, q3, iqr. Exact interpolated quantiles count distinct values; ``approximate`` bounds their memory."""
+    """column, q1, median, q3, iqr. Exact interpolated quantiles are found in three passes for all columns when this is called, in bounded
+    memory; ``approximate`` takes one pass, when rows are read."""
     columns = columns or numeric_columns(df)
-    quantiles = (lambda v: F.percentile_approx(v, [0.25, 0.5, 0.75], 10_000)) if approximate else (lambda v: F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-    row = _aggregated(df, columns, {"q": lambda d, c: quantiles(finite(d, c))})
-    at = lambda i, k: F.get(F.col(f"m{i}_q"), k)
+    if approximate:
+        row = _aggregated(df, columns, {"q": lambda d, c: F.percentile_approx(finite(d, c), [0.25, 0.5, 0.75], 10_000)})
+        at = lambda i, k: F.get(F.col(f"m{i}_q"), k)
+    else:
+        found = exact_quantiles(df, {c: finite(df, c) for c in columns}, dict.fromkeys(columns, [0.25, 0.5, 0.75]))
+        row = df.sparkSession.range(1)
+        at = lambda i, k: F.lit(found[columns[i]][k]).cast("double")
     return long_form(row, [{"column": F.lit(c), "q1": at(i, 0), "median": at(i, 1), "q3": at(i, 2), "iqr": F.round(at(i, 2) - at(i, 0), 6)} for i, c in enumerate(columns)])
 
 

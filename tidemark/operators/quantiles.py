@@ -21,11 +21,23 @@ ACCURACY, MARGIN = 10_000, 2e-4
 TOGETHER, PARTS = 20_000, 64
 
 
+def derived(df: DataFrame) -> bool:
+    """Whether rows come from a shuffle, not from a scan alone."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(word in plan for word in ("Aggregate", "Join", "Window", "Repartition", "Generate", "Sort", "Deduplicate"))
+
+
 def exact_quantiles(df: DataFrame, values: dict[str, Column], wanted: dict[str, list[float]], weight: Column | None = None) -> dict[str, list[float | None]]:
     """For each name its quantiles, interpolated between the two nearest ranks as ``percentile`` does. Values are doubles; nulls do not
     count, and a name without values has None. ``weight``, whole numbers above 0, says how often a row counts."""
     w = F.lit(1) if weight is None else weight
     names = list(values)
+    if not names:
+        return {}
+    if derived(df):  # read from three times: its values are written rather than made three times
+        own = {c: f"v{k}" for k, c in enumerate(names)}
+        df = staged(df.select(*(values[c].cast("double").alias(o) for c, o in own.items()), w.cast("long").alias("w")), "quantile-values")
+        values, w = {c: F.col(o) for c, o in own.items()}, F.col("w")
     v = {c: values[c].cast("double") for c in names}
     bounds = {c: [min(1.0, max(0.0, p + s)) for p in wanted[c] for s in (-MARGIN, MARGIN)] for c in names}
     first = []

@@ -7,11 +7,11 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.exprs import col, finite, infinite, is_floating, is_string, is_temporal, long_form, matches, missing, numeric_columns, present, ratio, strip
 from ..functions.formats import first_parsed, DATE_PATTERNS, DATETIME_PATTERNS, to_number
 from .profile import duplicate_groups
+from .quantiles import exact_quantiles
 
 # Weights of the dimensions, grades, tokens that mean null, truth tokens.
 WEIGHTS = {"completeness": 0.30, "format_validity": 0.25, "uniqueness": 0.20, "schema_consistency": 0.15, "outlier_health": 0.10}
@@ -62,12 +62,16 @@ def duplicate_ratio(df: DataFrame) -> DataFrame:
 
 
 def fences(df: DataFrame, columns: list[str], factor: float = 1.5, *, approximate: bool = False) -> DataFrame:
-    """One row: lo<i> and hi<i> of each column."""
-    quantile = (lambda v: F.percentile_approx(v, [0.25, 0.75], 10_000)) if approximate else (lambda v: F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))))
-    row = df.agg(*(quantile(finite(df, c)).alias(f"q{i}") for i, c in enumerate(columns)))
+    """One row: lo<i> and hi<i> of each column. Exact ones are found when this is called, in bounded memory."""
+    if approximate:
+        row = df.agg(*(F.percentile_approx(finite(df, c), [0.25, 0.75], 10_000).alias(f"q{i}") for i, c in enumerate(columns)))
+        ends = [(F.get(F.col(f"q{i}"), 0), F.get(F.col(f"q{i}"), 1)) for i in range(len(columns))]
+    else:
+        found = exact_quantiles(df, {c: finite(df, c) for c in columns}, dict.fromkeys(columns, [0.25, 0.75]))
+        row = df.sparkSession.range(1)
+        ends = [tuple(F.lit(x).cast("double") for x in found[c]) for c in columns]
     out = []
-    for i, _ in enumerate(columns):
-        q1, q3 = F.get(F.col(f"q{i}"), 0), F.get(F.col(f"q{i}"), 1)
+    for i, (q1, q3) in enumerate(ends):
         out += [(q1 - factor * (q3 - q1)).alias(f"lo{i}"), (q3 + factor * (q3 - q1)).alias(f"hi{i}")]
     return row.select(*out)
 
@@ -182,10 +186,11 @@ def legacy_pillars(df: DataFrame) -> DataFrame:
 def improvement_suggestions(breakdown: DataFrame, k: int = 5) -> DataFrame:
     """rank, dimension, estimated_gain, action: what raises the total most."""
     gain = F.round((100 - F.col("score")) * F.col("weight"), 2)
+    n = F.col("issue_count").cast("string")
     said = {
-        "completeness": F.concat(F.lit("Impute or remove "), F.col("issue_count"), F.lit(" missing value(s)")), "uniqueness": F.concat(F.lit("Deduplicate "), F.col("issue_count"), F.lit(" duplicate row(s)")),
-        "outlier_health": F.concat(F.lit("Cap or remove "), F.col("issue_count"), F.lit(" outlier value(s)")), "format_validity": F.concat(F.lit("Fix "), F.col("issue_count"), F.lit(" format error(s)")),
-        "schema_consistency": F.concat(F.lit("Resolve type inconsistencies in "), F.col("issue_count"), F.lit(" column(s)")),
+        "completeness": F.concat(n, F.lit(" empty cells: fill them, or leave their rows out")), "uniqueness": F.concat(n, F.lit(" rows repeat others: keep one of each")),
+        "outlier_health": F.concat(n, F.lit(" values lie beyond the fences: clamp them")), "format_validity": F.concat(n, F.lit(" values do not fit their type: standardise them")),
+        "schema_consistency": F.concat(n, F.lit(" columns mix kinds of values: cast each to one")),
     }
     text = F.coalesce(*(F.when(F.col("dimension") == d, t) for d, t in said.items()))
     some = breakdown.withColumn("estimated_gain", gain).where((F.col("estimated_gain") >= 0.01) & (F.col("score") < 100))
@@ -199,6 +204,3 @@ def quality_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     b, a = quality_score(before).select(F.col("total_score").alias("before")), quality_score(after).select(F.col("total_score").alias("after"))
     delta = F.round(F.col("after") - F.col("before"), 2)
     return b.crossJoin(a).select("before", "after", delta.alias("delta"), F.round(F.when(F.col("before") > 0, delta / F.col("before") * 100).otherwise(0.0), 2).alias("improvement_pct"))
-
-
-BREAKDOWN_SCHEMA = T.StructType([T.StructField("dimension", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ratio", T.DoubleType()), T.StructField("issue_count", T.LongType()), T.StructField("weight", T.DoubleType())])

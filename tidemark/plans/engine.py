@@ -2,7 +2,8 @@
 
 Spark reports errors when rows are read, so each repair is checked against the schema before it is added (a repair that cannot be
 analysed is logged as an error and left out) and uses expressions that give NULL for bad values, so none can stop a job later.
-Corrections are counted once for the whole plan, in one aggregate over the columns before and after.
+Repairs that keep all rows are gathered, and their statistics are taken together when a repair that does not keep them, or the end,
+comes: one aggregate for each level of columns that depend on each other. Corrections are counted once for the whole plan.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ class Result:
     frame: DataFrame
     log: Log
     applied: int = 0
+    fitted: list[H.Fitted] = field(default_factory=list)
+    """Repairs with their statistics, in the order they were made; they can be saved and applied to streams."""
 
 
 @dataclass
@@ -75,7 +78,24 @@ class Engine:
             return "fills need an order column"
         return None
 
+    def repair(self, a: Action) -> H.Repair | None:
+        """An action that keeps all rows and columns, as a repair to be fitted; None if it is none."""
+        p, c = a.params, (a.column,)
+        if a.strategy in IMPUTES:
+            return H.Repair("impute", c, {"strategy": IMPUTES[a.strategy], "value": p.get("value", 0)})
+        if a.strategy in CLAMPS:
+            return H.Repair("clamp", c, {"method": CLAMPS[a.strategy]} | {k: p[k] for k in ("factor", "threshold", "lower_pct", "upper_pct") if k in p})
+        if a.strategy is Strategy.NORMALIZE:
+            return H.Repair("scale", c, {"method": p.get("method", "minmax")})
+        if a.strategy is Strategy.CATEGORY_NORMALIZE:
+            names = {"strip": "trim", "case": "case", "alias_map": "aliases", "allowed_values": "allowed", "unknown_token": "unknown"}
+            return H.Repair("normalise", c, {names[k]: v for k, v in p.items() if k in names})
+        if a.strategy is Strategy.FORMAT_STANDARDIZE:
+            return H.Repair("standardise", c, {"kinds": {a.column: p.get("semantic_type") or self.types.get(a.column, "")}})
+        return None
+
     def one(self, df: DataFrame, a: Action) -> DataFrame:
+        """An action that drops rows or columns, orders them, or changes types by what the rows hold."""
         p = a.params
         if a.strategy is Strategy.DEDUPLICATION:
             return W.deduplicate(df, self.key, p.get("subset"), p.get("keep", "first"), p.get("ignore_columns"))
@@ -83,71 +103,88 @@ class Engine:
             return H.drop_rows(df, p.get("subset"))
         if a.strategy is Strategy.DROP_COLUMN:
             return H.drop_columns(df, [a.column])
-        if a.strategy in IMPUTES:
-            return H.impute(df, IMPUTES[a.strategy], [a.column], p.get("value", 0))
         if a.strategy in FILLS:
             return FILLS[a.strategy](df, a.column, self.key, p.get("partition_by"))
-        if a.strategy in CLAMPS:
-            return H.clamp(df, CLAMPS[a.strategy], [a.column], **{k: p[k] for k in ("factor", "threshold", "lower_pct", "upper_pct") if k in p})
-        if a.strategy is Strategy.NORMALIZE:
-            return H.scale(df, [a.column], p.get("method", "minmax"))
-        if a.strategy is Strategy.TYPE_CAST:
-            return H.type_cast(df, {a.column: p.get("target_type", "str")}, p.get("date_format"))
-        if a.strategy is Strategy.CATEGORY_NORMALIZE:
-            names = {"strip": "trim", "case": "case", "alias_map": "aliases", "allowed_values": "allowed", "unknown_token": "unknown"}
-            return H.normalise(df, [a.column], **{names[k]: v for k, v in p.items() if k in names})
-        return H.standardise(df, {a.column: p.get("semantic_type") or self.types.get(a.column, "")})
+        return H.type_cast(df, {a.column: p.get("target_type", "str")}, p.get("date_format"))
 
-    def automatic(self, df: DataFrame, family: str, done: set[str]) -> DataFrame:
-        """What a family does to columns that no action names."""
+    def automatic(self, df: DataFrame, family: str, done: set[str]) -> DataFrame | H.Repair | None:
+        """What a family does to columns that no action names: a new table, a repair, or nothing."""
         c = self.config
         if family == "duplicates" and c.auto_deduplicate and not done:
             return W.deduplicate(df, self.key, [x for x in df.columns if x != self.key])
         if family == "types" and c.auto_type_cast:
             return H.auto_cast(df, {k: t for k, t in self.types.items() if k not in done})
         if family == "missing" and c.auto_impute:
-            return H.auto_impute(df, tuple(done | ({self.key} if self.key else set())))
+            rest = tuple(x for x in df.columns if x not in done | {self.key})
+            return H.Repair("auto_impute", rest, {"numbers": [x for x in P.numeric_columns(df) if x in rest]})
         if family == "outliers" and c.auto_cap_outliers:
-            return H.clamp(df, "iqr", [x for x in P.numeric_columns(df) if x not in done and x != self.key])
-        if family == "categories" and c.auto_normalize_categories:
-            rest = [x for x in P.string_columns(df) if x not in done]
-            return H.auto_normalise(df.select(*(col(x) for x in df.columns))) if rest and not done else df
+            rest = tuple(x for x in P.numeric_columns(df) if x not in done and x != self.key)
+            return H.Repair("clamp", rest, {"method": "iqr"})
+        if family == "categories" and c.auto_normalize_categories and not done:
+            return H.Repair("auto_normalise", tuple(P.string_columns(df)))
         if family == "formats" and c.auto_format_correct:
-            return H.standardise(df, {k: t for k, t in self.types.items() if k not in done})
-        return df
+            return H.Repair("standardise", tuple(k for k in self.types if k not in done and k in df.columns), {"kinds": self.types})
+        return None
 
     def run(self, df: DataFrame, plan: Plan, order: list[str] | None = None, *, source: str = "rule", automatic: bool = True) -> Result:
-        log, out = Log(), df
+        log, out = Log(), df  # the table so far
+        shape, pending, fitted = df, [], []  # its types with the repairs that wait
+
+        def settled() -> DataFrame:
+            if pending:
+                fitted.append(H.fit(out, pending))
+                pending.clear()
+                return fitted[-1].apply(out)
+            return out
+
         for family in order or ORDER:
             actions = [a for a in plan.ordered() if STRATEGY_FAMILY.get(a.strategy) == family]
             done: set[str] = set()
             if family in self.healers:
+                out = settled()
                 try:
                     out = self.healers[family](out, actions)
                     log.add(LogEntry(family, "*", Status.APPLIED, source=source))
                 except Exception as e:  # a healer of the user's own must not stop the others
                     log.add(LogEntry(family, "*", Status.ERROR, source=source, message=str(e)[:200]))
+                shape = out
                 continue
             for a in actions:
-                why = self.needed(out, a)
+                why = self.needed(shape, a)
                 if why:
                     log.add(LogEntry(a.strategy.value, a.column, Status.SKIPPED, source=a.source, message=why, params=a.params))
                     continue
                 try:
-                    made = self.one(out, a)
-                    made.schema  # noqa: B018  analysed now, so a bad parameter shows here
+                    if repair := self.repair(a):
+                        shape = H.shaped(shape, repair)  # analysed now, so a bad parameter shows here
+                        pending.append(repair)
+                    else:
+                        out = settled()
+                        shape = out
+                        made = self.one(out, a)
+                        made.schema  # noqa: B018  analysed now as well
+                        out = shape = made
                 except Exception as e:
                     log.add(LogEntry(a.strategy.value, a.column, Status.ERROR, source=a.source, message=str(e)[:200], params=a.params))
                     continue
-                out = made
                 done |= {a.column} if a.column != "*" else set(a.params.get("subset") or ["*"])
                 log.add(LogEntry(a.strategy.value, a.column, Status.APPLIED, source=a.source, params=a.params))
             if automatic:
-                out = self.automatic(out, family, done)
+                if family in ("duplicates", "types"):
+                    out = settled()
+                    shape = out
+                made = self.automatic(shape, family, done)
+                if isinstance(made, H.Repair):
+                    if made.columns:
+                        shape = H.shaped(shape, made)
+                        pending.append(made)
+                elif made is not None:
+                    out = shape = made
+        out = settled()
         for a in plan.ordered():
             if a.strategy not in STRATEGY_FAMILY:
                 log.add(LogEntry(a.strategy.value, a.column, Status.SKIPPED, source=a.source, message="unknown strategy"))
-        return Result(out, log, sum(e.status is Status.APPLIED for e in log.entries))
+        return Result(out, log, sum(e.status is Status.APPLIED for e in log.entries), fitted)
 
     def run_ai(self, df: DataFrame, response: AgentResponse, *, automatic: bool = False) -> Result:
         """The families in the order the model asks for; unknown names are skipped, and without any known one the usual order holds."""

@@ -19,6 +19,7 @@ from ..operators import report as R
 from ..operators import score as Q
 from ..operators import semantic as D
 from ..sources.flatten import flatten_json
+from ..staging import staged
 from ..streaming.quality import quality_by_day
 from . import dirty
 
@@ -140,7 +141,7 @@ _PILLAR = "CASE dimension WHEN 'completeness' THEN 'Completeness' WHEN 'format_v
 add("quality_pillars", "lineitem_dirty", lambda d: Q.quality_pillars(Q.quality_breakdown(d)), f"{_M}, b AS ({_BREAKDOWN}) SELECT {_PILLAR} AS pillar, weight, score AS raw_score, round(score * weight, 2) AS weighted_score FROM b")
 add("legacy_pillars", "lineitem_dirty", Q.legacy_pillars, f"{_M} SELECT round(1 - missing, 6) AS completeness, round(1 - duplicate, 6) AS uniqueness, format AS validity, schema AS consistency FROM m")
 _GAIN = "round((100 - score) * weight, 2)"
-_ACTION = "CASE dimension WHEN 'completeness' THEN 'Impute or remove ' || issue_count || ' missing value(s)' WHEN 'uniqueness' THEN 'Deduplicate ' || issue_count || ' duplicate row(s)' WHEN 'outlier_health' THEN 'Cap or remove ' || issue_count || ' outlier value(s)' WHEN 'format_validity' THEN 'Fix ' || issue_count || ' format error(s)' ELSE 'Resolve type inconsistencies in ' || issue_count || ' column(s)' END"
+_ACTION = "issue_count || CASE dimension WHEN 'completeness' THEN ' empty cells: fill them, or leave their rows out' WHEN 'uniqueness' THEN ' rows repeat others: keep one of each' WHEN 'outlier_health' THEN ' values lie beyond the fences: clamp them' WHEN 'format_validity' THEN ' values do not fit their type: standardise them' ELSE ' columns mix kinds of values: cast each to one' END"
 add("improvement_suggestions", "lineitem_dirty", lambda d: Q.improvement_suggestions(Q.quality_breakdown(d)), f"{_M}, b AS ({_BREAKDOWN}) SELECT (row_number() OVER (ORDER BY {_GAIN} DESC, dimension))::INT AS rank, dimension, {_GAIN} AS estimated_gain, {_ACTION} AS action FROM b WHERE {_GAIN} >= 0.01 AND score < 100")
 add("missing_ratio", "lineitem_dirty", Q.missing_ratio, f"{_M} SELECT missing AS ratio, missing_n AS issue_count FROM m")
 add("duplicate_ratio", "lineitem_dirty", Q.duplicate_ratio, f"{_M} SELECT duplicate AS ratio, duplicate_n AS issue_count FROM m")
@@ -162,7 +163,7 @@ add("anomaly_missing", "lineitem_dirty", N.anomaly_missing, _MISS)
 add("anomaly_zscore", "lineitem_dirty", N.anomaly_zscore, _Z)
 add("anomaly_duplicates", "lineitem_dirty", N.anomaly_duplicates, _DUP)
 add("anomaly_constant", "events", lambda d: N.anomaly_constant(d.where("event_type is not null").select("event_id", F.lit("fixed").alias("fixed"), F.lit(None).cast("int").alias("empty"), "value")), """SELECT c AS "column", 'constant_column' AS anomaly_type, 'low' AS severity, (SELECT count(*) FROM events) AS affected_rows, 1.0::DOUBLE AS affected_rate FROM (VALUES ('fixed'), ('empty')) v(c)""")
-add("anomaly_zscore_rows", "lineitem_dirty", lambda d: N.anomaly_zscore_rows(d, "l_extendedprice", "l_orderkey"), "SELECT l_orderkey, l_extendedprice FROM lineitem_dirty, (SELECT avg(l_extendedprice) AS mu, stddev_samp(l_extendedprice) AS sd FROM lineitem_dirty) WHERE abs(l_extendedprice - mu) / sd > 3")
+add("anomaly_zscore_rows", "lineitem_dirty", lambda d: N.anomaly_zscore_rows(d, "l_extendedprice", "l_orderkey"), "WITH d AS MATERIALIZED (SELECT l_orderkey, l_extendedprice FROM lineitem_dirty), m AS MATERIALIZED (SELECT avg(l_extendedprice) AS mu, stddev_samp(l_extendedprice) AS sd FROM d) SELECT l_orderkey, l_extendedprice FROM d, m WHERE abs(l_extendedprice - mu) / sd > 3")
 _RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
 _ALL = f"({_MISS}) UNION ALL ({_Z}) UNION ALL ({_DUP}) UNION ALL ({_CONST})"
 add("anomaly_report", "lineitem_dirty", N.anomaly_report, f"SELECT *, {_RANK} AS severity_rank FROM ({_ALL})")
@@ -237,10 +238,9 @@ add("heal_auto_format", "customer_dirty", lambda d: H.standardise(d.select("c_cu
 
 # the whole repair, reports
 def healed_lines(d: DataFrame) -> DataFrame:
-    d = W.deduplicate(d, None)
-    d = H.impute(d, "median", ["l_quantity"])
-    d = H.clamp(d, "iqr", ["l_extendedprice"])
-    return H.normalise(d, ["l_returnflag"], case="upper")
+    """Rows without repeats are written once; the repairs, of columns of their own, share the passes over them."""
+    d = staged(W.deduplicate(d, None), "deduplicated")
+    return H.repaired(d, [H.Repair("impute", ("l_quantity",), {"strategy": "median"}), H.Repair("clamp", ("l_extendedprice",), {"method": "iqr"}), H.Repair("normalise", ("l_returnflag",), {"case": "upper"})])
 
 
 _HEALED = f"""u AS (SELECT DISTINCT * FROM lineitem_dirty), f AS (SELECT quantile_cont(l_quantity, 0.5) AS med, {_QC(0.25)} - 1.5 * ({_QC(0.75)} - {_QC(0.25)}) AS lo, {_QC(0.75)} + 1.5 * ({_QC(0.75)} - {_QC(0.25)}) AS hi FROM u),

@@ -241,6 +241,22 @@ def test_exact_quantiles_match_percentile(spark, monkeypatch, together):
     assert quantiles.exact_quantiles(df.limit(0), {"a": F.col("a")}, {"a": ps})["a"] == [None] * 7
 
 
+@pytest.mark.parametrize("tracked", [16, 64, 10_000])
+def test_frequent_values_are_exact_or_not_claimed(spark, tracked):
+    """Skewed, flat, unique and empty columns; what is proven equals a full count, and top values do whatever is proven."""
+    rng = np.random.default_rng(8)
+    rows = [(f"z{int(a)}", f"u{i}", f"f{i % 90}", None, "") for i, a in enumerate(np.minimum(rng.zipf(1.6, 3000), 500))]
+    df = spark.createDataFrame(rows, "skewed string, unique string, flat string, none string, blank string").repartition(4)
+    proven, rest, n = profile.frequent_values(df, df.columns, 5, tracked=tracked)
+    assert n == 3000 and set(proven) | set(rest) == set(df.columns) and proven["none"] == [] and proven["blank"] == [("", 3000)] and ("skewed" in proven or tracked < 100)
+    for c, top in proven.items():
+        counts = pd.Series([r[df.columns.index(c)] for r in rows]).value_counts()
+        want = sorted(((v, int(k)) for v, k in counts.items()), key=lambda x: (-x[1], x[0]))[:5]
+        assert top == want
+    got = {(r["column"], r["rank"]): (r["value"], r["cnt"]) for r in profile.profile_top_values(df).collect()}
+    assert got["unique", 1] == ("u0", 1) and got["flat", 1] == ("f0", 34) and got["blank", 1] == ("", 3000) and ("none", 1) not in got
+
+
 def jobs_of(spark, run):
     """How many Spark jobs a call starts."""
     group = f"g{time.time()}"

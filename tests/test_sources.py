@@ -1,4 +1,7 @@
+import csv
+import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -6,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.engine import DataQuality
 from tidemark.functions import formats
-from tidemark.sources import encoding, errors, naming, readers
+from tidemark.sources import encoding, errors, lines, naming, readers
 from tidemark.sources.sinks import DatasetStore, write_csv
 from tidemark.streaming import quality
 
@@ -87,6 +90,70 @@ def test_corrupt_records_are_kept(spark, tmp_path):
     assert [r["record"] for r in lines.corrupt.collect()] == ["[2]"]
 
 
+def written_csv(rng, n, stray=()):
+    """Rows with quotes, breaks and separators in them, as the csv module writes them; and those rows."""
+    made = [["id", "note", "more"]] + [[str(i), "".join(rng.choices(['"', "\n", ",", "a", "b ", "\u00e9", "\n\n"], k=rng.choice([0, 1, 2, 9]))), rng.choice(["", "x", "y\nz"])] for i in range(n)]
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows(made)
+    return out.getvalue(), made[1:]
+
+
+@pytest.mark.parametrize("split", [64, 1000, 1 << 20])  # bytes of a range: records lie over several ranges
+def test_csv_breaks_are_split_over_many_tasks(spark, tmp_path, monkeypatch, split):
+    rng = random.Random(split)
+    text, want = written_csv(rng, 150)
+    path = put(tmp_path, "a.csv", text)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert split > 1000 or lines.lines(spark, path, "utf-8").rdd.getNumPartitions() > 2
+        at = lines.ranges(lines.lines(spark, path, "utf-8"), ",")
+        found = readers.fields_of(lines.quoted_records(lines.lines(spark, path, "utf-8"), at, ","), 3, ",").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = [[r["c0"] or "", r["c1"] or "", r["c2"] or ""] for r in sorted(found, key=lambda r: r["line"])]
+    assert got == want and all(r["tm_corrupt"] is None for r in found)
+    numbers, at = [], 2
+    for row in want:
+        numbers.append(at)
+        at += 1 + sum(c.count("\n") for c in row)
+    assert sorted(r["line"] for r in found) == numbers
+
+
+def test_lines_of_corrupt_records(spark, tmp_path):
+    """Numbers as a sequential reader counts them, over several ranges and files; blank lines before the header."""
+    (tmp_path / "d").mkdir()
+    body = [f"{i},v{i}" if i % 50 else f"{i},v,w" for i in range(1, 400)]
+    for name, blank in (("a.csv", 0), ("b.csv", 2)):
+        put(tmp_path / "d", name, "\n" * blank + "id,v\n" + "\n".join(body) + "\n")
+    put(tmp_path, "c.jsonl", "".join('{"a": 1}\n' if i % 40 else "[no]\n" for i in range(1, 200)))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        out = readers.read_csv(spark, str(tmp_path / "d"))
+        left = sorted((r["file"].rsplit("/")[-1], r["line"], r["record"]) for r in out.corrupt.collect())
+        broken = readers.read(spark, str(tmp_path / "c.jsonl")).corrupt.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert left == sorted((name, blank + 1 + i, f"{i},v,w") for name, blank in (("a.csv", 0), ("b.csv", 2)) for i in range(50, 400, 50))
+    assert out.frame.count() == 2 * (399 - 7) and out.frame.dtypes[0] == ("id", "bigint")
+    assert sorted(r["line"] for r in broken) == [40, 80, 120, 160]
+
+
+def test_stray_quotes_are_contained(spark, tmp_path, monkeypatch):
+    """A quote that is never closed, one that a later field seems to close, quotes within fields, fields beyond the most lines."""
+    text = 'id,note\n1,"never\n2,b\n3,5" pipe\n4,"q"\n5,"x\ny"\n6,"so ""it"" is"\n' + "".join(f"{i},w\n" for i in range(7, 40))
+    out = readers.read(spark, put(tmp_path, "a.csv", text))
+    assert out.frame.count() == 39 and out.corrupt_rows == 0
+    got = dict(rows(out))
+    assert got[2] == "b" and got[3] == '5" pipe' and got[4] == "q" and got[5] == "x\ny" and got[6] == 'so "it" is' and got[39] == "w"
+    monkeypatch.setattr(lines, "MOST_LINES", 20)
+    long = readers.read(spark, put(tmp_path, "b.csv", 'id,note\n1,"a\nb"\n2,"open\n' + "".join(f"{i},w\n" for i in range(3, 60))))
+    assert long.frame.count() == 59 and dict(rows(long))[1] == "a\nb"
+
+
 def test_date_shapes_lose_nothing(spark):
     values = ["2024-1-5", "05/06/2024", "Jan 5, 2024", "january 5, 2024", "5 mar 2024", "2024-01-05t01:02:03", "2024.1.5", "0005/6/2024", "x", "", "1 2", "2024-13-45", "31-12-2024", "5 March 2024", "+12024-1-5", " 2024-1-5"]
     patterns = [*formats.DATETIME_PATTERNS, *formats.DATE_PATTERNS]

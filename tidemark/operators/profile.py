@@ -10,6 +10,8 @@ from ..functions.exprs import blank, col, finite, infinite, is_floating, is_nume
 from .quantiles import exact_quantiles
 
 TOP_VALUES = 5
+#: Values that the sketch of frequent ones tracks.
+TRACKED_VALUES = 10_000
 BINS = 20
 ALLOWED_VALUES = 30
 SAMPLE_VALUES = 5
@@ -58,12 +60,50 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def frequent_values(df: DataFrame, columns: list[str], k: int = TOP_VALUES, *, tracked: int = TRACKED_VALUES) -> tuple[dict[str, list[tuple[str, int]]], list[str], int]:
+    """The exact k most frequent values of each column (as text; ties go to the smaller value) where it is proven that they are, the columns
+    where it is not, and the number of rows.
+
+    A mergeable sketch of ``tracked`` values names candidates, which are then counted exactly; both passes shuffle no more than candidates.
+    A value that the sketch does not name is not more frequent than its last candidate, or than twice its largest error, which is
+    below 2.7 rows in ``tracked``, nor than all rows that candidates leave. If the k-th exact count is above that, nothing can be missing."""
+    asked = min(4 * k + 16, tracked)
+    text = {c: present(df, c).cast("string") for c in columns}
+    sketch = []
+    for i, c in enumerate(columns):
+        sketch += [F.count(text[c]).alias(f"n{i}"), F.call_function("approx_top_k", text[c], F.lit(asked), F.lit(tracked)).alias(f"t{i}")]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *sketch).first()
+    named = {c: {x["item"]: x["count"] for x in row[f"t{i}"] if x["item"] is not None} for i, c in enumerate(columns)}
+    hits = [F.when(text[c].isin(list(v)), F.struct(F.lit(i).alias("i"), text[c].alias("value"))) for i, (c, v) in enumerate(named.items()) if v]
+    exact: dict[str, dict[str, int]] = {c: {} for c in columns}
+    if hits:
+        found = df.select(F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("x")).groupBy("x.i", "x.value").agg(F.count(F.lit(1)).alias("cnt"))
+        for r in found.collect():  # at most ``asked`` rows a column
+            exact[columns[r["i"]]][r["value"]] = r["cnt"]
+    proven, rest = {}, []
+    for i, c in enumerate(columns):
+        top = sorted(exact[c].items(), key=lambda x: (-x[1], x[0].encode()))[:k]
+        last = min(named[c].values(), default=0) if len(named[c]) + 1 >= asked else 0  # a null may be a candidate
+        bound = min(max(last, 2 * 2.7 * row["n"] / tracked), row[f"n{i}"] - sum(exact[c].values()))
+        if bound < 1 or (len(top) == k and top[-1][1] > bound):
+            proven[c] = top
+        else:
+            rest.append(c)
+    return proven, rest, row["n"]
+
+
 def profile_top_values(df: DataFrame, columns: list[str] | None = None, k: int = TOP_VALUES) -> DataFrame:
-    """column, value, cnt, pct of all rows, rank; ties go to the smaller value. The rank limit is pushed below the shuffle."""
+    """column, value, cnt, pct of all rows, rank; ties go to the smaller value. Columns with frequent values are done without shuffling the
+    others (see frequent_values); those whose values are all about as rare are counted in full, the rank limit below the shuffle."""
     columns = columns or string_columns(df)
-    by = Window.partitionBy("column").orderBy(F.desc("cnt"), "value")
-    ranked = value_counts(df, columns).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-    return ranked.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("n")))).select("column", "value", "cnt", percent(F.col("cnt"), F.col("n")).alias("pct"), "rank")
+    proven, rest, n = frequent_values(df, columns, k)
+    rows = [(c, value, cnt, rank) for c, top in proven.items() for rank, (value, cnt) in enumerate(top, 1)]
+    out = df.sparkSession.createDataFrame(rows, "column string, value string, cnt long, rank int")
+    if rest:
+        by = Window.partitionBy("column").orderBy(F.desc("cnt"), "value")
+        ranked = value_counts(df, rest).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+        out = out.unionByName(ranked)
+    return out.select("column", "value", "cnt", percent(F.col("cnt"), F.lit(n)).alias("pct"), "rank")
 
 
 def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -234,7 +274,3 @@ def profile_dataset(df: DataFrame) -> DataFrame:
 def size_estimate_mb(df: DataFrame) -> float:
     """What the optimiser holds the table to measure; an estimate."""
     return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 2**20
-
-
-def float_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema if is_floating(f.dataType)]

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import csv
 import io
-import re
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
@@ -17,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..shipping import ship
 from . import encoding as E
+from . import lines as L
 from .errors import CorruptRowsError, EmptyDatasetError, ParseError, SchemaError, UnsupportedFormatError, ValidationError
 from .flatten import flatten
 from .naming import normalise_columns, with_normal_names
@@ -47,7 +47,7 @@ class Parsed:
     encoding: str | None = None
     separator: str | None = None
     corrupt_rows: int = 0
-    corrupt: DataFrame | None = None  # the records left out, with their file or their index in the array
+    corrupt: DataFrame | None = None  # the records left out, with file and line or their index in the array
 
 
 def detect_format(name: str) -> str:
@@ -90,15 +90,6 @@ def gate(frame: DataFrame, corrupt: int, total: int, share: float) -> None:
         raise CorruptRowsError(f"{corrupt} of {total} rows cannot be read", frame=frame, corrupt=corrupt, total=total)
 
 
-def text_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """Column value, a row a line. The text reader knows UTF-8 alone; for others the delimited reader is told to split nothing."""
-    if encoding == "utf-8":
-        out = spark.read.text(path)
-    else:
-        out = spark.read.option("encoding", E.spark_name(encoding)).option("sep", "\x01").option("quote", "").option("escape", "").schema("value string").csv(path)
-    return out.select(F.regexp_replace("value", "^\ufeff|\r$", "").alias("value"))
-
-
 def first_record(spark: SparkSession, path: str, encoding: str, separator: str) -> list[str]:
     """Fields of the first record, however long."""
     n = E.SAMPLE_BYTES
@@ -110,20 +101,40 @@ def first_record(spark: SparkSession, path: str, encoding: str, separator: str)
         raise ParseError(f"{path} has no header", path=path) from e
 
 
-def records(spark: SparkSession, path: str, width: int, separator: str, encoding: str, *, breaks: bool) -> DataFrame:
-    """Text columns c0, c1, ... and the record where it does not have ``width`` fields; each file's header is left out. With ``breaks``
-    a quoted field may hold line breaks, and a file is one task's work."""
+def whole_files(spark: SparkSession, path: str, width: int, separator: str, encoding: str) -> DataFrame:
+    """Text columns c0, c1, ..., the record where it does not have ``width`` fields, its file; for encodings whose lines cannot be told from
+    bytes. Each file's header is left out. A file is one task's work, and lines have no numbers."""
     fields = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)] + [T.StructField(CORRUPT, T.StringType())])
-    options = {"sep": separator, "header": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"', "encoding": E.spark_name(encoding), "columnPruning": False, "multiLine": breaks}
+    options = {"sep": separator, "header": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"', "encoding": E.spark_name(encoding), "columnPruning": False, "multiLine": True}
     bad = F.coalesce(CORRUPT, F.when(F.length("c0") < 0, F.col("c0")))  # Spark refuses queries on the corrupt record alone
-    return spark.read.options(**options).schema(fields).csv(path).select("*", F.col("_metadata.file_path").alias("file")).withColumn(CORRUPT, bad).where(F.col(CORRUPT).isNull() | (F.trim(CORRUPT) != ""))
+    return spark.read.options(**options).schema(fields).csv(path).select("*", F.col("_metadata.file_path").alias("file"), F.lit(None).cast("long").alias("line")).withColumn(CORRUPT, bad).where(F.col(CORRUPT).isNull() | (F.trim(CORRUPT) != ""))
+
+
+def fields_of(records: DataFrame, width: int, separator: str) -> DataFrame:
+    """Text columns c0, c1, ..., and the record where it does not have ``width`` fields, told with quotes and, where that fails, with
+    quotes taken as text. Records of several lines that fail, or that have a quote out of place, are taken apart into their lines."""
+    kinds = ", ".join([*(f"c{i} string" for i in range(width)), f"{CORRUPT} string"])
+    options = {"sep": separator, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"'}
+    told = lambda df, **more: F.from_csv("record", kinds, options | more)
+    fine = lambda c: F.col(c)[CORRUPT].isNull()
+    tried = records.where(F.trim("record") != "").withColumn("x", told(records))
+    good = (F.size("lines") < 2) | (fine("x") & ~F.col("odd"))
+    lone = tried.where(~good).select("file", "header", F.posexplode("lines").alias("k", "record"), "line").withColumn("line", F.col("line") + F.col("k")).where(F.trim("record") != "")
+    lone = lone.withColumn("x", told(lone))
+    both = tried.where(good).select("file", "line", "header", "record", "x").unionByName(lone.select("file", "line", "header", "record", "x"))
+    both = both.where(F.col("line") != F.col("header"))
+    plain = F.when(~fine("x"), told(both, quote=""))  # quotes as text
+    both = both.withColumn("y", plain).withColumn("x", F.when(fine("x"), F.col("x")).when(F.col("y").isNotNull() & fine("y"), F.col("y")))
+    return both.select(*(F.col("x")[f"c{i}"].alias(f"c{i}") for i in range(width)), F.when(F.col("x").isNull(), F.col("record")).alias(CORRUPT), "file", "line")
 
 
 def read_csv(spark: SparkSession, path: str, *, separator: str | None = None, encoding: str | None = None, corrupt_share: float = CORRUPT_SHARE) -> Parsed:
-    """Header row, inferred types. Records whose number of fields is not the header's are left out and counted.
+    """Header row, inferred types. Records whose number of fields is not the header's are left out, counted and kept with their file
+    and the number of their first line.
 
-    A record is a line, unless lines end within quotes: then records with line breaks are read too, if that keeps as many rows or
-    more. A stray quote would swallow all that follows it, and then lines stay records."""
+    A quoted field may hold line breaks, and files are still read by many tasks (see lines.py). A stray quote is contained: what it would
+    swallow is taken apart into lines again, and a record that fails with quotes is tried with quotes as text. The rows are written once to the
+    shared folder, so that what follows does not parse again."""
     raw = head(spark, path)
     if not raw:
         raise ParseError(f"{path} is empty", path=path)
@@ -133,20 +144,22 @@ def read_csv(spark: SparkSession, path: str, *, separator: str | None = None, en
     names = first_record(spark, path, encoding, separator)
     if not names:
         raise ParseError(f"{path} has no header", path=path)
-    measures = (F.count(F.lit(1)).alias("n"), F.count(CORRUPT).alias("bad"))
-    wide = encoding.startswith(("utf-16", "utf-32"))  # lines are told from bytes, so these are read as whole files
-    found = records(spark, path, len(names), separator, encoding, breaks=wide)
-    counts = found.agg(*measures).first()
-    if not wide:
-        unquoted = F.regexp_replace("value", '""', "")
-        cut = text_lines(spark, path, encoding).agg(F.count_if(unquoted.rlike(f'(^|{re.escape(separator)})"[^"]*$')).alias("k")).first()["k"]
-        if cut:
-            other = records(spark, path, len(names), separator, encoding, breaks=True)
-            seen = other.agg(*measures).first()
-            if seen["n"] - seen["bad"] >= counts["n"] - counts["bad"] - cut:
-                found, counts = other, seen
-    good = found.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "file")
-    bad = found.where(F.col(CORRUPT).isNotNull()).select("file", F.col(CORRUPT).alias("record"))
+    if encoding.startswith(("utf-16", "utf-32")):  # lines are told from bytes, so these are read as whole files
+        found = whole_files(spark, path, len(names), separator, encoding)
+    else:
+
+        def told(text: DataFrame, at: DataFrame) -> DataFrame:
+            first = at.select("plain").first()
+            if first is None or first["plain"]:
+                records = L.numbered(text, at).select("file", "line", "header", F.col("value").alias("record"), F.lit(False).alias("odd"), F.array().cast("array<string>").alias("lines"))
+            else:
+                records = L.quoted_records(text, at, separator)
+            return fields_of(records, len(names), separator)
+
+        found = L.made_once(L.lines(spark, path, encoding), separator, told, "csv-rows")
+    counts = found.agg(F.count(F.lit(1)).alias("n"), F.count(CORRUPT).alias("bad")).first()
+    good = found.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "file", "line")
+    bad = found.where(F.col(CORRUPT).isNotNull()).select("file", "line", F.col(CORRUPT).alias("record"))
     typed = typed_text(good).toDF(*normalise_columns(names))
     gate(typed, counts["bad"], counts["n"], corrupt_share)
     return Parsed(typed, "csv", encoding, separator, counts["bad"], bad)
@@ -212,12 +225,13 @@ def read_json(spark: SparkSession, path: str, *, corrupt_share: float = CORRUPT_
 
 
 def read_jsonl(spark: SparkSession, path: str, *, corrupt_share: float = CORRUPT_SHARE) -> Parsed:
-    """An object a line; lines that hold none are left out and counted. Splits and scales as text does."""
+    """An object a line; lines that hold none are left out, counted, and kept with file and line number. Splits and scales as text does."""
     raw = head(spark, path)
     if not raw.strip():
         raise ParseError(f"{path} is empty", path=path)
     encoding = E.detect(raw)
-    lines = text_lines(spark, path, encoding).where(F.trim("value") != "")
+    text = L.lines(spark, path, encoding)
+    lines = text.where(F.trim("value") != "")
     good = F.trim(F.col("value")).startswith("{") & F.try_parse_json("value").isNotNull()
     counts = lines.agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("good")).first()
     if not counts["good"]:
@@ -226,7 +240,10 @@ def read_jsonl(spark: SparkSession, path: str, *, corrupt_share: float = CORRUPT
     found = objects.select(F.schema_of_variant_agg(F.try_parse_json("value")).alias("s")).first()["s"].replace("OBJECT<", "STRUCT<")
     frame = with_normal_names(flatten(objects.select(F.from_json("value", found).alias("r")).select("r.*")))
     gate(frame, counts["n"] - counts["good"], counts["n"], corrupt_share)
-    return Parsed(frame, "jsonl", encoding, corrupt_rows=counts["n"] - counts["good"], corrupt=lines.where(~good).select(F.col("value").alias("record")))
+    left = None
+    if counts["n"] > counts["good"]:  # the only lines that need numbers
+        left = L.made_once(text, None, lambda t, at: L.numbered(t, at).where((F.trim("value") != "") & ~good).select("file", "line", F.col("value").alias("record")), "corrupt-lines")
+    return Parsed(frame, "jsonl", encoding, corrupt_rows=counts["n"] - counts["good"], corrupt=left)
 
 
 def read_excel(spark: SparkSession, path: str) -> Parsed:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import formats as X
 from tidemark.operators import anomaly, heal, multivariate, neighbours, ordered, profile, quantiles, report, score, semantic
 from tidemark.plans import engine as plans
-from tidemark.plans import model, planner
+from tidemark.plans import expressions, model, planner
 
 SLOW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 VALUES = st.lists(st.one_of(st.none(), st.integers(-50, 50).map(float)), min_size=1, max_size=25)
@@ -257,6 +257,32 @@ def test_frequent_values_are_exact_or_not_claimed(spark, tracked):
     assert got["unique", 1] == ("u0", 1) and got["flat", 1] == ("f0", 34) and got["blank", 1] == ("", 3000) and ("none", 1) not in got
 
 
+@pytest.mark.parametrize("text", ["__import__('os').system('x')", "x.__class__", "[c for c in (1,)]", "lambda: 1", "gone + 1", "eval('1')", "x if", "trim(x, y)", "f'{x}'", "x @ y", "a" * 2000, "(" * 500 + "x" + ")" * 500, "round(x, y)", "x(1)", "x[0]", "1 < x < 3"])
+def test_expressions_that_are_refused(spark, text):
+    df = spark.createDataFrame([(1.0, 2.0)], "x double, y double")
+    with pytest.raises(expressions.Refused):
+        expressions.column_of(text, df)
+
+
+def test_column_fixes_are_carried_out(spark):
+    df = spark.createDataFrame([(1, " A ", None, "5", 2.0), (2, "b", 3.0, "x", 0.0), (3, None, 5.0, "7", 1000.0), (4, "b", 7.0, "8", 1.0), (5, "b", 9.0, "9", 3.0)], "id long, s string, x double, n string, v double")
+    fixes = [
+        {"column": "x", "detected_issue": "nulls", "fix_type": "impute", "parameters": {"strategy": "mean"}}, {"column": "n", "fix_type": "cast", "target_dtype": "float64"},
+        {"column": "s", "fix_type": "normalize"}, {"column": "v", "fix_type": "cap", "parameters": {"factor": 1.0}}, {"column": "gone", "fix_type": "drop"},
+        {"column": "id", "fix_type": "expression", "parameters": {"expression": "id * 10 if s == 'b' else coalesce(-id, 0)"}}, {"column": "v", "fix_type": "expression", "parameters": {"expression": "open('x')"}},
+        {"column": "x", "fix_type": "teleport"}, {"column": "x", "fix_type": "impute", "parameters": {"strategy": "guess"}},
+    ]
+    answer = {"healing_plan": [{"step_id": "s1", "title": "t", "strategy": "deduplication"}], "transformation_order": ["deduplicate"], "confidence_score": 1, "column_fixes": fixes, "value_corrections": [{"column": "s", "original_value": "b", "corrected_value": "B"}]}
+    out = plans.Engine().run_ai(df, model.AgentResponse.parse(answer))
+    rows = {r["x"]: r for r in out.frame.collect()}
+    assert sorted(rows) == [3.0, 5.0, 6.0, 7.0, 9.0] and rows[6.0]["s"] == "a" and rows[6.0]["id"] == -1 and rows[7.0]["id"] == 40 and rows[7.0]["s"] == "B"
+    assert rows[3.0]["n"] is None and rows[7.0]["n"] == 8.0 and max(r["v"] for r in rows.values()) < 1000
+    by = {}
+    for e in out.log.entries:
+        by.setdefault(e.status.value, []).append((e.column, e.message))
+    assert ("v", "no function open of 1 arguments") in by["ERROR"] and ("gone", "no column gone") in by["SKIPPED"] and by["SKIPPED"].count(("x", "unknown strategy")) == 2
+
+
 def jobs_of(spark, run):
     """How many Spark jobs a call starts."""
     group = f"g{time.time()}"

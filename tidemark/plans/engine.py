@@ -18,16 +18,19 @@ from ..functions.exprs import changed, col, is_numeric, is_string, missing
 from ..operators import heal as H
 from ..operators import ordered as W
 from ..operators import profile as P
+from .expressions import cast_target
 from .model import FAMILY_OF, Action, AgentResponse, Log, LogEntry, Plan, Status, Strategy
 
-ORDER = ["duplicates", "types", "missing", "outliers", "categories", "formats"]
+ORDER = ["duplicates", "types", "missing", "outliers", "categories", "formats", "expressions"]
 FILLS = {Strategy.FORWARD_FILL: W.forward_fill, Strategy.BACKWARD_FILL: W.backward_fill, Strategy.INTERPOLATION: W.interpolate}
 IMPUTES = {Strategy.MEAN_IMPUTATION: "mean", Strategy.MEDIAN_IMPUTATION: "median", Strategy.MODE_IMPUTATION: "mode", Strategy.CONSTANT_IMPUTATION: "constant"}
 CLAMPS = {Strategy.IQR_CLAMP: "iqr", Strategy.ZSCORE_CLAMP: "zscore", Strategy.PERCENTILE_CLAMP: "percentile"}
 STRATEGY_FAMILY = {s: f for f, names in {
     "duplicates": ["deduplication"], "types": ["type_cast"], "missing": [*[s.value for s in IMPUTES], *[s.value for s in FILLS], "drop_rows", "drop_column"],
-    "outliers": [*[s.value for s in CLAMPS], "normalize"], "categories": ["category_normalize"], "formats": ["format_standardize"],
+    "outliers": [*[s.value for s in CLAMPS], "normalize"], "categories": ["category_normalize"], "formats": ["format_standardize"], "expressions": ["custom"],
 }.items() for s in map(Strategy, names)}
+#: Ways that a fix of a column may ask for, by its kind.
+WAYS = {"impute": {"mean", "median", "mode", "constant", "forward_fill", "backward_fill", "interpolation"}, "cap": {"iqr", "zscore", "percentile"}}
 
 
 @dataclass(frozen=True)
@@ -60,7 +63,7 @@ class Engine:
 
     def needed(self, df: DataFrame, a: Action) -> str | None:
         """Why an action cannot be carried out on these columns; None if it can."""
-        if a.strategy is Strategy.CUSTOM:
+        if a.strategy is Strategy.CUSTOM and "expression" not in a.params:
             return "unknown strategy"
         if a.strategy in (Strategy.DROP_ROWS, Strategy.DEDUPLICATION):
             lost = [c for c in a.params.get("subset") or [] if c not in df.columns]
@@ -90,6 +93,8 @@ class Engine:
         if a.strategy is Strategy.CATEGORY_NORMALIZE:
             names = {"strip": "trim", "case": "case", "alias_map": "aliases", "allowed_values": "allowed", "unknown_token": "unknown"}
             return H.Repair("normalise", c, {names[k]: v for k, v in p.items() if k in names})
+        if a.strategy is Strategy.CUSTOM:
+            return H.Repair("expression", c, {"text": str(p["expression"])})
         if a.strategy is Strategy.FORMAT_STANDARDIZE:
             return H.Repair("standardise", c, {"kinds": {a.column: p.get("semantic_type") or self.types.get(a.column, "")}})
         return None
@@ -193,10 +198,46 @@ class Engine:
         for n in response.transformation_order:
             if n not in FAMILY_OF:
                 out.log.add(LogEntry(n, "*", Status.SKIPPED, source="ai", message="unknown strategy"))
+        if response.column_fixes:
+            more = self.run(out.frame, self.fixes(out.frame, response.column_fixes), ORDER, source="ai", automatic=False)
+            out = Result(more.frame, Log(out.log.entries + more.log.entries), out.applied + more.applied, out.fitted + more.fitted)
+        if response.value_corrections:
+            out.frame = value_corrections(out.frame, list(response.value_corrections))
+            for c in dict.fromkeys(str(v.get("column")) for v in response.value_corrections):
+                out.log.add(LogEntry("value_corrections", c, Status.APPLIED if c in out.frame.columns else Status.SKIPPED, source="ai", message="" if c in out.frame.columns else f"no column {c}"))
         warnings = [f"{r['warning']}: {r['column']}" for r in H.validate_transformation(df, out.frame).collect()]  # a few rows
         out.log.add(LogEntry("validation", "*", Status.VALIDATION, source="ai", message="; ".join(warnings)))
         return out
 
+    def fixes(self, df: DataFrame, fixes: tuple[dict, ...]) -> Plan:
+        """Fixes of columns as actions: impute, cast, normalize, deduplicate, cap, format_fix, drop, or an expression (see expressions.py).
+        What no kind names becomes CUSTOM, and is skipped with a log entry; so are ways and types that are not known."""
+        actions = []
+        for k, fix in enumerate(fixes):
+            name, kind, p = str(fix.get("column", "*")), str(fix.get("fix_type", "")).lower(), dict(fix.get("parameters") or {})
+            numeric = name in df.columns and is_numeric(df.schema[name].dataType)
+            way = str(p.get("strategy") or p.get("method") or "").lower().removesuffix("_imputation").removesuffix("_clamp")
+            strategy = Strategy.CUSTOM
+            if kind == "impute" and (not way or way in WAYS["impute"]):
+                way = way or ("constant" if "value" in p else "median" if numeric else "mode")
+                strategy = Strategy(way if way in ("forward_fill", "backward_fill", "interpolation") else f"{way}_imputation")
+            elif kind == "cap" and (not way or way in WAYS["cap"]):
+                strategy = Strategy(f"{way or 'iqr'}_clamp")
+            elif kind == "cast" and (target := cast_target(fix.get("target_dtype") or p.get("target_type"))):
+                strategy, p = Strategy.TYPE_CAST, p | {"target_type": target}
+            elif kind == "normalize":
+                strategy = Strategy.NORMALIZE if numeric else Strategy.CATEGORY_NORMALIZE
+            elif kind == "deduplicate":
+                strategy, p = Strategy.DEDUPLICATION, p | {"subset": p.get("subset") or ([name] if name in df.columns else None)}
+            elif kind == "format_fix":
+                strategy = Strategy.FORMAT_STANDARDIZE
+            elif kind == "drop":
+                strategy = Strategy.DROP_COLUMN
+            if strategy is not Strategy.CUSTOM or kind != "expression":
+                p.pop("expression", None)
+            actions.append(Action(strategy, name, p, k + 1, "ai", f"fix:{k}"))
+        return Plan(tuple(actions))
+
 
 def count_corrections(before: DataFrame, after: DataFrame, key: str, log: Log | None = None) -> dict[str, int]:
     """Changed cells by column, of rows that both tables hold: one join by key and one aggregate for a whole plan."""

@@ -219,6 +219,27 @@ def test_flow(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 60
 
 
+def test_store_replaces_safely_and_expires(spark, tmp_path):
+    store = DatasetStore(spark, str(tmp_path / "s"), kept=1000, grace=50)
+    with pytest.raises(FileNotFoundError):
+        store.load("raw", "d")
+    store.save("raw", "d", spark.range(3))
+    broken = spark.range(5).select(F.raise_error(F.lit("no")).alias("x"))
+    with pytest.raises(Exception, match="no"):
+        store.save("raw", "d", broken)
+    assert store.load("raw", "d").count() == 3  # a failed save leaves the old version
+    first = store.load("raw", "d")
+    again = store.save("raw", "d", first.selectExpr("id + 10 as id"))  # reads what it replaces
+    assert sorted(r["id"] for r in again.collect()) == [10, 11, 12] and first.count() == 3
+    old, new = store.versions("raw", "d")[::-1]
+    assert store.expire("raw", "d", now=new.saved + 10) == []
+    gone = store.expire("raw", "d", now=new.saved + 60)
+    assert old.path in gone and new.path not in gone and store.load("raw", "d").count() == 3
+    with pytest.raises(FileNotFoundError):
+        store.path("raw", "d", now=new.saved + 2000)
+    assert store.expire("raw", "d", now=new.saved + 2000)[0] == new.path and store.versions("raw", "d") == []
+
+
 def test_stream_equals_batch(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     spark.read.parquet(f"{sf}/events.parquet").write.parquet(str(tmp_path / "in"))

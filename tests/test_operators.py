@@ -222,10 +222,11 @@ def test_trees_are_drawn_from_all_rows(spark):
     assert len(multivariate.drawn(points, 3000, 5000, 1)) == 3000
 
 
-@pytest.mark.parametrize("together", [20_000, 5])
-def test_exact_quantiles_match_percentile(spark, monkeypatch, together):
+@pytest.mark.parametrize(("together", "small"), [(20_000, 1_000_000), (20_000, 0), (5, 0)])
+def test_exact_quantiles_match_percentile(spark, monkeypatch, together, small):
     """Ties, infinities away, few rows, no rows; ranges narrowed step by step; weights as repeated rows."""
     monkeypatch.setattr(quantiles, "TOGETHER", together)
+    monkeypatch.setattr(quantiles, "SMALL_ROWS", small)
     rng = np.random.default_rng(4)
     rows = [(float(a) if i % 7 else None, int(b), float(10.0 ** c), 1 + i % 4) for i, (a, b, c) in enumerate(zip(rng.normal(size=3000), rng.integers(0, 4, 3000), rng.uniform(-200, 200, 3000), strict=True))]
     df = spark.createDataFrame(rows, "a double, b int, c double, w int").repartition(3)

@@ -3,13 +3,14 @@ import io
 import json
 import random
 import zipfile
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.engine import DataQuality
 from tidemark.functions import formats
-from tidemark.sources import encoding, errors, lines, naming, readers
+from tidemark.sources import encoding, errors, excel, lines, naming, readers
 from tidemark.sources.sinks import DatasetStore, write_csv
 from tidemark.streaming import quality
 
@@ -198,6 +199,29 @@ def test_excel(spark, tmp_path):
         readers.read(spark, str(tmp_path / "b.xls"))
 
 
+@pytest.mark.parametrize(("code", "want"), [("yyyy\\-mm\\-dd", True), ("h:mm", True), ("0.00", False), ('0 "days"', False), ("[Red]0", False), ("General", False), ("[$-409]d mmm", True), ("#,##0_);(#,##0)", False)])
+def test_formats_that_show_dates(code, want):
+    assert excel.shows_dates(code) is want
+
+
+@pytest.mark.parametrize(("setting", "first"), [("", datetime(2024, 1, 5, 12, 0)), ('<workbookPr date1904="1"/>', datetime(2028, 1, 6, 12, 0))])
+def test_excel_dates(spark, tmp_path, setting, first):
+    """Styles tell dates from numbers; a column of both stays text; rows are pulled one by one."""
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">{setting}<sheets><sheet name="s" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts><numFmt numFmtId="170" formatCode="yyyy/mm/dd hh:mm"/><numFmt numFmtId="171" formatCode="0.0"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>')
+        head = "".join(f'<c t="inlineStr"><is><t>{n}</t></is></c>' for n in ("when", "n", "both"))
+        body = "".join(f'<row><c s="{1 + i % 2}"><v>{45296.5 + i}</v></c><c s="3"><v>{45296 + i}</v></c><c s="{i % 2}"><v>7</v></c></row>' for i in range(3))
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData><row>{head}</row>{body}</sheetData></worksheet>")
+    out = readers.read(spark, str(tmp_path / "a.xlsx")).frame
+    assert [t for _, t in out.dtypes] == ["timestamp", "bigint", "string"]
+    rows_ = out.selectExpr("cast(when as string) w", "n", "both").collect()
+    assert rows_[0]["w"] == str(first) and rows_[2]["n"] == 45298 and rows_[0]["both"] == "7"
+    assert excel.dated("1", excel.DAY_ZERO) == excel.DATED + "1900-01-01 00:00:00" and excel.dated("61", excel.DAY_ZERO) == excel.DATED + "1900-03-01 00:00:00" and excel.dated("x", excel.DAY_ZERO) == "x"
+
+
 def test_limits(spark, tmp_path):
     path = put(tmp_path, "a.csv", "a,b\n1,2\n3,4\n")
     for limits, reason in ((readers.Limits(rows=1), "TOO_MANY_ROWS"), (readers.Limits(columns=1), "TOO_MANY_COLUMNS"), (readers.Limits(file_bytes=3), "FILE_TOO_LARGE")):

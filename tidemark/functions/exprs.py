@@ -78,10 +78,6 @@ def changed(before: Column, after: Column) -> Column:
     return ~before.eqNullSafe(after)
 
 
-def text_of(c: Column) -> Column:
-    return c.cast("string")
-
-
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.round(F.when(whole > 0, part * 100.0 / whole).otherwise(0.0), digits)
 

@@ -15,8 +15,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import col, finite, is_string, is_temporal, missing, present, string_columns
-from ..functions.formats import FIXERS, normalise_category, to_number
+from ..functions.exprs import col, finite, is_string, missing, present
+from ..functions.formats import FIXERS, normalise_category
 from .quantiles import exact_quantiles
 
 

@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.exprs import col, finite, numeric_columns
 from ..shipping import ship

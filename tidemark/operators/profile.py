@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import blank, col, finite, infinite, is_floating, is_numeric, is_string, is_temporal, long_form, missing, numeric_columns, percent, present, string_columns
+from ..functions.exprs import blank, col, finite, infinite, is_numeric, is_string, is_temporal, long_form, missing, numeric_columns, percent, present, string_columns
 from .quantiles import exact_quantiles
 
 TOP_VALUES = 5

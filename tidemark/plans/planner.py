@@ -12,7 +12,6 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 
 from ..operators import profile as P
-from ..operators import semantic as D
 from .model import Action, AgentResponse, Plan, PlanError, Strategy, salvage_json
 
 # How much of a profile and of the findings a prompt shows.
@@ -95,11 +94,3 @@ class Retry:
                     raise
                 sleep(getattr(e, "retry_after", None) or min(self.most, self.least * 2**attempt + random.uniform(0, 0.5)))
         raise PlanError("no answer")
-
-
-def masked(key: str) -> str:
-    return f"{key[:4]}…{key[-4:]}" if len(key) > 12 else "…"
-
-
-def detected_types(df: DataFrame) -> dict[str, str]:
-    return D.detected(df)

@@ -247,9 +247,9 @@ def read_jsonl(spark: SparkSession, path: str, *, corrupt_share: float = CORRUPT
 
 
 def read_excel(spark: SparkSession, path: str) -> Parsed:
-    """The first sheet with rows, from any store. A workbook is a zipped archive that one task reads; each file of a folder is a task, and the
+    """The first sheet with rows, from any store; columns whose cells all show dates become timestamps. A workbook is a zipped archive that one task reads; each file of a folder is a task, and the
     first by path gives the columns."""
-    from .excel import ROWS, sheets
+    from .excel import DATED, ROWS, sheets
 
     if path.lower().endswith(".xls"):
         raise UnsupportedFormatError("old binary workbooks cannot be read; save them as .xlsx", path=path)
@@ -258,9 +258,15 @@ def read_excel(spark: SparkSession, path: str) -> Parsed:
     header = cells.where("place = 0").orderBy("path").select("cells").first()
     if header is None:
         raise EmptyDatasetError(f"{path} holds no rows", path=path)
-    names = [n or "" for n in header["cells"]]
+    names = [(n or "").removeprefix(DATED) for n in header["cells"]]
     frame = cells.where("place > 0").select(*(F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(len(names))))
-    return Parsed(typed_text(frame.na.drop("all")).toDF(*normalise_columns(names)), "excel")
+    frame = frame.na.drop("all")
+    counts = frame.agg(*(f(c).alias(f"{k}{c}") for c in frame.columns for k, f in (("n", F.count), ("d", lambda c: F.count_if(F.col(c).startswith(DATED)))))).first()
+    times = [c for c in frame.columns if counts[f"d{c}"] and counts[f"d{c}"] == counts[f"n{c}"]]
+    plain = frame.select(*(F.regexp_replace(c, f"^{DATED}", "").alias(c) for c in frame.columns))
+    typed = typed_text(plain)
+    typed = typed.select(*((F.col(c).cast("timestamp") if c in times else F.col(c)).alias(c) for c in frame.columns))
+    return Parsed(typed.toDF(*normalise_columns(names)), "excel")
 
 
 def read(spark: SparkSession, path: str, *, limits: Limits = Limits(), corrupt_share: float = CORRUPT_SHARE) -> Parsed:

@@ -5,7 +5,7 @@ to shards over all texts; a shard sorts pointers to its suffixes with one word a
 pivot, those equal and those above. The weight of an equal partition is the count of its phrase, and the partition goes on with the next word.
 A partition below the least count is abandoned: all that starts with these words is in this shard, so no phrase of it can be frequent.
 
-How words are dealt: a task first counts equal suffixes of about two million words, and sends each shard one compressed run of them.
+How words are dealt: a task first counts equal suffixes of about a million words, and sends each shard one compressed run of them.
 A leading word of too many suffixes for one shard is routed with the word behind it, and so on up to all words. Which words those are is
 estimated on a sample of texts; that decides where suffixes go, never what is counted: phrases that are shorter than their route are
 counted by the tasks themselves and summed, one row a run. Frequent phrases, their cuts and the longer phrases that cover them meet in
@@ -30,13 +30,13 @@ from .common import documents, small_enough, written
 
 LEAST, LONGEST, TOP, COVER, SCORE = 30, 4, 2000, 80, 2_000_000
 #: Suffixes of a shard, about, and words of a run.
-SHARD_ROWS, RUN_WORDS = 500_000, 2_000_000
+SHARD_ROWS, RUN_WORDS = 500_000, 1_000_000
 #: Words of the sample from which crowded leading words are told, about, and how often one must be in it.
 SAMPLE_WORDS, SEEN = 8_000_000, 8
 #: Tasks that shards are dealt to at most; a task works on one shard at a time.
 MOST_TASKS = 8192
 #: Distinct words that a task remembers.
-WORDS = 1_000_000
+WORDS = 600_000
 
 END = b"."  #: ends a piece; no word holds it
 _PIECES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + END * 10 + b" ")
@@ -422,7 +422,7 @@ def collocations(
     out = left.select("tm_group", "phrase", F.col("x.f").alias("a"), F.col("x.l").alias("l"), F.col("x.r").alias("r"), F.col("x.score").alias("score"))
     if top is not None:  # first within parts of a group, so that no task ranks all of one
         out = written(out, "collocations")
-        parts = out.count() // 500_000 + 1
+        parts = out.count() // 500_000 + 8
         out = out.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
         out = out.withColumn("tm_rank", F.row_number().over(Window.partitionBy("tm_group", "salt").orderBy(*order))).where(F.col("tm_rank") <= top).drop("salt", "tm_rank")
     rank = F.row_number().over(Window.partitionBy("tm_group").orderBy(*order)).cast("long")

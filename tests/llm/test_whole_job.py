@@ -3,9 +3,11 @@
 import re
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import licenses, quality, shingle_dedup, simhash
+from tidemark.llm import common, licenses, quality, shingle_dedup, simhash
 
 
 def brute_near(table, n=5):
@@ -86,3 +88,15 @@ def test_short_notice_and_real_header_of_apache(spark):
     full = spark.createDataFrame([(1, header)], "doc_id long, text string")
     longer = {"apache": licenses.TEMPLATES["apache"]}
     assert 0.99 < licenses.license_scan(full, longer=longer, notices=[]).first().score <= 1
+
+
+def test_workers_get_small_batches_of_texts(spark):
+    """The pipeline ran out of an executor's memory: 10,000 texts at once were held several times over by each task."""
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1600).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes]), "rows": pa.array([b.num_rows])})
+
+    got = common.prepared(docs).mapInArrow(sizes, "n long, rows long").collect()
+    assert sum(r.rows for r in got) == 3000 and max(r.n for r in got) < 2 * common.BATCH_BYTES

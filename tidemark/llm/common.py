@@ -14,16 +14,27 @@ from ..shipping import ship
 NULL_ID = 2**63 - 1
 #: A side of a join is broadcast only when its written size is proven to be below this.
 BROADCAST_BYTES = 48 << 20
+#: Of the rows that Spark hands to a Python worker at once. Spark's 64 MB would be held several times over, in the executor and in
+#: the worker, by each task.
+BATCH_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers in batches of about BATCH_BYTES, unless the session has a size of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, binary: bool = False) -> DataFrame:
     """Two columns with names of their own, ``tm_id`` and ``tm_text``; null texts are empty,
     null ids are NULL_ID. Other columns, whatever their names, are left behind here."""
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     return docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("tm_id"),

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .common import documents, written
+from .common import documents, small_batches, written
 
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 INSULTS = frozenset("idiot idiots idiotic moron morons stupid dumb loser losers scum trash garbage pathetic worthless disgusting clown bastard bitch whore slut fool jerk crap shit fuck fucking asshole retard filthy vermin".split())
@@ -221,6 +221,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame | None = None, id_col: str
     empty. An empty table gives no rows. Extra columns pass through, but those already called as the new ones make way."""
     spark = docs.sparkSession
     ship(spark)
+    small_batches(spark)
     docs = docs.drop("tm_votes", "tm_posterior", "tm_score", "tm_kept")
     stems = mined(docs, labels, id_col, text_col, label_rows) if labels is not None else frozenset()
     lexicon = spark.sparkContext.broadcast(stems)

@@ -281,6 +281,44 @@ def test_suffix_dedup_of_one_passage_in_all_documents(spark, monkeypatch, hot):
     assert {i: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for i, r in rows(got).items()} == brute_spans(table)
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_suffix_dedup_sets_copies_aside(spark, monkeypatch, broadcast):
+    """Whole copies take no part in the search; ids that repeat, null ids, short texts and near copies do."""
+    counted, written = {}, suffix_dedup.written
+    monkeypatch.setattr(suffix_dedup, "written", lambda df, name: counted.setdefault(name, written(df, name)))
+    if not broadcast:
+        monkeypatch.setattr(suffix_dedup, "joined", lambda big, side, on, how, _: big.join(side.hint("merge"), on, how))
+    rng = np.random.default_rng(8)
+    texts = [bytes(rng.integers(97, 123, 200, dtype=np.uint8)).decode() for _ in range(5)] + ["short", "", PASSAGE[:60]]
+    table = [(100 * k + i, t) for k in range(12) for i, t in enumerate(texts)] + [(5000, texts[0][:120] + "!" + texts[1][60:])]
+    got = rows(suffix_dedup.suffix_dedup(spark.createDataFrame(table, "doc_id long, text string").repartition(4)))
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for i, r in got.items()} == brute_spans(table)
+    assert counted["suffix-copies"].count() == 6 * 11
+    assert counted["suffix-keys"].select("tm_id").distinct().count() == 3  # the two originals and their near copy
+    table = [(7, texts[0]), (7, texts[1]), (3, texts[1]), (None, texts[2]), (None, texts[2]), (9, texts[2]), (None, texts[3]), (None, texts[3]), (8, texts[0]), (8, texts[0])]
+    counted.clear()
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_removed, r.n_spans) for r in got) == sorted([(7, 0, 0), (7, 200, 1), (3, 0, 0), (-1, 200, 1), (-1, 200, 1), (9, 0, 0), (-1, 0, 0), (-1, 0, 0), (8, 200, 1), (8, 200, 1)])
+
+
+def test_suffix_dedup_packets_are_cheap(monkeypatch):
+    """Packets of few rows add little to them and travel together; many rows of a range are compared by parts."""
+    rng = np.random.default_rng(9)
+    n = 3000
+    doc, place = rng.integers(0, 40, n), rng.integers(0, 1000, n)
+    around = rng.integers(97, 99, (n, suffix_dedup.AROUND)).astype(np.uint8)
+    around[:, suffix_dedup.REACH :] = around[rng.integers(0, 300, n), suffix_dedup.REACH :]
+    starts, sure = rng.integers(1, 1 << 31, n).astype(np.uint32), rng.random(n) < 0.3
+    batches = list(suffix_dedup.dealt_rows(np.arange(n) % 1000, doc, place.astype(np.int32), place, starts, around, sure=sure))
+    assert len(batches) == 1 and batches[0].num_rows == 1000
+    assert sum(len(suffix_dedup.UNPACK.decompress(x)) for x in batches[0].column(1).to_pylist()) < 1000 * 216 + n * 110
+    back = [np.concatenate(x) for x in zip(*(suffix_dedup.unpacked(x, 9) for x in batches[0].column(1).to_pylist()), strict=True)]
+    assert len(back[0]) == (~sure).sum() and sorted(zip(back[5], back[7], back[8], strict=True)) == sorted(zip(doc[sure], place[sure], starts[sure], strict=True))
+    whole = suffix_dedup.repeated(doc, starts, around)
+    monkeypatch.setattr(suffix_dedup, "PART_ROWS", 100)
+    assert whole.any() and (suffix_dedup.repeated_by_part(doc, starts, around) == whole).all()
+
+
 def test_order_minhash(docs):
     table = sorted(TEXTS, key=lambda r: 2**63 if r[0] is None else r[0])
     got = rows(order_minhash.order_minhash(docs, buckets=3))

@@ -4,18 +4,20 @@ A byte is removed when a window of ``WINDOW`` bytes over it also starts in a doc
 suffixes need ordering through WINDOW bytes only, and those that can share a window with another document are few, so
 the most significant digit comes first and drops the rest:
 
+0. A text that a smaller document has too, told by SHA-256, is gone whole and takes no part in the rest: all its windows start there.
 1. First digit: of every window the KEY-byte string with the least hash (any two equal windows choose the same).
    Each task ships its distinct (hash, document) pairs in sorted runs, dealt by range of the hash; a range keeps the
    hashes of two documents or more and tells each document which of its strings those are.
 2. Next digits: at these strings documents cut out the bytes that their windows reach. Suffixes to the right and
    reversed prefixes to the left are radix sorted, eight bytes a digit, most significant first, and only groups that
    are not yet single go on to the next digit. Adjacent lengths of agreement then give, for each start of a window, groups that
-   are equal through all its bytes: exactly the repeated windows. No hash decides equality.
+   are equal through all its bytes: exactly the repeated windows. No hash decides equality of windows.
 3. Spans are merged by document and cut out.
 
 Ordering all suffixes outright would ship 12 bytes or more for each byte of text; the first digit ships about six for each
 16. A range holds about RANGE_PAIRS pairs at any corpus size, as their number follows the text's measured bytes, and
-a task works on one range after another. Beyond ``fan_out`` ranges the digit itself is dealt in two passes. Strings of
+a task works on one range after another. Beyond ``fan_out`` ranges the digit itself is dealt in two passes. Each run of a task sends a packet
+to every range, so packets grow with the square of the ranges: surroundings are dealt to few wide ones, which their task cuts into parts by string. Strings of
 more than ``hot`` documents are dealt by the bytes of each of their windows instead, and equal windows are settled
 before they are sent, so no string gathers in one range. Texts are dealt by document once, and both joins read that
 exchange; nothing is broadcast.
@@ -23,7 +25,6 @@ exchange; nothing is broadcast.
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, given_id, prepared, written
+from .common import documents, given_id, joined, prepared, written
 
 WINDOW, KEY = 50, 20
 #: Starts of windows that hold a given string: from REACH bytes before it to the string itself.
@@ -48,19 +49,30 @@ KEY_BITS = 40
 HOT = 1 << 32
 #: Pairs that a task holds before it ships a sorted run, and about as many as a range gets; surroundings weigh ten times as much.
 RUN_PAIRS, RANGE_PAIRS = 1 << 20, 1 << 19
-RUN_ROWS, RANGE_ROWS = 1 << 16, 1 << 16
+RUN_ROWS, HOT_ROWS, RANGE_ROWS = 1 << 17, 1 << 13, 1 << 18
+#: Surroundings that are compared at once; up to so many ranges hold no more than that each, so small corpora keep all cores busy.
+PART_ROWS, FEW_RANGES = 1 << 16, 256
+#: Of arrays in packets. Packets are many and may be small, so they have no more than their kinds and shapes before the data.
+KINDS = [np.dtype(x) for x in ("u1", "<i4", "<u4", "<i8", "<u8")]
+PACK, UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    for a in arrays:
-        np.save(out, a, allow_pickle=False)
-    return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
+    head = np.array([(KINDS.index(a.dtype), len(a), a.shape[1] if a.ndim > 1 else 0) for a in arrays], np.int64)
+    return PACK.compress(b"".join([head.tobytes(), *(a.tobytes() for a in arrays)]))
 
 
 def unpacked(raw: bytes, n: int) -> list[np.ndarray]:
-    data = io.BytesIO(zstandard.ZstdDecompressor().decompress(raw))
-    return [np.load(data, allow_pickle=False) for _ in range(n)]
+    data, at, out = UNPACK.decompress(raw), 24 * n, []
+    for kind, rows, width in np.frombuffer(data, np.int64, 3 * n).reshape(n, 3).tolist():
+        a = np.frombuffer(data, KINDS[kind], rows * (width or 1), at)
+        at += a.nbytes
+        out.append(a.reshape(rows, width) if width else a)
+    return out
+
+
+def batch_of(shards: list[int], packets: list[bytes], name: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(packets, pa.binary())], names=["shard", name])
 
 
 def narrow(sorted_values: np.ndarray) -> np.ndarray:
@@ -171,9 +183,11 @@ def run_of(key: np.ndarray, doc: np.ndarray, ranges: int) -> Iterator[pa.RecordB
     key, doc = key[new], doc[new]
     of = (key * np.uint64(ranges)) >> np.uint64(KEY_BITS)
     cuts = np.append(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), len(key))
+    packets = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         d = doc[a:b]
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([int(of[a])], pa.int32()), "pairs": [packed(narrow(key[a:b]), d if d.max() >> 31 or d.min() < 0 else d.astype(np.int32))]})
+        packets.append(packed(narrow(key[a:b]), d if d.max() >> 31 or d.min() < 0 else d.astype(np.int32)))
+    yield batch_of(of[cuts[:-1]].tolist(), packets, "pairs")
 
 
 def first_digits(ranges: int):
@@ -262,12 +276,16 @@ def settled(key: np.ndarray, doc: np.ndarray, starts: np.ndarray, around: np.nda
 
 def dealt_rows(to: np.ndarray, *columns: np.ndarray, sure: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Columns packed by shard; of ``sure`` rows (document, variant, place, starts) alone, after those of the open ones."""
-    by = np.argsort(to, kind="stable")
-    cuts = np.flatnonzero(np.concatenate([[True], np.diff(to[by]) > 0, [True]])) if len(by) else []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        at = by[a:b]
-        rows = [c[at] for c in columns] if sure is None else [*(c[at[~sure[at]]] for c in columns), *(c[at[sure[at]]] for c in columns[:4])]
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([int(to[at[0]])], pa.int32()), "rows": [packed(*rows)]})
+    if not len(to):
+        return
+    by = np.argsort(to, kind="stable") if sure is None else np.lexsort((sure, to))
+    to, columns = to[by], [c[by] for c in columns]
+    cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
+    open_rows = np.diff(cuts) if sure is None else np.add.reduceat(~sure[by], cuts[:-1], dtype=np.int64)
+    packets = []
+    for a, m, b in zip(cuts[:-1].tolist(), (cuts[:-1] + open_rows).tolist(), cuts[1:].tolist(), strict=True):
+        packets.append(packed(*(c[a:m] for c in columns), *([] if sure is None else (c[m:b] for c in columns[:4]))))
+    yield batch_of(to[cuts[:-1]].tolist(), packets, "rows")
 
 
 def surroundings(shards: int):
@@ -286,8 +304,8 @@ def surroundings(shards: int):
             to = np.where(sure, doc % shards, (key >> np.uint64(32)).astype(np.int64) % shards)
             yield from dealt_rows(to[now], *(c[now] for c in (doc, variant, place, starts, around)), sure=sure[now])
             left = np.flatnonzero(~now)
-            for k in range(0, len(left), RUN_ROWS // 8):  # each window of a hot string by itself
-                at = left[k : k + RUN_ROWS // 8]
+            for k in range(0, len(left), HOT_ROWS):  # each window of a hot string by itself
+                at = left[k : k + HOT_ROWS]
                 row, o = np.nonzero(starts[at, None] >> np.arange(STARTS, dtype=np.uint32) & np.uint32(1))
                 row, one = at[row], np.uint32(1) << o.astype(np.uint32)
                 sure, whole, mixed = settled(key[row], doc[row], one, around[row])
@@ -380,12 +398,27 @@ def repeated(doc: np.ndarray, starts: np.ndarray, around: np.ndarray) -> np.ndar
     return out
 
 
+def repeated_by_part(doc: np.ndarray, starts: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """The same for many rows: those of one string are in one part."""
+    mixed = np.zeros(len(doc), np.uint64)
+    for column in np.ascontiguousarray(around[:, REACH : REACH + KEY]).view(np.uint32).T:
+        mixed = (mixed ^ column) * ODD
+        mixed ^= mixed >> np.uint64(29)
+    part = mixed % np.uint64(len(doc) // PART_ROWS + 1)
+    by = np.argsort(part, kind="stable")
+    out = np.zeros(len(doc), np.uint32)
+    for at in np.split(by, np.flatnonzero(np.diff(part[by])) + 1):
+        if len(at):
+            out[at] = repeated(doc[at], starts[at], around[at])
+    return out
+
+
 def spans(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows that share a string overlap, so they cover one span."""
         for _, rows in one_by_one(batches):
             doc, variant, place, starts, around, *settled = (np.concatenate(x) for x in zip(*(unpacked(p, 9) for p in rows), strict=True))
-            hit = repeated(doc, starts, around) if len(doc) else starts
+            hit = repeated_by_part(doc, starts, around)
             doc, variant, place, hit = (np.concatenate([a, b]) for a, b in zip((doc, variant, place, hit), settled, strict=True))
             doc, variant, place, hit = (a[hit > 0] for a in (doc, variant, place, hit))
             far, near = extremes(hit)
@@ -440,16 +473,22 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null and empty texts, and those shorter than a window, lose nothing. A null id counts as the largest; rows that repeat an
     id are not smaller than each other, so none takes from the other. An empty table gives no rows."""
-    table = prepared(docs, id_col, text_col, binary=True)
-    again = table.groupBy("tm_id").count().where("count > 1")
-    if again.limit(1).count():  # texts of one id are told apart
+    table = prepared(docs, id_col, text_col, binary=True).withColumn("tm_sum", F.unhex(F.sha2("tm_text", 256)))
+    sums = written(table.select("tm_id", "tm_sum", F.octet_length("tm_text").cast("long").alias("tm_bytes")), "suffix-sums")
+    again = sums.groupBy("tm_id").count().where("count > 1")
+    repeats = again.limit(1).count() > 0
+    first = written(sums.where(F.col("tm_bytes") >= WINDOW).groupBy("tm_sum").agg(F.min("tm_id").alias("tm_first"), F.max("tm_id").alias("tm_last")).where("tm_first < tm_last").drop("tm_last"), "suffix-first")
+    copies = written(joined(sums, first, "tm_sum", "inner", F.lit(128)).where("tm_id > tm_first").select(*sums.columns), "suffix-copies")
+    key = ["tm_id", "tm_sum"] if repeats else ["tm_id"]
+    table = joined(table, copies.select(*key), key, "left_anti", F.lit(128 if repeats else 24))
+    if repeats:  # texts of one id are told apart
         variants = table.join(again.select("tm_id"), "tm_id", "left_semi").select("tm_id", F.xxhash64("tm_text").alias("tm_hash")).distinct()
         variants = variants.withColumn("tm_variant", F.row_number().over(Window.partitionBy("tm_id").orderBy("tm_hash")))
         table = table.withColumn("tm_hash", F.xxhash64("tm_text")).join(variants, ["tm_id", "tm_hash"], "left").select("tm_id", F.coalesce("tm_variant", F.lit(0)).alias("tm_variant"), "tm_text")
     else:
         table = table.select("tm_id", F.lit(0).alias("tm_variant"), "tm_text")
 
-    n_bytes = table.agg(F.sum(F.octet_length("tm_text").cast("long"))).first()[0] or 0
+    n_bytes = sum((x.agg(F.sum("tm_bytes")).first()[0] or 0) * sign for x, sign in ((sums, 1), (copies, -1)))
     ranges = n_bytes // 16 // RANGE_PAIRS + 1  # a window chooses a string of its own at about every 16th byte
     texts = table.select("tm_id", "tm_text")
     if ranges <= fan_out:
@@ -460,7 +499,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = written(in_order(pairs, ranges).mapInArrow(shared_digits(hot), "tm_id long, tm_key long"), "suffix-keys")
     wanted = shared.groupBy("tm_id").agg(F.collect_list("tm_key").alias("tm_keys"))
 
-    shards = shared.count() // RANGE_ROWS + 1
+    n = shared.count()
+    shards = max(n // RANGE_ROWS, min(n // PART_ROWS, FEW_RANGES)) + 1
     dealt = table.repartition("tm_id")  # texts travel once: both joins read this exchange
     asked = dealt.join(wanted, "tm_id").select("tm_id", "tm_variant", "tm_text", "tm_keys")
     rows = asked.mapInArrow(surroundings(shards), "shard int, rows binary")
@@ -468,6 +508,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gone = in_order(found, shards).mapInArrow(merged, "tm_id long, tm_of array<int>, tm_begin array<long>, tm_end array<long>")
     out = dealt.join(gone, "tm_id", "left").select("tm_id", "tm_variant", "tm_text", "tm_of", "tm_begin", "tm_end")
     out = out.mapInArrow(cut_out, "tm_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    whole = copies.select("tm_id", F.lit(b"").alias("kept"), F.col("tm_bytes").alias("n_bytes"), F.col("tm_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"))
+    out = out.unionAll(whole)
     return out.select(given_id().alias("doc_id"), *out.columns[1:])
 
 

@@ -9,6 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidemark import staging
 from tidemark.functions import formats as X
 from tidemark.operators import anomaly, heal, multivariate, neighbours, ordered, profile, quantiles, report, score, semantic
 from tidemark.plans import engine as plans
@@ -208,6 +209,59 @@ def test_outlier_factors_match_brute_force(spark, monkeypatch, visits):
     assert np.median(dense) < 1.5  # with neighbours among a sample these had none near
 
 
+def test_neighbours_are_no_more_than_a_points_copies_leave_open(spark):
+    """Copies of all rows: points of many copies ask nothing, others keep the neighbours that fill their places; factors as from all pairs."""
+    rng = np.random.default_rng(7)
+    x, copies = rng.normal(size=(300, 2)), np.where(np.arange(300) % 3 == 0, 30, 6)
+    df = spark.createDataFrame([(list(map(float, r)),) for r in np.repeat(x, copies, axis=0)], "x array<double>").repartition(3)
+    points = neighbours.weighted_points(df, "x")
+    for cell_points in (10_000, 60):
+        near = neighbours.nearest_neighbours(points, 2, 20, cell_points=cell_points).collect()
+        assert len(near) == 300
+        for r in near:
+            w = np.minimum(np.frombuffer(bytes(r["found"]), neighbours.NEIGHBOUR)["w"], 20)
+            left = 20 - min(r["w"] - 1, 20)
+            assert w.sum() >= left and w[:-1].sum() < max(left, 1) and bool(len(w)) == (left > 0)
+    at = {r["id"]: tuple(r["x"]) for r in points.collect()}
+    got = {at[r["id"]]: r["factor"] for r in neighbours.outlier_factors(points, 2, 20, cell_points=60).collect()}
+    few = [k for k in range(300) if copies[k] == 6]  # without copies, each of the six has five others at distance 0
+    dist = np.sqrt(neighbours.distances(x, x))
+    far, mean = np.zeros(300), np.zeros(300)
+    lists = []
+    for k in range(300):
+        take, left = [(k, min(copies[k] - 1, 20))], 20 - min(copies[k] - 1, 20)
+        for j in np.argsort(dist[k])[1:]:
+            if left > 0:
+                take.append((j, min(copies[j], left)))
+                far[k], left = dist[k, j], left - min(copies[j], left)
+        lists.append(take)
+    for k, take in enumerate(lists):
+        mean[k] = sum(n * max(dist[k, j], far[j]) for j, n in take) / 20
+    density = 1 / (mean + neighbours.TINY)
+    for k in few:
+        assert abs(got[tuple(x[k])] / (sum(n * density[j] for j, n in lists[k]) / 20 / density[k]) - 1) < 1e-9
+
+
+def test_scores_of_outliers_alone_are_broadcast(spark, monkeypatch):
+    """The scores of all points are too many, those of the outliers are not: then no row is shuffled to meet them."""
+    rng = np.random.default_rng(5)
+    rows = [(i, float(a) if i % 9 else None, float(b)) for i, (a, b) in enumerate(rng.normal(size=(600, 2)))] + [(1000 + i, 12.0 + i, -12.0 - i) for i in range(5)]
+    df = spark.createDataFrame(rows, "i long, a double, b double")
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", 4000)
+    whole = multivariate.multivariate_outliers(df, ["a", "b"])
+    only = multivariate.multivariate_outliers(df, ["a", "b"], only=True)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans_ = [x._jdf.queryExecution().sparkPlan().toString() for x in (whole, only)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ["BroadcastHashJoin" in x for x in plans_] == [False, True]
+    want = sorted(whole.where("tm_outlier").collect())
+    assert sorted(only.collect()) == want and len(want) >= 5 and whole.count() == 605
+    assert multivariate.anomaly_multivariate(df, columns=["a", "b"]).first()["affected_rows"] == len(want)
+    assert multivariate.multivariate_outliers(df.limit(2), ["a", "b"], only=True).count() == 0
+
+
 def test_factors_of_few_rows(spark):
     for rows in ([[1.0, 2.0]], [[1.0, 2.0]] * 5, [[1.0, 2.0], [3.0, 4.0]]):
         points = neighbours.weighted_points(spark.createDataFrame([(r,) for r in rows], "x array<double>"), "x")

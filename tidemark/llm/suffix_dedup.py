@@ -49,7 +49,7 @@ KEY_BITS = 40
 HOT = 1 << 32
 #: Pairs that a task holds before it ships a sorted run, and about as many as a range gets; surroundings weigh ten times as much.
 RUN_PAIRS, RANGE_PAIRS = 1 << 20, 1 << 19
-RUN_ROWS, HOT_ROWS, RANGE_ROWS = 1 << 17, 1 << 13, 1 << 18
+RUN_ROWS, HOT_ROWS, RANGE_ROWS = 1 << 16, 1 << 12, 1 << 18
 #: Surroundings that are compared at once; up to so many ranges hold no more than that each, so small corpora keep all cores busy.
 PART_ROWS, FEW_RANGES = 1 << 16, 256
 #: Of arrays in packets. Packets are many and may be small, so they have no more than their kinds and shapes before the data.
